@@ -61,13 +61,19 @@ def deal(codes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), np.searchsorted(bucket, np.arange(n_buckets + 1))
 
 
+def trim(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes cut to their top bits, for a filter: collisions only let more through."""
+    return hashes & np.uint64(((1 << bits) - 1) << (64 - bits))
+
+
 class Plan:
-    """Documents dealt to shards, and the numbers of shards and buckets for their size."""
+    """Documents dealt to shards; numbers of shards and buckets, and bits that a filter's hashes need, for their size."""
 
     def __init__(self, docs: DataFrame, shard_bytes: int, id_col: str = "doc_id", text_col: str = "text"):
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         got = self.rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
         self.bytes, self.count = int(got.b or 0), int(got.n)
+        self.bits = min(64, self.bytes.bit_length() + 10)
         self.shards = max(1, -(-self.bytes // shard_bytes))
         shard: Column = F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int")
         self.dealt = self.rows.select(shard.alias("shard"), "id", "text")
@@ -97,25 +103,46 @@ def answer(sent: DataFrame, f: Callable[[list[int], list[bytes]], Iterable[tuple
     return sent.groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
-def seen_twice(origins: list[int], bodies: list[bytes], many: int) -> Iterable[tuple[int, int, bytes]]:
-    """Answer for messages (hashes ascending, seen in two documents of the shard):
-    to each shard its hashes that two documents hold, and whether over `many` shards hold them."""
+def census(origins: list[int], bodies: list[bytes]) -> Iterable[tuple[int, int, bytes]]:
+    """Answer for messages (hashes ascending, documents of the shard that hold each): to
+    each shard those of its hashes that two documents hold, and how many do."""
     sent = [unpack(b) for b in bodies]
     codes = np.concatenate([s[0] for s in sent])
-    twice = np.concatenate([s[1] for s in sent]).astype(bool)
-    order = np.argsort(codes, kind="stable")
-    ordered = codes[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(ordered)))
-    shared = (size > 1) | (np.add.reduceat(twice[order].astype(np.int64), first) > 0 if len(first) else np.zeros(0, bool))
-    keep, hot = np.empty(len(codes), bool), np.empty(len(codes), bool)
-    keep[order], hot[order] = np.repeat(shared, size), np.repeat(size > many, size)
+    held = np.concatenate([s[1] for s in sent]).astype(np.int64)
+    order, first = by_key(codes)
+    size = np.diff(np.append(first, len(codes)))
+    total = np.empty(len(codes), np.int64)
+    total[order] = np.repeat(np.add.reduceat(held[order], first) if len(first) else held[:0], size)
     at = 0
     for origin, s in zip(origins, sent, strict=True):
         own = slice(at, at + len(s[0]))
         at += len(s[0])
-        if keep[own].any():
-            yield 0, origin, pack(s[0][keep[own]], hot[own][keep[own]].astype(np.uint8), ordered=True)
+        keep = total[own] > 1
+        if keep.any():
+            yield 0, origin, pack(s[0][keep], np.minimum(total[own][keep], 2**32 - 1).astype(np.uint32), ordered=True)
+
+
+def ballot(shard: int, keys: np.ndarray, docs: np.ndarray, n: int) -> pa.Table:
+    """Messages for census() from the hashes of a shard and the document of each."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))[: len(keys)]
+    keys = keys[fresh]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    held = np.diff(np.append(first, len(keys))).astype(np.uint32)
+    keys = keys[first]
+    _, cuts = deal(keys, n)
+    return messages((b, shard, pack(keys[s:e], held[s:e], ordered=True)) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s)
+
+
+def result(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(shared hashes ascending, documents that hold each) from the replies of census()."""
+    parts = [unpack(b) for b in replies]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    codes, held = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(codes)
+    return codes[order], held[order]
 
 
 def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -43,31 +43,6 @@ class _Shard:
         self.doc = self.ids[w.doc] if len(self.ids) else np.zeros(0, np.int64)
 
 
-def _many(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys ascending, and whether two different documents hold each."""
-    order, first = X.by_key(keys)
-    if not len(first):
-        return keys[:0], np.zeros(0, bool)
-    ordered = docs[order]
-    return keys[order][first], np.minimum.reduceat(ordered, first) != np.maximum.reduceat(ordered, first)
-
-
-def anchor_messages(shard: int, keys: np.ndarray, docs: np.ndarray, n: int) -> pa.Table:
-    distinct, twice = _many(keys, docs)
-    _, cuts = X.deal(distinct, n)
-    return X.messages((b, shard, X.pack(distinct[s:e], twice[s:e].astype(np.uint8), ordered=True)) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s)
-
-
-def known(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(shared hashes ascending, hot flag of each) from the replies to a shard."""
-    parts = [X.unpack(b) for b in replies]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    codes, hot = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(codes)
-    return codes[order], hot[order]
-
-
 def _fingerprints(s: _Shard, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return T.windows(s.hashes, WINDOW, 11)[at], (T.windows(T.mix(s.hashes), WINDOW, 13)[at] >> np.uint64(32)).astype(np.uint32)
 
@@ -99,18 +74,18 @@ def drop_repeated_words(docs: DataFrame, with_text: bool = False, id_col: str =
     judged on the input.
     """
     plan = X.Plan(docs, SHARD_BYTES, id_col, text_col)
-    n_anchor, n_window = plan.buckets(16 << 20), plan.buckets(8 << 20)
+    bits, n_anchor, n_window = plan.bits, plan.buckets(16 << 20), plan.buckets(8 << 20)
 
     def anchors(shard: int, t: pa.Table) -> pa.Table:
         s = _Shard(t)
-        return anchor_messages(shard, s.anchors, s.doc[s.anchor_at], n_anchor)
+        return X.ballot(shard, X.trim(s.anchors, bits), s.doc[s.anchor_at], n_anchor)
 
     def candidates(shard: int, t: pa.Table, replies: list[bytes]) -> pa.Table:
-        codes, _ = known(replies)
+        codes, _ = X.result(replies)
         if not len(codes) or not t.num_rows:
             return X.messages([])
         s = _Shard(t)
-        hit = s.anchor_at[X.lookup(codes, s.anchors) >= 0]
+        hit = s.anchor_at[X.lookup(codes, X.trim(s.anchors, bits)) >= 0]
         near = np.zeros(len(s.valid) + 1, np.int64)  # windows that hold a shared anchor
         low, high = np.maximum(hit - (WINDOW - PERIOD), 0), np.minimum(hit + 1, len(s.valid))
         near += np.bincount(np.minimum(low, len(s.valid)), minlength=len(near)) - np.bincount(high, minlength=len(near))
@@ -157,6 +132,6 @@ def drop_repeated_words(docs: DataFrame, with_text: bool = False, id_col: str =
             columns["kept_text"] = pa.array(texts, pa.binary()).cast(pa.string())
         return pa.table(columns)
 
-    shared = X.answer(plan.send(anchors), lambda o, b: X.seen_twice(o, b, 1 << 30))
+    shared = X.answer(plan.send(anchors), X.census)
     windows = X.answer(plan.with_replies(shared, candidates, X.MESSAGE), _smallest)
     return plan.with_replies(windows, apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

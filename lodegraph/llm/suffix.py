@@ -19,15 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodegraph.llm import exchange as X, substring, text as T
+from lodegraph.llm import exchange as X, text as T
 
 LENGTH = 50
 GRAM = 24
 SHARD_BYTES = 4 << 20
 #: Text of the blocks that one suffix array covers; positions take 21 bits of a sort key.
 ARRAY_BYTES = (1 << 21) - (1 << 12)
-#: Windows of an anchor in more shards than this are dealt one by one.
-HOT_SHARDS = 512
+#: Windows of an anchor that more documents than this hold are dealt one by one.
+HOT_DOCUMENTS = 50_000
 _POS = np.uint64(21)
 _MASK = np.uint64((1 << 21) - 1)
 
@@ -151,14 +151,13 @@ class _Shard:
         inverse = T._power(T._PINV, len(self.buf) + 1)
         return T.mix((self.total[at + length] - self.total[at]) * inverse[at] + np.asarray(length).astype(np.uint64))
 
-    def choose(self, codes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, windows, document, key, code that deals it) of the blocks with shared anchors; hot ones window by window."""
-        found = X.lookup(codes, self.anchor)
+    def choose(self, found: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, windows, document, key, code that deals it) of the blocks with shared anchors (found: entry of each anchor or -1); hot ones window by window."""
         use = np.flatnonzero(found >= 0)
-        cold = use[hot[found[use]] == 0]
+        cold = use[~hot[found[use]]]
         first, count, doc, deal = self.first[cold], self.last[cold] - self.first[cold] + 1, self.doc[cold], self.anchor[cold]
         key = self.hash(first, count + (LENGTH - 1)) if len(first) else np.zeros(0, np.uint64)
-        warm = use[hot[found[use]] != 0]
+        warm = use[hot[found[use]]]
         if len(warm):
             n = self.last[warm] - self.first[warm] + 1
             at = np.repeat(self.first[warm] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -267,18 +266,18 @@ def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str =
     """
     plan = X.Plan(docs, SHARD_BYTES, id_col, text_col)
     n_anchor, n_block = plan.buckets(16 << 20), plan.buckets(2 << 20)
-    hot_shards = HOT_SHARDS
+    bits, hot_documents = plan.bits, HOT_DOCUMENTS
 
     def anchors(shard: int, t: pa.Table) -> pa.Table:
         s = _Shard(t)
-        return substring.anchor_messages(shard, s.anchor, s.doc, n_anchor)
+        return X.ballot(shard, X.trim(s.anchor, bits), s.doc, n_anchor)
 
     def blocks(shard: int, t: pa.Table, replies: list[bytes]) -> pa.Table:
-        codes, hot = substring.known(replies)
+        codes, held = X.result(replies)
         if not len(codes) or not t.num_rows:
             return X.messages([])
         s = _Shard(t)
-        first, count, doc, key, deal = s.choose(codes, hot)
+        first, count, doc, key, deal = s.choose(X.lookup(codes, X.trim(s.anchor, bits)), held > hot_documents)
         order, new = X.by_key(key)
         if not len(new):
             return X.messages([])
@@ -293,7 +292,7 @@ def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str =
             for p, q in zip(cuts, np.append(cuts[1:], len(one)), strict=True)
         )
 
-    def apply(shard: int, t: pa.Table, replies: list[bytes], heat: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
+    def apply(shard: int, t: pa.Table, replies: list[bytes]) -> pa.Table:
         s = _Shard(t)
         n = len(s.buf)
         gone = np.zeros(n, bool)
@@ -343,7 +342,7 @@ def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str =
             columns["kept"] = pa.array(rest, pa.binary())
         return pa.table(columns)
 
-    shared = X.answer(plan.send(anchors), lambda o, b: X.seen_twice(o, b, hot_shards))
+    shared = X.answer(plan.send(anchors), X.census)
     windows = X.answer(plan.with_replies(shared, blocks, X.MESSAGE), _answer)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_starts array<int>, span_ends array<int>, kept binary" * with_spans
     return plan.with_replies(windows, apply, schema)
