@@ -108,3 +108,15 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "do
 
     schema = ", ".join(["doc_id long", *(f"{k} long" for k in longs), *(f"{k} double" for k in shares), "base_failed boolean", "kept boolean"])
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def passing(docs: DataFrame, rules: Rules | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that the rules keep."""
+    rules = rules or Rules()
+    sizes = tuple(sorted(rules.ngram_ceilings))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.batched(it, text_col):
+            yield batch.filter(pa.array(verdict(measure(batch.column(text_col), sizes), rules)[1]))
+
+    return docs.mapInArrow(run, docs.schema)
