@@ -19,7 +19,7 @@ from lodegraph.llm import text as T, unicode as U
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
-SIZES = (2, 3, 4)
+SIZES = (3,)
 _LETTER = np.full(256, 32, np.uint64)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
@@ -63,48 +63,59 @@ class Model:
         self.prob = (p / p.sum(1, keepdims=True)).astype(np.float64).T.copy()  # slot x language
         self.log = np.log(self.prob)
 
-    def infer(self, column: pa.Array, penalty: float, steps: int = 12, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the leading language, score) of every text."""
+    def infer(self, column: pa.Array, penalty: float, steps: int = 6, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the leading language, score) of every text.
+
+        A mixture of all languages comes first. Its likelihood is concave in the
+        proportions, so the gradient bounds what any mixture can reach; texts
+        for which that can't pay for a second language are settled. For the
+        others the mixtures of the 2 .. `most` leading languages are compared.
+        """
         doc, slot, count, total = grams(column)
         n, k = len(column), len(self.langs)
-        if not k:
-            return np.zeros(n, np.int64), np.zeros(n)
-        at = np.searchsorted(doc, np.arange(n + 1))
-        p, weight = self.prob[slot], count[:, None].astype(np.float64)
-
-        def per_doc(x: np.ndarray) -> np.ndarray:
-            return np.stack([T.sums(x[:, j], at) for j in range(x.shape[1])], 1)
-
-        alone = per_doc(self.log[slot] * weight)
-
-        def mixture(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """EM over the allowed languages of each text: proportions, log-likelihood."""
-            share = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
-            for _ in range(steps):
-                part = share[doc] * p
-                mass = part.sum(1, keepdims=True)
-                share = per_doc(part * (weight / np.maximum(mass, 1e-300)))
-                share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-            mass = (share[doc] * p).sum(1)
-            return share, T.sums(np.log(np.maximum(mass, 1e-300)) * count, at)
-
-        every, _ = mixture(np.ones((n, k)))
-        best = np.argmax(alone, 1)
-        ranked = np.argsort(-every, 1, kind="stable")
-        lead, score = best.copy(), alone[np.arange(n), best] - penalty * np.log(np.maximum(total, 2))
-        share_of = np.ones(n)
-        for size in range(2, min(most, k) + 1):
-            allowed = np.zeros((n, k))
-            np.put_along_axis(allowed, ranked[:, :size], 1.0, 1)
-            share, fit = mixture(allowed)
-            fit -= penalty * size * np.log(np.maximum(total, 2))
-            better = fit > score
-            score[better] = fit[better]
-            lead[better] = np.argmax(share, 1)[better]
-            share_of[better] = share.max(1)[better]
-        odds = alone - alone.max(1, keepdims=True)
-        evidence = 1 / np.exp(np.maximum(odds, -50)).sum(1)
-        return lead, np.clip(np.where(total > 0, share_of * np.where(lead == best, evidence, 1 - evidence), 1 / k), 0, 1)
+        lead, score = np.zeros(n, np.int64), np.zeros(n)
+        if not k or not len(doc):
+            return lead, score + (1 / k if k else 0)
+        p, weight = [np.ascontiguousarray(self.prob[:, j])[slot] for j in range(k)], count.astype(np.float64)
+        own, at = np.unique(doc, return_index=True)
+        sizes, amount = np.diff(np.append(at, len(doc))), total[own].astype(np.float64)
+        alone = np.stack([np.add.reduceat(np.ascontiguousarray(self.log[:, j])[slot] * weight, at) for j in range(k)], 1)
+        best, cost = np.argmax(alone, 1), penalty * np.log(np.maximum(amount, 2))
+        every, fit, reach = _mixture(p, weight, at, sizes, np.ones((len(own), k)), steps, amount)
+        chosen, value, part = best.copy(), alone.max(1) - cost, np.ones(len(own))
+        open_ = np.flatnonzero(reach - 2 * cost > value)
+        if len(open_):
+            pick = np.repeat(np.isin(np.arange(len(own)), open_), sizes)
+            p, weight, sizes, amount = [x[pick] for x in p], weight[pick], sizes[open_], amount[open_]
+            at, ranked = np.cumsum(sizes) - sizes, np.argsort(-every[open_], 1, kind="stable")
+            for size in range(2, min(most, k) + 1):
+                allowed = np.zeros((len(open_), k))
+                np.put_along_axis(allowed, ranked[:, :size], 1.0, 1)
+                share, fit, _ = _mixture(p, weight, at, sizes, allowed, 2 * steps, amount)
+                better = np.flatnonzero(fit - size * cost[open_] > value[open_])
+                value[open_[better]] = (fit - size * cost[open_])[better]
+                chosen[open_[better]], part[open_[better]] = np.argmax(share, 1)[better], share.max(1)[better]
+        evidence = 1 / np.exp(np.maximum(alone - alone.max(1, keepdims=True), -50)).sum(1)
+        lead[own], score[total == 0] = chosen, 1 / k
+        score[own] = np.clip(part * np.where(chosen == best, evidence, 1 - evidence), 0, 1)
+        return lead, score
+
+
+def _mixture(p: list[np.ndarray], weight: np.ndarray, at: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, steps: int, amount: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM over the allowed languages of each text: proportions, log-likelihood, a bound on any proportions' likelihood."""
+    share = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
+    for step in range(steps + 1):
+        mass = np.repeat(share[:, 0], sizes) * p[0]
+        for j in range(1, len(p)):
+            mass += np.repeat(share[:, j], sizes) * p[j]
+        np.maximum(mass, 1e-300, out=mass)
+        ratio = weight / mass
+        slope = np.stack([np.add.reduceat(x * ratio, at) for x in p], 1)
+        if step < steps:
+            share = share * slope
+            share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
+    fit = np.add.reduceat(np.log(mass) * weight, at)
+    return share, fit, fit + amount * np.log(np.maximum((slope * allowed).max(1) / amount, 1))
 
 
 def fit(training: DataFrame) -> Model:
