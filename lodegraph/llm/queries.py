@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodegraph.llm import bpe, classifier, decontaminate, htmltext, jaccard, langid, quality, substring, suffix
+from lodegraph.llm import bpe, classifier, decontaminate, htmltext, jaccard, langid, lm, quality, substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), fold(7) != 2, ranks_path())
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks_path())
