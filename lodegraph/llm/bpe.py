@@ -32,6 +32,9 @@ OTHER, LETTER, NUMBER, SPACE, GLUE, EDGE, SHORT, LONG, FIRST = range(9)
 
 #: Distinct slices that a worker keeps merged; beyond that it starts anew.
 CACHE_SLICES = 200_000
+#: Longer slices are merged one by one and not kept.
+LONG_SLICE = 48
+NO_RANK = 1 << 30
 BLOCK = 64
 
 
@@ -122,6 +125,10 @@ def _prefix(functions: np.ndarray) -> np.ndarray:
     return np.concatenate([[FRESH], total[:-1, FRESH]]).astype(np.uint8)
 
 
+def _spread(keys: np.ndarray, size: int) -> np.ndarray:
+    return (T.mix(keys.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
 class Ranks:
     """Merge ranks from a file of base64 tokens and numbers."""
 
@@ -136,6 +143,9 @@ class Ranks:
         self.lengths = lengths
         self.begin = np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pairs: np.ndarray | None = None
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
         self.cache: dict[bytes, tuple[bytes, bytes]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -165,17 +175,104 @@ class Ranks:
                 heapq.heappush(heap, (r, k, end))
         return [rank[piece[i : right[i]]] for i in range(n) if alive[i]]
 
-    def entry(self, piece: bytes) -> tuple[bytes, bytes]:
-        """(ids as int32 bytes, ids as decimal text with a comma after each)."""
-        have = self.cache.get(piece)
-        if have is None:
-            ids = self.merge(piece)
-            have = np.array(ids, np.int32).tobytes(), "".join(f"{i}," for i in ids).encode()
-            if len(self.cache) >= CACHE_SLICES:
-                self.cache.clear()
-            if len(piece) <= 64:
-                self.cache[piece] = have
-        return have
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Open-addressed table of the pairs of tokens that join to a token: keys and ranks."""
+        if self.table is None:
+            rank = self.rank
+            found = [(a << 32 | b, r) for t, r in rank.items() for k in range(1, len(t)) if (a := rank.get(t[:k])) is not None and (b := rank.get(t[k:])) is not None]
+            keys, ranks_ = (np.array(x, np.int64) for x in zip(*found, strict=True))
+            size = 1 << (4 * len(keys)).bit_length()
+            table, value = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+            place = _spread(keys, size)
+            left = np.arange(len(keys))
+            while len(left):
+                free = left[table[place[left]] < 0]
+                table[place[free]], value[place[free]] = keys[free], ranks_[free]
+                left = left[table[place[left]] != keys[left]]
+                place[left] = (place[left] + 1) & (size - 1)
+            self.table = table, value
+        return self.table
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, NO_RANK if they don't join."""
+        table, value = self._pairs()
+        key = left << 32 | right
+        place = _spread(key, len(table))
+        have = table[place]
+        rank = np.where(have == key, value[place], NO_RANK)
+        open_ = np.flatnonzero((have != key) & (have >= 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & (len(table) - 1)
+            have = table[place[open_]]
+            hit = have == key[open_]
+            rank[open_[hit]] = value[place[open_[hit]]]
+            open_ = open_[~hit & (have >= 0)]
+        return rank
+
+    def merge_all(self, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many short slices at once, without merge()'s look at the whole slice.
+
+        text: their bytes, end to end. In each round every slice joins its lowest
+        pair, the leftmost of equal ones; only the pairs beside it are looked up
+        again. Returns (tokens, cuts): tokens of slice i are cuts[i] .. cuts[i + 1].
+        """
+        n = len(sizes)
+        token, word = self.single[text], np.repeat(np.arange(n), sizes)
+        rank = np.full(len(token), NO_RANK, np.int64)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self._bytes()[text[inside].astype(np.int64) << 8 | text[inside + 1]]
+        done_token, done_word = [], []
+        while len(token):
+            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            low = np.minimum.reduceat(rank << 32 | np.arange(len(token)), begin)
+            joins = low >> 32 < NO_RANK
+            if not joins.all():
+                stays = np.repeat(joins, np.diff(np.append(begin, len(token))))
+                done_token.append(token[~stays])
+                done_word.append(word[~stays])
+                at = (np.cumsum(stays) - 1)[low[joins] & 0xFFFFFFFF]
+                token, word, rank = token[stays], word[stays], rank[stays]
+            else:
+                at = low & 0xFFFFFFFF
+            if not len(token):
+                break
+            token[at] = low[joins] >> 32
+            stays = np.ones(len(token), bool)
+            stays[at + 1] = False
+            token, word, rank = token[stays], word[stays], rank[stays]
+            at = at - np.arange(len(at))
+            pairs = np.concatenate([at, at[at > 0] - 1])
+            rank[at] = NO_RANK
+            pairs = pairs[pairs + 1 < len(token)]
+            pairs = pairs[word[pairs] == word[pairs + 1]]
+            rank[pairs] = self._look_up(token[pairs], token[pairs + 1])
+        token, word = np.concatenate([*done_token, token]), np.concatenate([*done_word, word])
+        order = np.argsort(word, kind="stable")
+        return token[order].astype(np.int32), np.searchsorted(word[order], np.arange(n + 1))
+
+    def _bytes(self) -> np.ndarray:
+        if self.byte_pairs is None:
+            a, b = np.divmod(np.arange(65536), 256)
+            self.byte_pairs = self._look_up(self.single[a], self.single[b])
+        return self.byte_pairs
+
+    def entries(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids as int32 bytes, ids as decimal text with a comma after each) of each slice."""
+        cache = self.cache
+        out = [cache.get(p) for p in pieces]
+        new = [k for k, e in enumerate(out) if e is None]
+        many = [k for k in new if 1 < len(pieces[k]) <= LONG_SLICE and pieces[k] not in self.rank]
+        sizes = np.array([len(pieces[k]) for k in many], np.int64)
+        token, cuts = self.merge_all(np.frombuffer(b"".join([pieces[k] for k in many]), np.uint8), sizes)
+        merged = {k: token[p:q] for k, p, q in zip(many, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+        if len(cache) + len(new) > CACHE_SLICES:
+            cache.clear()
+        for k in new:
+            ids = merged[k] if k in merged else np.array(self.merge(pieces[k]), np.int32)
+            out[k] = ids.tobytes(), ("%d," * len(ids) % tuple(ids.tolist())).encode()
+            if len(pieces[k]) <= LONG_SLICE and len(cache) < CACHE_SLICES:
+                cache[pieces[k]] = out[k]
+        return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the tokens, gathered by offsets."""
@@ -203,7 +300,7 @@ class Encoded:
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
         raw = buf.tobytes()
         _, where, inverse = np.unique(T.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        entries = [table.entry(raw[s:e]) for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        entries = table.entries([raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
         sizes = np.array([len(e[0]) // 4 for e in entries], np.int64)
         flat = np.frombuffer(b"".join(e[0] for e in entries), np.int32)
         begin = np.cumsum(sizes) - sizes
