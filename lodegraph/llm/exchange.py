@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Id that stands for a null one: such rows count as one last document.
 NULL_ID = (1 << 63) - 1
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 MESSAGE = "bucket int, origin int, body binary"
 
 
@@ -33,11 +34,11 @@ def pack(*columns: np.ndarray | bytes, ordered: bool = False) -> bytes:
         width = column.dtype.itemsize
         planes = column.view(np.uint8).reshape(-1, width).T.tobytes()
         parts.append(struct.pack("<2sIB", column.dtype.str[1:].encode(), len(column), k == 0 and ordered) + planes)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return _SQUEEZE.compress(b"".join(parts))
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(body)
+    raw = _EXPAND.decompress(body)
     at, out = 0, []
     while at < len(raw):
         kind, n, ordered = struct.unpack_from("<2sIB", raw, at)
@@ -69,14 +70,14 @@ def trim(hashes: np.ndarray, bits: int) -> np.ndarray:
 class Plan:
     """Documents dealt to shards; numbers of shards and buckets, and bits that a filter's hashes need, for their size."""
 
-    def __init__(self, docs: DataFrame, shard_bytes: int, id_col: str = "doc_id", text_col: str = "text"):
-        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    def __init__(self, docs: DataFrame, shard_bytes: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()):
+        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
         got = self.rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
         self.bytes, self.count = int(got.b or 0), int(got.n)
         self.bits = min(64, self.bytes.bit_length() + 10)
         self.shards = max(1, -(-self.bytes // shard_bytes))
         shard: Column = F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int")
-        self.dealt = self.rows.select(shard.alias("shard"), "id", "text")
+        self.dealt = self.rows.select(shard.alias("shard"), "*")
 
     def buckets(self, per: int) -> int:
         return max(1, -(-self.bytes // per))

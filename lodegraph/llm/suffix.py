@@ -23,11 +23,15 @@ from lodegraph.llm import exchange as X, text as T
 
 LENGTH = 50
 GRAM = 24
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Text of the blocks that one suffix array covers; positions take 21 bits of a sort key.
-ARRAY_BYTES = (1 << 21) - (1 << 12)
+ARRAY_BYTES = 1 << 20
 #: Windows of an anchor that more documents than this hold are dealt one by one.
-HOT_DOCUMENTS = 50_000
+HOT_DOCUMENTS = 2_000
+#: Text that is hashed at a time.
+PIECE_BYTES = 1 << 18
+_SEED = 3
+_CODES = T.byte_codes(_SEED)
 _POS = np.uint64(21)
 _MASK = np.uint64((1 << 21) - 1)
 
@@ -113,58 +117,69 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, start: np.ndarray, firs
 
 
 class _Shard:
-    """Blocks of the documents of a shard."""
+    """Blocks of the documents of a shard, found in pieces that stay in a CPU's cache."""
 
     def __init__(self, t: pa.Table):
         self.buf, self.offsets = T.buffers(X.text_of(t))
         self.ids = X.ids_of(t)
-        n = len(self.buf)
+        found, p, n = [], 0, len(self.ids)
+        while p < n:
+            q = max(p + 1, int(np.searchsorted(self.offsets, self.offsets[p] + PIECE_BYTES, "right")) - 1)
+            found.append(self._blocks(int(self.offsets[p]), int(self.offsets[q]), self.offsets[p + 1 : q] - self.offsets[p]))
+            p = q
+        self.first, self.count, self.anchor, self.key = (np.concatenate(c) for c in zip(*found, strict=True)) if found else _none()
+        self.doc = self.ids[np.searchsorted(self.offsets, self.first, "right") - 1]
+
+    def _blocks(self, low: int, high: int, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first window, number of windows, anchor's hash, hash of the bytes) of the blocks in buf[low:high]; texts end at `ends`."""
+        buf = self.buf[low:high]
+        n = len(buf)
         size = n - LENGTH + 1
         if size <= 0:
-            self.first = self.last = self.anchor_at = np.zeros(0, np.int64)
-            self.anchor, self.doc, self.total = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
-            return
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(T.byte_codes(3)[self.buf] * T._power(T._P, n), out=self.total[1:])
-        grams = self.hash(np.arange(n - GRAM + 1), GRAM)
-        low = np.uint64(0xFFFFFFFF)
-        best = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+            return _none()
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODES[buf] * T._power(T._P, n), out=total[1:])
+        inverse = T._power(T._PINV, n + 1)
+        grams = (total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1]
+        grams = T.mix(grams)
+        mask = np.uint64(0xFFFFFFFF)
+        best = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
         span, width = 1, LENGTH - GRAM + 1
         while span * 2 <= width:
             best = np.minimum(best[:-span], best[span:])
             span *= 2
-        best = np.minimum(best[:size], best[width - span : width - span + size])
-        at = (best & low).astype(np.int64)
-        valid = np.ones(size, bool)
-        for p, q in ((max(0, e - LENGTH + 1), min(int(e), size)) for e in self.offsets[1:-1]):
-            valid[p:q] = False
-        new = np.append(True, at[1:] != at[:-1]) | np.append(True, ~valid[:-1])
-        self.first = np.flatnonzero(new & valid)
-        ends = np.append(at[1:] != at[:-1], True) | np.append(~valid[1:], True)
-        self.last = np.flatnonzero(ends & valid)
-        self.anchor_at = at[self.first]
-        self.anchor = grams[self.anchor_at]
-        self.row = np.searchsorted(self.offsets, self.first, "right") - 1
-        self.doc = self.ids[self.row]
-
-    def hash(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        inverse = T._power(T._PINV, len(self.buf) + 1)
-        return T.mix((self.total[at + length] - self.total[at]) * inverse[at] + np.asarray(length).astype(np.uint64))
+        at = (np.minimum(best[:size], best[width - span : width - span + size]) & mask).astype(np.int64)
+        change = np.flatnonzero(at[1:] != at[:-1]) + 1
+        # Windows that reach over a text's end belong to no block.
+        fences = np.unique(np.concatenate([np.maximum(ends - LENGTH + 1, 0), np.minimum(ends, size)]))
+        first = np.unique(np.concatenate([np.zeros(1, np.int64), change, fences[fences < size]]))
+        last = np.append(first[1:], size)
+        reach = np.searchsorted(ends, first, "right")  # the text of the first window
+        stop = np.append(ends, n)[reach]
+        use = first + LENGTH <= stop
+        first, count = first[use], (last - first)[use]
+        # Smallest hashes are small numbers: mixed again, they deal evenly.
+        return first + low, count, T.mix(grams[at[first]]), T.mix((total[first + count + LENGTH - 1] - total[first]) * inverse[first] + (count + LENGTH - 1).astype(np.uint64))
 
     def choose(self, found: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first window, windows, document, key, code that deals it) of the blocks with shared anchors (found: entry of each anchor or -1); hot ones window by window."""
         use = np.flatnonzero(found >= 0)
         cold = use[~hot[found[use]]]
-        first, count, doc, deal = self.first[cold], self.last[cold] - self.first[cold] + 1, self.doc[cold], self.anchor[cold]
-        key = self.hash(first, count + (LENGTH - 1)) if len(first) else np.zeros(0, np.uint64)
-        warm = use[hot[found[use]]]
-        if len(warm):
-            n = self.last[warm] - self.first[warm] + 1
-            at = np.repeat(self.first[warm] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            own = self.hash(at, LENGTH)
-            first, count = np.append(first, at), np.append(count, np.ones(len(at), np.int64))
-            doc, key, deal = np.append(doc, np.repeat(self.doc[warm], n)), np.append(key, own), np.append(deal, own)
-        return first, count, doc, key, deal
+        warm = self.single(use[hot[found[use]]])
+        return tuple(np.concatenate(c) for c in zip((self.first[cold], self.count[cold], self.doc[cold], self.key[cold], self.anchor[cold]), warm, strict=True))
+
+    def single(self, blocks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The windows of these blocks as blocks of their own, dealt by their bytes."""
+        n = self.count[blocks]
+        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(begin, n) + step
+        key = T.span_hashes(_gather(self.buf, self.first[blocks], n + LENGTH - 1), own, own + LENGTH, _SEED)
+        return np.repeat(self.first[blocks], n) + step, np.ones(len(own), np.int64), np.repeat(self.doc[blocks], n), key, key
+
+
+def _none() -> tuple[np.ndarray, ...]:
+    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
 def _gather(buf: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -256,15 +271,15 @@ def _answer(origins: list[int], bodies: list[bytes]) -> Iterable[tuple[int, int,
             yield 0, origin, X.pack(s[0][smaller], n[smaller].astype(np.uint8), values[np.repeat(smaller, n)], ordered=True)
 
 
-def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove bytes covered by a 50-byte string that starts in a document with a smaller id.
 
     One row per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256 and, if asked for, the remaining bytes and the spans' starts and
-    ends. Null counts as empty. Rows with one id are one document; a null id is
+    kept_sha256 and, if asked for, the spans' starts and ends and the remaining
+    bytes, also as a text without characters that were cut; `carry` names columns to hand on as carry_0, carry_1 and so on. Null counts as empty. Rows with one id are one document; a null id is
     the last of all. Strings never cross documents and are judged on the input.
     """
-    plan = X.Plan(docs, SHARD_BYTES, id_col, text_col)
+    plan = X.Plan(docs, SHARD_BYTES, id_col, text_col, carry)
     n_anchor, n_block = plan.buckets(16 << 20), plan.buckets(2 << 20)
     bits, hot_documents = plan.bits, HOT_DOCUMENTS
 
@@ -296,30 +311,24 @@ def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str =
         s = _Shard(t)
         n = len(s.buf)
         gone = np.zeros(n, bool)
-        if replies and s.total is not None:
-            parts = [X.unpack(b) for b in replies]
+        parts = [X.unpack(b) for b in replies]
+        hot = np.sort(np.concatenate([p[0] for p in parts if len(p) == 2] or [np.zeros(0, np.uint64)]))
+        parts = [p for p in parts if len(p) == 3]
+        if parts and len(s.first):
             keys, count, values = (np.concatenate([p[k] for p in parts]) for k in range(3))
             begin = np.cumsum(count.astype(np.int64)) - count
             order = np.argsort(keys, kind="stable")
-            table = keys[order]
+            warm = np.flatnonzero(X.lookup(hot, X.trim(s.anchor, bits)) >= 0)
             marks = []
-
-            def mark(first: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray) -> None:
-                found = X.lookup(table, key)
+            for first, size, doc, key in ((s.first, s.count, s.doc, s.key), s.single(warm)[:4]):
+                found = X.lookup(keys[order], key)
                 use = np.flatnonzero(found >= 0)
                 entry = order[found[use]]
                 use, entry = use[count[entry] == size[use]], entry[count[entry] == size[use]]
                 k = size[use]
                 step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 marks.append((np.repeat(first[use], k) + step)[values[np.repeat(begin[entry], k) + step] < np.repeat(doc[use], k)])
-
-            size = s.last - s.first + 1
-            if len(s.first):
-                mark(s.first, size, s.doc, s.hash(s.first, size + (LENGTH - 1)))
-                if (count == 1).any():  # windows dealt one by one
-                    at = np.repeat(s.first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    mark(at, np.ones(len(at), np.int64), np.repeat(s.doc, size), s.hash(at, LENGTH))
-            gone = T.covered(n, np.unique(np.concatenate([np.zeros(0, np.int64), *marks])), LENGTH)
+            gone = T.covered(n, np.unique(np.concatenate(marks)), LENGTH)
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[s.offsets[:-1][np.diff(s.offsets) > 0]] = gone[s.offsets[:-1][np.diff(s.offsets) > 0]]
@@ -340,9 +349,19 @@ def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str =
                 base = np.repeat(s.offsets[:-1], np.diff(own))
                 columns[name] = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(where - base, pa.int32()))
             columns["kept"] = pa.array(rest, pa.binary())
+            columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string())
+        columns |= {f"carry_{k}": t.column(f"carry_{k}") for k in range(len(carry))}
         return pa.table(columns)
 
-    shared = X.answer(plan.send(anchors), X.census)
-    windows = X.answer(plan.with_replies(shared, blocks, X.MESSAGE), _answer)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_starts array<int>, span_ends array<int>, kept binary" * with_spans
-    return plan.with_replies(windows, apply, schema)
+    def census(origins: list[int], bodies: list[bytes]) -> Iterable[tuple[int, int, bytes]]:
+        for _, origin, body in X.census(origins, bodies):
+            yield 0, origin, body
+            codes, held = X.unpack(body)
+            if (held > hot_documents).any():
+                yield 1, origin, X.pack(codes[held > hot_documents], held[held > hot_documents], ordered=True)
+
+    shared = X.answer(plan.send(anchors), census)
+    windows = X.answer(plan.with_replies(shared.where("bucket = 0"), blocks, X.MESSAGE), _answer)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_starts array<int>, span_ends array<int>, kept binary, kept_text string" * with_spans
+    schema += "".join(f", carry_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    return plan.with_replies(windows.union(shared.where("bucket = 1")), apply, schema)

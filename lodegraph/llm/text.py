@@ -6,11 +6,19 @@ characters in Python; every helper works on a whole slice of documents.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# Large arrays come from pages of their own and go back to the system when freed
+# (glibc's M_MMAP_THRESHOLD and M_TRIM_THRESHOLD), so that idle workers stay small.
+with contextlib.suppress(OSError, AttributeError):
+    for _option in (-3, -1):
+        ctypes.CDLL(None).mallopt(_option, 4 << 20)
+
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -86,27 +94,6 @@ def batched(it: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) ->
         yield from slices(batch, column, limit)
 
 
-def shards(it: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Like batched(), but small batches are put together up to `limit` bytes first."""
-    have: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batched(it, column, limit):
-        own = batch.column(column).nbytes
-        if have and size + own > limit:
-            yield _joined(have)
-            have, size = [], 0
-        have.append(batch)
-        size += own
-    if have:
-        yield _joined(have)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    if len(parts) == 1:
-        return parts[0]
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of each text of a slice; they never cross texts."""
 
