@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodegraph.llm import exchange as X, text as T
 from lodegraph.operators.checkpoints import cut
@@ -274,3 +274,16 @@ def jaccard_groups(docs: DataFrame, measure: Measure | None = None, id_col: str
     found = counts.withColumn("id", key).join(groups, "id", "left")
     component = F.coalesce("component", "id")
     return found.select("doc_id", "n_shingles", F.when(component != X.NULL_ID, component).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without those that link to a smaller id by any chain.
+
+    Of rows with one id and one text one stays; rows with a null id all stay, as
+    do texts without words.
+    """
+    groups = connected_components(links(docs.where(F.col(id_col).isNotNull()), measure, id_col, text_col))
+    later = groups.where("component < id").select(F.col("id").alias("group_later_id"))
+    left = docs.join(later, F.col(id_col) == F.col("group_later_id"), "left_anti")
+    once = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit("x"))
+    return left.withColumn("group_copy", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(once))).where("group_copy = 1").drop("group_copy")
