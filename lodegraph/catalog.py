@@ -1,10 +1,396 @@
-"""Registered queries of the ranking engine and their SQL."""
+"""Registered queries of the ranking engine over the driver's tables, and their SQL for DuckDB.
+
+Every query runs over its whole tables. Doubles are rounded on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from lodegraph import sinks
+from lodegraph.functions import lines, names
+from lodegraph.operators import clusters, ranking, references, similarity
+from lodegraph.operators.checkpoints import cut
+from lodegraph.operators.components import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+THRESHOLD = 0.8
+#: For queries that list similar pairs; whole copies count once there.
+LOOSE = 0.4
+
+
+def query(sql: str | None = None) -> Callable[[Callable], Callable]:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- lines and tokens -------------------------------------------------------
+
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS n FROM documents"
+_LINE_TABLE = f"SELECT doc_id, CASE WHEN k < n THEN piece || chr(10) ELSE piece END AS line FROM ({_LINES}) WHERE k < n OR piece <> ''"
+
+
+def _line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(lines.split_lines(F.col("text"))).alias("line"))
+
+
+@query(f"SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM ({_LINE_TABLE}) GROUP BY doc_id")
+def lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_table(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(f"SELECT doc_id, md5(line) AS line_md5, count(*) AS times FROM ({_LINE_TABLE}) GROUP BY ALL HAVING count(*) > 1")
+def line_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_table(spark, sf_dir).groupBy("doc_id", F.md5("line").alias("line_md5")).agg(F.count("*").alias("times")).where("times > 1")
+
+
+_BT = "`(?:[^`\\\\]|\\\\.)*`|''(?:[^''\\\\]|\\\\.)*''|\"(?:[^\"\\\\]|\\\\.)*\"|//[^\\n]*|/\\*[\\s\\S]*?\\*/|[a-zA-Z_$][a-zA-Z0-9_$]*|[0-9]+(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?n?"
+_JS_SQL = "SELECT page_id, token, count(*) AS times FROM (SELECT page_id, unnest(list_filter(regexp_extract_all(s, '(?s)" + _BT + "|[^\\s\\p{L}\\p{M}\\p{N}\\p{Pc}''\"` ]'), lambda x: NOT starts_with(x, '//') AND NOT starts_with(x, '/*'))) AS token FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS s FROM pages)) GROUP BY ALL"
+
+
+@query(_JS_SQL)
+def js_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scripts = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1))).alias("s"))
+    return scripts.select("page_id", F.explode(lines.js_tokens(F.col("s"))).alias("token")).groupBy("page_id", "token").agg(F.count("*").alias("times"))
+
+
+@query("SELECT page_id, md5(regexp_replace(regexp_replace(html, '/\\*[\\s\\S]*?\\*/', ' ', 'g'), '//[^\\n]*', ' ', 'g')) AS clean_md5 FROM pages")
+def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(lines.without_js_comments(F.col("html"))).alias("clean_md5"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS specifier, starts_with(specifier, '.') AS relative FROM pages")
+def specifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("specifier")).withColumn("relative", F.col("specifier").startswith("."))
+
+
+@query("SELECT doc_id, list_filter(regexp_extract_all(text, '\\bfrom\\s+[''\"]([^''\"]+)[''\"]', 1), lambda x: starts_with(x, '.')) AS specifiers, len(regexp_extract_all(text, '\\bextends\\s+([\\w$][\\w$]*)', 1)) AS n_extends FROM documents")
+def js_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("text", F.lit(lines.JS_SPECIFIERS[0]), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.filter(found, lambda x: x.startswith(".")).alias("specifiers"), F.size(F.regexp_extract_all("text", F.lit(lines.JS_EXTENDS), F.lit(1))).cast("long").alias("n_extends"))
+
+
+# ---- names ------------------------------------------------------------------
+
+_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+_QNAME = f"replace(regexp_replace(regexp_replace({_PATH}, '(?i)\\.(tsx|ts|jsx|mjs|cjs|js)$', ''), '/index$', ''), '/', '.')"
+
+
+def _qname(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(spark, sf_dir, "pages").select("page_id", names.js_qname(path).alias("qname"))
+
+
+@query(f"SELECT page_id, {_QNAME} AS qname FROM pages")
+def qname_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _qname(spark, sf_dir)
+
+
+@query(f"SELECT page_id, list_last(string_split(qname, '.')) AS simple_name FROM (SELECT page_id, {_QNAME} AS qname FROM pages)")
+def simple_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _qname(spark, sf_dir).select("page_id", names.simple_name(F.col("qname")).alias("simple_name"))
+
+
+@query(f"SELECT page_id, regexp_extract(qname, '^(.*)\\.[^.]*$', 1) AS package FROM (SELECT page_id, {_QNAME} AS qname FROM pages)")
+def package_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _qname(spark, sf_dir).select("page_id", names.package_of(F.col("qname")).alias("package"))
+
+
+_PART_NAMES = "SELECT p_partkey, replace(p_name, ' ', '.') AS qualified_name FROM part"
+
+
+def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("qualified_name"))
+
+
+@query(f"SELECT list_last(string_split(qualified_name, '.')) AS simple_name, count(*) AS n, md5(string_agg(qualified_name, ',' ORDER BY qualified_name)) AS names_md5 FROM ({_PART_NAMES}) GROUP BY 1")
+def name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = references.name_map(_part_names(spark, sf_dir))
+    return found.select("simple_name", F.size("qualified_names").cast("long").alias("n"), F.md5(F.array_join("qualified_names", ",")).alias("names_md5"))
+
+
+@query(f"SELECT simple_name, min(qualified_name) AS qualified_name FROM (SELECT list_last(string_split(qualified_name, '.')) AS simple_name, qualified_name FROM ({_PART_NAMES})) GROUP BY 1 HAVING count(*) = 1")
+def unambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.name_map(_part_names(spark, sf_dir)).where(F.size("qualified_names") == 1).select("simple_name", F.get("qualified_names", 0).alias("qualified_name"))
+
+
+# Customers refer to nations by name and to regions as packages: REGION.NATION is a qualified name.
+_RESOLVE = """
+WITH u AS (SELECT r_name || '.' || n_name AS q, n_name AS s FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_name FROM region),
+refs AS (SELECT DISTINCT c_custkey AS corpus_index, CASE WHEN c_custkey % 3 = 0 THEN 'ASIA' ELSE '' END AS package, CASE c_custkey % 4 WHEN 0 THEN r_name || '.' || n_name WHEN 1 THEN n_name WHEN 2 THEN 'NOWHERE' ELSE r_name END AS ref
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT corpus_index, ref, ref AS target, 0 AS rule FROM refs WHERE ref IN (SELECT q FROM u)
+  UNION ALL SELECT corpus_index, ref, package || '.' || ref, 2 FROM refs WHERE package <> '' AND package || '.' || ref IN (SELECT q FROM u)
+  UNION ALL SELECT corpus_index, refs.ref, o.q, 4 FROM refs JOIN (SELECT s, min(q) AS q FROM u GROUP BY s HAVING count(*) = 1) o ON o.s = refs.ref)
+SELECT corpus_index, ref, arg_min(target, rule) AS target FROM c GROUP BY 1, 2"""
+
+
+@query(_RESOLVE)
+def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region, customer = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    universe = places.select(F.concat_ws(".", "r_name", "n_name").alias("qualified_name")).union(region.select("r_name"))
+    k = F.col("c_custkey") % 4
+    ref = F.when(k == 0, F.concat_ws(".", "r_name", "n_name")).when(k == 1, F.col("n_name")).when(k == 2, F.lit("NOWHERE")).otherwise(F.col("r_name"))
+    refs = customer.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("corpus_index"), F.when(F.col("c_custkey") % 3 == 0, "ASIA").otherwise("").alias("package"), ref.alias("ref"))
+    return references.resolve(refs, universe)
+
+
+# ---- similarity and classes -------------------------------------------------
+
+
+def _doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), lines.split_lines(F.coalesce("text", F.lit(""))).alias("seq"))
+
+
+@query("WITH s AS (SELECT p_size AS size, count(*) AS n FROM part GROUP BY 1) SELECT a.size AS a_size, b.size AS b_size, a.n * b.n AS pairs FROM s a JOIN s b ON a.size < b.size AND b.size <= 10 * a.size")
+def size_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("size")).agg(F.count("*").alias("n"))
+    a, b = (sizes.select(F.col("size").alias(f"{k}_size"), F.col("n").alias(f"{k}_n")) for k in ("a", "b"))
+    return a.join(b, (F.col("a_size") < F.col("b_size")) & similarity.ratio_ok(F.col("a_size"), F.col("b_size"))).select("a_size", "b_size", (F.col("a_n") * F.col("b_n")).alias("pairs"))
+
+
+_BOUND = f"""
+WITH d AS (SELECT md5(text) AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+l AS (SELECT doc_id, line, count(*) AS n FROM ({_LINE_TABLE}) WHERE doc_id IN (SELECT doc_id FROM d) GROUP BY ALL),
+s AS (SELECT doc_id, sum(n) AS size FROM l GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS m FROM l a JOIN l b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b, m::BIGINT AS overlap FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE m >= {LOOSE} * (x.size + y.size - m) - 1e-9 AND greatest(x.size, y.size) <= 10 * least(x.size, y.size)"""
+
+
+@query(_BOUND)
+def jaccard_bound_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different documents whose lines, as multisets, reach the threshold."""
+    s = similarity.distinct_sequences(_doc_items(spark, sf_dir))
+    pairs = similarity.candidates(s, LOOSE)
+    count = s.select("key", "first", F.explode("seq").alias("line")).groupBy("key", "first", "line").agg(F.count("*").alias("n"))
+    left, right = (count.select(F.col("key").alias(k), F.col("first").alias(f"{k}_doc"), "line", F.col("n").alias(f"{k}_n")) for k in ("a", "b"))
+    overlap = pairs.join(left, "a").join(right, ["b", "line"]).groupBy("a", "b", "a_doc", "b_doc").agg(F.sum(F.least("a_n", "b_n")).alias("overlap"))
+    sizes = s.select("key", "size")
+    both = overlap.join(sizes.select(F.col("key").alias("a"), F.col("size").alias("x")), "a").join(sizes.select(F.col("key").alias("b"), F.col("size").alias("y")), "b")
+    return both.where(F.col("overlap") >= LOOSE * (F.col("x") + F.col("y") - F.col("overlap")) - 1e-9).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), "overlap")
+
+
+@query()
+def diff_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.similar_sequences(similarity.distinct_sequences(_doc_items(spark, sf_dir)), "diff", LOOSE)
+    return found.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"), F.round("score", 8).alias("score"))
+
+
+@query()
+def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations compared by their tokens."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), lines.js_tokens(F.coalesce("text", F.lit(""))).alias("seq"))
+    found = similarity.similar_sequences(similarity.distinct_sequences(turns), "token", LOOSE)
+    return found.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"), F.round("score", 8).alias("score"))
+
+
+# Customers and suppliers linked by the first order of each customer in each month: a sparse graph.
+_LINKS = "SELECT DISTINCT c AS a, 1000000 + s AS b FROM (SELECT o_custkey AS c, min(l_suppkey) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_linenumber = 1 GROUP BY o_custkey, o_orderkey)"
+_COMPONENTS = f"""
+WITH RECURSIVE e AS ({_LINKS}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, root) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT x.b, r.root FROM r JOIN both_ways x ON x.a = r.id WHERE r.root < x.b)
+SELECT id, min(root) AS component FROM r GROUP BY id"""
+
+
+def _sparse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_linenumber = 1").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return first.groupBy("o_custkey", "o_orderkey").agg(F.min("l_suppkey").alias("s")).select(F.col("o_custkey").alias("a"), (F.lit(1000000) + F.col("s")).alias("b")).distinct()
+
+
+@query(_COMPONENTS)
+def components_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(_sparse_links(spark, sf_dir))
+
+
+# Documents with equal texts, or equal but for upper case, are one class.
+_DOC_CLASS = "SELECT doc_id AS idx, (dense_rank() OVER (ORDER BY root) - 1)::INT AS cluster_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text)) AS root FROM documents)"
+
+
+def _doc_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.sha2(F.lower("text"), 256).alias("key"))
+    first = docs.groupBy("key").agg(F.min("idx").alias("b"))
+    return clusters.cluster(docs, docs.join(first, "key").select(F.col("idx").alias("a"), "b"))
+
+
+@query(_DOC_CLASS)
+def cluster_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_classes(spark, sf_dir)
+
+
+@query(f"SELECT size, count(*) AS clusters FROM (SELECT cluster_id, count(*) AS size FROM ({_DOC_CLASS}) GROUP BY 1) GROUP BY 1")
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.members(_doc_classes(spark, sf_dir)).groupBy(F.size("members").cast("long").alias("size")).agg(F.count("*").alias("clusters"))
+
+
+@query()
+def document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents by the diff measure."""
+    items = _doc_items(spark, sf_dir)
+    return clusters.cluster(items, similarity.similarity_links(items, "diff", THRESHOLD))
+
+
+# A document uses the next document of its language; classes by text.
+_CLUSTER_EDGES = f"""
+WITH c AS ({_DOC_CLASS}), u AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS target FROM documents)
+SELECT DISTINCT x.cluster_id AS src, y.cluster_id AS dst FROM u JOIN c x ON x.idx = u.doc_id JOIN c y ON y.idx = u.target WHERE x.cluster_id <> y.cluster_id"""
+
+
+@query(_CLUSTER_EDGES)
+def cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_graph(spark, sf_dir)[1]
+
+
+def _doc_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = cut(_doc_classes(spark, sf_dir))
+    uses = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).cast("string").alias("target")).where("target is not null")
+    named = found.withColumn("qualified_name", F.col("idx").cast("string"))
+    return found, clusters.cluster_edges(uses.join(found, "idx").select("cluster_id", "target"), named)
+
+
+# ---- graph and ranking over the users of events -----------------------------
+
+_EDGES = "SELECT DISTINCT user_id AS src, dst FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND dst <> user_id"
+_NODES = "SELECT DISTINCT user_id AS node FROM events"
+_GRAPH = f"n AS ({_NODES}), e AS ({_EDGES}), g AS (SELECT src, count(*) AS degree FROM e GROUP BY 1), k AS (SELECT count(*)::DOUBLE AS n FROM n)"
+
+
+def _user_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    follows = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    edges = events.select(F.col("user_id").alias("src"), follows.alias("dst")).where("dst is not null and dst <> src").distinct()
+    return events.select(F.col("user_id").alias("node")).distinct(), edges
+
+
+@query(f"WITH {_GRAPH} SELECT node, coalesce(degree, 0) AS out_degree FROM n LEFT JOIN g ON g.src = node")
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.out_degrees(*_user_graph(spark, sf_dir))
+
+
+# Customers use the suppliers of their orders; suppliers use nothing.
+_SHOP = "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+
+
+@query(f"WITH e AS ({_SHOP}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node FROM n WHERE node NOT IN (SELECT src FROM e)")
+def sinks_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(1000000) + F.col("l_suppkey")).alias("dst")).distinct()
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return ranking.sinks(nodes, edges)
+
+
+_MATRIX = f"SELECT x.node AS src, y.node AS dst, CASE WHEN g.degree IS NULL THEN 1 / k.n WHEN e.src IS NOT NULL THEN 0.85 / g.degree + 0.15 / k.n ELSE 0.15 / k.n END AS prob FROM n x CROSS JOIN n y CROSS JOIN k LEFT JOIN g ON g.src = x.node LEFT JOIN e ON e.src = x.node AND e.dst = y.node"
+
+
+@query(f"WITH {_GRAPH} SELECT src, dst, round(prob, 8) AS prob FROM ({_MATRIX})")
+def transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense view of a small graph; the ranking never forms it."""
+    return ranking.transition(*_user_graph(spark, sf_dir)).withColumn("prob", F.round("prob", 8))
+
+
+@query(f"WITH {_GRAPH} SELECT src, round(sum(prob), 8) AS total FROM ({_MATRIX}) GROUP BY 1")
+def matrix_row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.row_sums(ranking.transition(*_user_graph(spark, sf_dir))).select("src", F.round("total", 8).alias("total"))
+
+
+# The walk's own weights: flow along edges, and what sinks and the damping spread evenly.
+def _weights_sql(steps: int) -> str:
+    return f"""WITH RECURSIVE {_GRAPH}, m AS MATERIALIZED (SELECT src, dst, 0.85 / degree AS share FROM e JOIN g USING (src)),
+w(step, node, weight) AS (
+  SELECT 0, node, 1 / (SELECT n FROM k) FROM n
+  UNION ALL
+  SELECT x.step + 1, x.node, x.flow + (0.15 * x.total + 0.85 * x.loose) / (SELECT n FROM k) FROM (
+    SELECT c.step, c.node, coalesce(f.flow, 0) AS flow, sum(c.weight) OVER () AS total, coalesce(sum(c.weight) FILTER (WHERE c.node NOT IN (SELECT src FROM g)) OVER (), 0) AS loose
+    FROM w c LEFT JOIN (SELECT m.dst AS node, sum(v.weight * m.share) AS flow FROM w v JOIN m ON m.src = v.node GROUP BY 1) f ON f.node = c.node
+    WHERE c.step < {steps}) x)
+SELECT node, weight FROM w WHERE step = {steps}"""
+
+
+@query(f"SELECT node, round(weight, 8) AS weight FROM ({_weights_sql(50)})")
+def power_iteration_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _user_graph(spark, sf_dir)
+    return ranking.weights(nodes, edges, max_iter=50, fixed_steps=True).withColumn("weight", F.round("weight", 8))
+
+
+@query(f"SELECT node, round(weight, 8) AS weight FROM ({_weights_sql(60)})")
+def converged_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.weights(*_user_graph(spark, sf_dir)).withColumn("weight", F.round("weight", 8))
+
+
+@query(f"SELECT node, round(weight, 8) AS weight FROM ({_weights_sql(60)})")
+def eigen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By eigenvector where the graph is small enough for it."""
+    nodes, edges = _user_graph(spark, sf_dir)
+    solver = "eigen" if nodes.count() <= ranking.EIGEN_NODES else "power"
+    return ranking.weights(nodes, edges, solver).withColumn("weight", F.round("weight", 8))
+
+
+_RANKED = f"SELECT rank() OVER (ORDER BY weight DESC)::INT AS rank, node, weight FROM (SELECT node, round(weight, 7) AS weight FROM ({_weights_sql(60)}))"
+
+
+def _ranked_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = ranking.weights(*_user_graph(spark, sf_dir)).withColumn("weight", F.round("weight", 7))
+    return ranking.ranked(weighted).select("rank", "node", "weight")
+
+
+@query(_RANKED)
+def rank_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_users(spark, sf_dir)
+
+
+@query("SELECT o_orderkey, rank() OVER (ORDER BY cents DESC)::INT AS rank FROM (SELECT o_orderkey, round(o_totalprice / 1000)::BIGINT AS cents FROM orders)")
+def rank_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 1000).cast("long").alias("cents"))
+    return ranking.competition_rank(orders, "rank", "cents").select("o_orderkey", "rank")
+
+
+@query(f"SELECT * FROM ({_RANKED}) ORDER BY weight DESC, node LIMIT 10")
+def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.top(_ranked_users(spark, sf_dir).orderBy(F.desc("weight"), "node"), 10)
+
+
+@query()
+def declustered_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of document classes, given to each document; ties of a class are exact."""
+    found, edges = _doc_graph(spark, sf_dir)
+    weight = ranking.weights(found.select(F.col("cluster_id").alias("node")).distinct(), edges)
+    spread = found.join(weight, found["cluster_id"] == weight["node"]).select("idx", "cluster_id", F.round("weight", 10).alias("weight"))
+    return ranking.ranked(spread).select("rank", "idx", "cluster_id", "weight")
+
+
+@query()
+def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven steps over documents: diff similarity, classes, contracted graph, weights, ranks."""
+    from lodegraph.plans.corpus import rank_items
+
+    docs = table(spark, sf_dir, "documents")
+    after = F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).cast("string")
+    uses = F.when(F.col("after").isNull(), F.array().cast("array<string>")).otherwise(F.array("after"))
+    items = docs.withColumn("after", after).select(F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("qualified_name"), uses.alias("uses"), lines.split_lines(F.coalesce("text", F.lit(""))).alias("seq"))
+    return rank_items(items).select("rank", "qualified_name", F.round("weight", 10).alias("weight"), "cluster_id")
+
+
+@query(f"SELECT rank, node::VARCHAR AS qualified_name, format('{{:.10f}}', weight) AS weight FROM ({_RANKED})")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_users(spark, sf_dir).select("rank", F.col("node").cast("string").alias("qualified_name"), sinks.csv_weight(F.col("weight")).alias("weight"))
+
+
+@query(f"SELECT rank, node::VARCHAR AS component, format('{{:.8f}}', weight) AS weight FROM ({_RANKED})")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_users(spark, sf_dir).select("rank", F.col("node").cast("string").alias("component"), sinks.table_weight(F.col("weight")).alias("weight"))
+
+
+@query()
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_users(spark, sf_dir).select(sinks.json_row(F.col("rank"), F.col("node").cast("string"), F.col("weight")).alias("row"))
