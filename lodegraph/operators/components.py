@@ -26,9 +26,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nulls, loops and repeated pairs are ignored; an empty table gives an empty one.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null")
-    loops = now.where("u = v").select(F.col("u").alias("id"))
-    now = cut(now.where("u <> v").distinct())
+    given = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct())
+    loops = given.where("u = v").select(F.col("u").alias("id"))
+    now = given.where("u <> v")
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
