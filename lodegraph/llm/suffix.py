@@ -37,7 +37,7 @@ _MASK = np.uint64((1 << 21) - 1)
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Positions of all suffixes in the order of their first `depth` bytes.
+    """Positions of all suffixes in the order of their first `depth` bytes, zero bytes past the end.
 
     Larsson-Sadakane: suffixes are sorted by a short prefix, then only groups
     that are still tied are sorted again, by the rank of the suffix as many
