@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodegraph.llm import bpe, classifier, decontaminate, htmltext, jaccard, langid, lm, quality, substring, suffix
+from lodegraph.llm import bpe, classifier, decontaminate, htmltext, jaccard, langid, lm, oracles, quality, substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_suffix_dedup": oracles.REPEATED_BYTES, "op4_quality_rules": oracles.QUALITY, "op6_jaccard_join": oracles.JACCARD, "op7_substring_dedup": oracles.REPEATED_WORDS}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
