@@ -191,9 +191,9 @@ def diff_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations compared by their tokens."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), lines.js_tokens(F.coalesce("text", F.lit(""))).alias("seq"))
-    found = similarity.similar_sequences(similarity.distinct_sequences(turns), "token", LOOSE)
+    """Documents compared by their tokens."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), lines.js_tokens(F.coalesce("text", F.lit(""))).alias("seq"))
+    found = similarity.similar_sequences(similarity.distinct_sequences(docs), "token", THRESHOLD)
     return found.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"), F.round("score", 8).alias("score"))
 
 
@@ -305,8 +305,8 @@ def matrix_row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The walk's own weights: flow along edges, and what sinks and the damping spread evenly.
-def _weights_sql(steps: int) -> str:
-    return f"""WITH RECURSIVE {_GRAPH}, m AS MATERIALIZED (SELECT src, dst, 0.85 / degree AS share FROM e JOIN g USING (src)),
+def _weights_sql(steps: int, graph: str = _GRAPH) -> str:
+    return f"""WITH RECURSIVE {graph}, m AS MATERIALIZED (SELECT src, dst, 0.85 / degree AS share FROM e JOIN g USING (src)),
 w(step, node, weight) AS (
   SELECT 0, node, 1 / (SELECT n FROM k) FROM n
   UNION ALL
@@ -360,12 +360,15 @@ def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.top(_ranked_users(spark, sf_dir).orderBy(F.desc("weight"), "node"), 10)
 
 
-@query()
+_DOC_GRAPH = f"c AS MATERIALIZED ({_DOC_CLASS}), e AS MATERIALIZED ({_CLUSTER_EDGES.replace('WITH c AS (' + _DOC_CLASS + '), u AS', 'WITH u AS')}), n AS (SELECT DISTINCT cluster_id AS node FROM c), g AS (SELECT src, count(*) AS degree FROM e GROUP BY 1), k AS (SELECT count(*)::DOUBLE AS n FROM n)"
+
+
+@query(f"SELECT rank() OVER (ORDER BY weight DESC)::INT AS rank, idx, cluster_id, weight FROM (SELECT idx, cluster_id, round(weight, 7) AS weight FROM ({_weights_sql(160, _DOC_GRAPH)}) JOIN ({_DOC_CLASS}) ON cluster_id = node)")
 def declustered_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of document classes, given to each document; ties of a class are exact."""
     found, edges = _doc_graph(spark, sf_dir)
     weight = ranking.weights(found.select(F.col("cluster_id").alias("node")).distinct(), edges)
-    spread = found.join(weight, found["cluster_id"] == weight["node"]).select("idx", "cluster_id", F.round("weight", 10).alias("weight"))
+    spread = found.join(weight, found["cluster_id"] == weight["node"]).select("idx", "cluster_id", F.round("weight", 7).alias("weight"))
     return ranking.ranked(spread).select("rank", "idx", "cluster_id", "weight")
 
 
