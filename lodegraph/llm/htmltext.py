@@ -3,7 +3,7 @@
 A tolerant reader turns a page into a tree and a list of text blocks in page
 order. Paragraph-like blocks give points for length and commas to their
 ancestors, less at each level; a container's points are discounted by its share
-of link text. The best container is kept, with siblings that score well enough.
+of link text. The best container is kept, with siblings that score well enough, but for lists of links in it.
 Parts that are never article text (menus, forms, adverts and so on, by element
 or by the words of their class, id and role) are left out beforehand.
 """
@@ -32,18 +32,21 @@ BLOCK = frozenset(
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id or role of parts that are no article text.
 AWAY = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets alert outbrain taboola".split()
+    "ad ads advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets alert disclaimer header topbar outbrain taboola".split()
 )
 STAY = frozenset("article content main body post entry story text".split())
+#: Such words count even beside one of STAY, as in "post-comments".
+_CLEAR = frozenset("ad ads advert comment comments footer menu nav related sidebar".split())
+_CONTAINERS = frozenset("div section ul ol dl table".split())
 _PARAGRAPH = frozenset("p pre blockquote td div section article main li dd body".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "away", "score", "chars", "links", "marks")
+    __slots__ = ("tag", "parent", "away", "score", "chars", "links", "marks", "blocks")
 
     def __init__(self, tag: str, parent: _Node | None, away: bool, marks: frozenset[str] = frozenset()):
         self.tag, self.parent, self.away, self.marks = tag, parent, away, marks
-        self.score, self.chars, self.links = 0.0, 0, 0
+        self.score, self.chars, self.links, self.blocks = 0.0, 0, 0, 0
 
 
 def _away(tag: str, attributes: str, parent: _Node) -> tuple[bool, frozenset[str]]:
@@ -60,7 +63,8 @@ def _away(tag: str, attributes: str, parent: _Node) -> tuple[bool, frozenset[str
     marks = frozenset(w for _, v in _ATTRIBUTE.findall(attributes) for w in _WORD.findall(v.lower()))
     if tag in ("html", "body", "article", "main"):
         return False, marks
-    return bool(_HIDDEN.search(attributes)) or bool(marks & AWAY and not (marks & STAY and tag in ("div", "section") and not marks & {"comment", "comments", "ad", "ads", "sidebar", "related", "footer", "nav", "menu"})), marks
+    stays = tag in _CONTAINERS and marks & STAY and not marks & _CLEAR
+    return bool(_HIDDEN.search(attributes)) or bool(marks & AWAY and not stays), marks
 
 
 def _read(page: str) -> list[tuple[_Node, str, int]]:
@@ -178,6 +182,7 @@ def main_text(page: str | None) -> str:
             at.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             at.chars += len(text)
             at.links += links
+            at.blocks += 1
             at, level = at.parent, level + 1
         if node.tag in ("p", "pre", "blockquote", "td", "li", "dd"):
             nodes[id(node)] = node
@@ -214,11 +219,12 @@ def main_text(page: str | None) -> str:
             if worth(at) + bonus >= limit or at.tag in ("p", "h1", "h2", "h3") and density < 0.25 and (at.chars > 80 or at.tag != "p" or density == 0 and text[-1:] in ".!?"):
                 keep.add(id(at))
     out = []
-    for node, text, links in blocks:
-        at = node
+    for node, text, _ in blocks:
+        at, menu = node, False
         while at is not None and id(at) not in keep:
+            menu |= at.tag in _CONTAINERS and at.blocks > 1 and at.links > 0.75 * at.chars
             at = at.parent
-        if at is not None:
+        if at is not None and not menu:
             out.append(text)
     return "\n".join(out)
 

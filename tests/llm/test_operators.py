@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -307,6 +308,12 @@ def test_page():
     assert htmltext.main_text(PAGE) == want
     div = PAGE.replace("<article>", '<div class="post">').replace("</article>", "</div>")
     assert htmltext.main_text(div) == want
+    bare = re.sub("</?article>", "", PAGE).replace("<nav>", "").replace("</nav>", "").replace("<li><a href=\"/a\">Menu</a></li>", "<li><a href=/a>Menu</a><li><a href=/b>Other</a>")
+    assert htmltext.main_text(bare) == want
+    listed = PAGE.replace("</article>", "<ul class=x><li>one point<li>another, with <a href=y>link</a></ul><blockquote>Quoted.</blockquote><table><tr><td>a<td>b</table></article>")
+    assert htmltext.main_text(listed) == want + "\none point\nanother, with link\nQuoted.\na\nb"
+    headed = PAGE.replace("<nav>", '<div class="site-header"><p>Site name, the best, the one, since long ago</p></div><nav>').replace("<h1>", '<div class="post-header"><h1>').replace("</h1>", "</h1></div>")
+    assert htmltext.main_text(headed) == want
     for page in (None, "", "<html>", "<p", "<script>", "<nav><p>menu, menu, menu, menu, menu, menu</p></nav>", "<!-- x"):
         assert htmltext.main_text(page) == ""
     assert htmltext.main_text("<article><p>short</article>") == "short"
