@@ -10,7 +10,7 @@ import tokenize
 _JAVA = re.compile(
     r"""(?P<space>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>\"\"\".*?\"\"\"|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)+')|(?P<at>@)
     |(?P<number>0[xX][0-9a-fA-F_.]*(?:[pP][+-]?[0-9_]+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[lLfFdD]?)
-    |(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<mark>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||[=!<>+\-*/&|^%]=|[-+*/%=<>!~?:&|^;,.(){}\[\]])""",
+    |(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<mark>>>>=|<<=|>>=|\.\.\.|->|::|<<|\+\+|--|&&|\|\||[=!<>+\-*/&|^%]=|[-+*/%=<>!~?:&|^;,.(){}\[\]])""",
     re.S | re.X,
 )
 _NO_TOKENS = {"space", "at"}
@@ -30,7 +30,7 @@ def java_tokens(text: str) -> list[str]:
 
 
 def java_words(text: str) -> tuple[list[str], bool]:
-    """Tokens with `@`, and whether the whole text could be read; closing angle brackets stand alone."""
+    """Tokens with `@`, and whether the whole text could be read; `>` always stands alone."""
     out, at = [], 0
     while at < len(text):
         m = _JAVA.match(text, at)
@@ -38,7 +38,7 @@ def java_words(text: str) -> tuple[list[str], bool]:
             return out, False
         at = m.end()
         if m.lastgroup != "space":
-            out += list(m.group()) if re.fullmatch(r">>+", m.group()) else [m.group()]
+            out.append(m.group())
     return out, True
 
 

@@ -1 +1 @@
-"""operators of the engine."""
+"""DataFrame to DataFrame steps of the ranking."""

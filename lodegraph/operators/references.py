@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodegraph.functions import java_refs, lexers, lines, names, python_refs
 
-PARSED = "corpus_index int, status string, package string, simple_name string, refs array<string>, imports array<struct<path:string,all:boolean>>"
+PARSED = "status string, package string, simple_name string, refs array<string>, imports array<struct<path:string,all:boolean>>"
 
 
 @dataclass(frozen=True)
@@ -84,13 +85,12 @@ def parse(files: DataFrame, language: str, engine: str | None = None) -> DataFra
     else:
         read = spec.parse
 
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in it:
-                found = [{"corpus_index": i, **read(t)} if t is not None else {"corpus_index": i, "status": "unreadable", "package": None, "simple_name": None, "refs": [], "imports": []} for i, t in zip(rows["corpus_index"], rows["text"], strict=True)]
-                yield pd.DataFrame(found, columns=["corpus_index", "status", "package", "simple_name", "refs", "imports"])
+        @F.pandas_udf(f"struct<{re.sub(r'(\w+) (string|array)', r'\1:\2', PARSED)}>")
+        def run(text: pd.Series) -> pd.DataFrame:
+            found = [read(t) if t is not None else {"status": "unreadable", "refs": [], "imports": []} for t in text]
+            return pd.DataFrame(found, columns=["status", "package", "simple_name", "refs", "imports"])
 
-        got = named.select("corpus_index", "text").mapInPandas(run, PARSED)
-        parsed = named.join(got, "corpus_index").withColumn("specifiers", F.array().cast("array<string>"))
+        parsed = named.withColumn("p", run("text")).select(*named.columns, "p.*").withColumn("specifiers", F.array().cast("array<string>"))
     status = F.when(F.col("error").isNotNull(), "unreadable").when(F.coalesce("qualified_name", F.lit("")) == "", "nameless").otherwise(F.col("status"))
     parsed = parsed.withColumn("status", status)
     default = names.simple_name(F.col("qualified_name")) if key != ("java", "treesitter") else names.stem(F.col("rel_path"))

@@ -1 +1 @@
-"""plans of the engine."""
+"""Whole rankings."""

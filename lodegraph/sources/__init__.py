@@ -1 +1 @@
-"""sources of the engine."""
+"""Where sources come from."""

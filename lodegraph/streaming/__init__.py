@@ -1 +1 @@
-"""streaming of the engine."""
+"""Nothing here: rankings are of snapshots, and no operator works on a stream."""

@@ -134,7 +134,7 @@ def test_java(spark, tmp_path):
 
 
 def test_java_tokens():
-    assert lexers.java_tokens('int x=a>>>2;/*c*/"s\\""+\'c\'') == ["int", "x", "=", "a", ">>>", "2", ";", '"s\\""', "+", "'c'"]
+    assert lexers.java_tokens('int x=a>>>2;/*c*/"s\\""+\'c\'') == ["int", "x", "=", "a", ">", ">", ">", "2", ";", '"s\\""', "+", "'c'"]
     assert lexers.java_tokens("a # b") == ["a"]
 
 
