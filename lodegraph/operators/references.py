@@ -103,35 +103,38 @@ def name_map(named: DataFrame) -> DataFrame:
     return own.groupBy(names.simple_name(F.col("qualified_name")).alias("simple_name")).agg(F.sort_array(F.collect_list("qualified_name")).alias("qualified_names"))
 
 
-def resolve(refs: DataFrame, universe: DataFrame, imports: DataFrame | None = None, stars: DataFrame | None = None) -> DataFrame:
+IMPORTS = "array<struct<path:string,all:boolean>>"
+
+
+def resolve(refs: DataFrame, universe: DataFrame) -> DataFrame:
     """(corpus_index, ref, target): the first rule that gives a name counts.
 
-    refs: corpus_index, package, ref; universe: qualified_name, one row a file;
-    imports: corpus_index, simple, path, position; stars: corpus_index, prefix.
-    Rules: the name itself; a single import (the last one); the same package;
-    packages imported whole, if just one has it; the only bearer of the name.
+    refs: corpus_index, package, ref, once each, and perhaps imports as IMPORTS;
+    universe: qualified_name, one row a file. Rules: the name itself; a single
+    import (the last one that exists); the same package; packages imported whole,
+    if just one has it; the only bearer of the name. Every reference is read
+    once, as the rows of its candidates, and meets the names in one join.
     """
-    known = universe.where("qualified_name <> ''").select(F.col("qualified_name").alias("target")).distinct()
-    only = (
-        universe.where("qualified_name <> ''").groupBy(names.simple_name(F.col("qualified_name")).alias("ref")).agg(F.count("*").alias("n"), F.min("qualified_name").alias("target")).where("n = 1").select("ref", "target")
-    )
-    refs = refs.where("ref <> ''").distinct()
-    ways = [
-        refs.withColumn("target", F.col("ref")).join(known, "target", "left_semi").withColumn("rule", F.lit(0)),
-        refs.withColumn("target", F.when(F.col("package") == "", F.col("ref")).otherwise(F.concat_ws(".", "package", "ref"))).join(known, "target", "left_semi").withColumn("rule", F.lit(2)),
-        refs.join(only, "ref").withColumn("rule", F.lit(4)),
-    ]
-    if imports is not None:
-        last = imports.join(known.withColumnRenamed("target", "path"), "path", "left_semi").groupBy("corpus_index", F.col("simple").alias("ref")).agg(F.max_by("path", "position").alias("target"))
-        ways.append(refs.join(last, ["corpus_index", "ref"]).withColumn("rule", F.lit(1)))
-    if stars is not None:
-        found = refs.join(stars, "corpus_index").withColumn("target", F.concat_ws(".", "prefix", "ref")).join(known, "target", "left_semi")
-        one = found.groupBy("corpus_index", "package", "ref").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
-        ways.append(one.withColumn("rule", F.lit(3)))
-    every = ways[0].select("corpus_index", "ref", "target", "rule")
-    for w in ways[1:]:
-        every = every.union(w.select("corpus_index", "ref", "target", "rule"))
-    return every.groupBy("corpus_index", "ref").agg(F.min_by("target", "rule").alias("target"))
+    named = universe.where("qualified_name <> ''")
+    simple = names.simple_name(F.col("qualified_name"))
+    only = named.groupBy(simple.alias("key")).agg(F.count("*").alias("n"), F.min("qualified_name").alias("target")).where("n = 1").select("key", F.lit("simple").alias("kind"), "target")
+    known = named.select(F.col("qualified_name").alias("key"), F.lit("whole").alias("kind"), F.col("qualified_name").alias("target")).distinct().union(only)
+
+    def one(rule: int, key: Column, place: Column | None = None, kind: str = "whole") -> Column:
+        return F.struct(F.lit(rule).alias("rule"), (F.lit(0) if place is None else place).alias("place"), F.lit(kind).alias("kind"), key.alias("key"))
+
+    ref = F.col("ref")
+    tried = F.array(one(0, ref), one(2, F.when(F.col("package") == "", ref).otherwise(F.concat_ws(".", "package", "ref"))), one(4, ref, kind="simple"))
+    if "imports" in refs.columns:
+        single = F.transform("imports", lambda i, k: F.when(~i["all"] & (names.simple_name(i["path"]) == ref), one(1, i["path"], k)).when(i["all"], one(3, F.concat_ws(".", i["path"], ref), k)))
+        tried = F.concat(tried, F.coalesce(F.filter(single, lambda x: x.isNotNull()), F.array().cast("array<struct<rule:int,place:int,kind:string,key:string>>")))
+    met = refs.where("ref <> ''").select("corpus_index", "ref", F.explode(tried).alias("c")).select("corpus_index", "ref", "c.*").join(known, ["kind", "key"])
+
+    def found(rule: int) -> Column:
+        return F.when(F.col("rule") == rule, F.col("target"))
+
+    first = F.coalesce(F.min(found(0)), F.max_by(found(1), F.when(F.col("rule") == 1, F.col("place"))), F.min(found(2)), F.when(F.count(found(3)) == 1, F.min(found(3))), F.min(found(4)))
+    return met.groupBy("corpus_index", "ref").agg(first.alias("target")).where("target is not null")
 
 
 def resolve_specifiers(specs: DataFrame, universe: DataFrame) -> DataFrame:
@@ -149,14 +152,8 @@ def components(files: DataFrame, language: str, engine: str | None = None) -> Da
     parsed = parse(files, language, engine)
     universe = parsed.where("error is null" if language.lower() == "java" else "true").select("qualified_name").where("qualified_name is not null")
     good = parsed.where("status = 'ok'")
-    refs = good.select("corpus_index", "package", F.explode("refs").alias("ref"))
-    if language.lower() == "java":
-        refs = refs.withColumn("ref", names.base_type(F.col("ref")))
-        each = good.select("corpus_index", F.posexplode("imports").alias("position", "i"))
-        single = each.where("not i.all").select("corpus_index", "position", F.col("i.path").alias("path"), names.simple_name(F.col("i.path")).alias("simple"))
-        found = resolve(refs, universe, single, each.where("i.all").select("corpus_index", F.col("i.path").alias("prefix")))
-    else:
-        found = resolve(refs, universe)
+    raw = F.transform("refs", names.base_type) if language.lower() == "java" else F.col("refs")
+    found = resolve(good.select("corpus_index", "package", "imports", F.explode(F.array_distinct(raw)).alias("ref")), universe)
     found = found.select("corpus_index", "target")
     if language.lower() == "javascript":
         folder = F.regexp_extract("rel_path", r"^(.*)/[^/]*$", 1)
