@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodegraph.functions import java_refs, lexers, lines, names, python_refs
+from lodegraph.operators.checkpoints import cut
 
 PARSED = "status string, package string, simple_name string, refs array<string>, imports array<struct<path:string,all:boolean>>"
 
@@ -85,12 +86,13 @@ def parse(files: DataFrame, language: str, engine: str | None = None) -> DataFra
     else:
         read = spec.parse
 
+        # Marked so that a filter on its fields doesn't run it again.
         @F.pandas_udf(f"struct<{re.sub(r'(\w+) (string|array)', r'\1:\2', PARSED)}>")
         def run(text: pd.Series) -> pd.DataFrame:
             found = [read(t) if t is not None else {"status": "unreadable", "refs": [], "imports": []} for t in text]
             return pd.DataFrame(found, columns=["status", "package", "simple_name", "refs", "imports"])
 
-        parsed = named.withColumn("p", run("text")).select(*named.columns, "p.*").withColumn("specifiers", F.array().cast("array<string>"))
+        parsed = named.withColumn("p", run.asNondeterministic()("text")).select(*named.columns, "p.*").withColumn("specifiers", F.array().cast("array<string>"))
     status = F.when(F.col("error").isNotNull(), "unreadable").when(F.coalesce("qualified_name", F.lit("")) == "", "nameless").otherwise(F.col("status"))
     parsed = parsed.withColumn("status", status)
     default = names.simple_name(F.col("qualified_name")) if key != ("java", "treesitter") else names.stem(F.col("rel_path"))
@@ -147,9 +149,10 @@ def resolve_specifiers(specs: DataFrame, universe: DataFrame) -> DataFrame:
 def components(files: DataFrame, language: str, engine: str | None = None) -> DataFrame:
     """corpus_index, qualified_name, simple_name, file_path, text, uses: files that parse, in corpus order.
 
-    References resolve against the names of all files, parsed or not.
+    References resolve against the names of all files, parsed or not. Files are
+    read and parsed once; the result is kept in the checkpoint folder.
     """
-    parsed = parse(files, language, engine)
+    parsed = cut(parse(files, language, engine))
     universe = parsed.where("error is null" if language.lower() == "java" else "true").select("qualified_name").where("qualified_name is not null")
     good = parsed.where("status = 'ok'")
     raw = F.transform("refs", names.base_type) if language.lower() == "java" else F.col("refs")
