@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from lodegraph.llm import text as T
 
 #: Share of word characters that may lie in repeated n-grams, by n.
-NGRAM_CEILINGS = {2: 0.80, 3: 0.50, 5: 0.40, 7: 0.35, 10: 0.30}
+NGRAM_CEILINGS = {2: 0.80, 3: 0.50, 5: 0.45, 7: 0.45, 10: 0.45}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
