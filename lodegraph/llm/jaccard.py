@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodegraph.llm import exchange as X, text as T
@@ -185,22 +186,38 @@ def links(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: s
         n = len(rows)
         return pa.table(
             {
-                "shard": pa.array(np.full(n + len(again), shard), pa.int32()), "id": pa.array(np.concatenate([ids[rows], ids[again]]), pa.int64()),
+                "shard": pa.array(np.full(n + len(again), shard), pa.int32()), "key": pa.array([s.key[i].tobytes() for i in rows.tolist()] + [None] * len(again), pa.binary()), "id": pa.array(np.concatenate([ids[rows], ids[again]]), pa.int64()),
                 "copy_of": pa.array([None] * n + ids[copy[again]].tolist(), pa.int64()), "size": pa.array([*s.sizes[rows].tolist(), *[None] * len(again)], pa.int32()),
                 "own": pa.array([*(s.sizes - shared)[rows].tolist(), *[None] * len(again)], pa.int32()), "grams": pa.array([*bodies, *[None] * len(again)], pa.binary()),
             }
         )
 
     census = X.answer(plan.send(grams), X.census)
-    kept = cut(plan.with_replies(census, survivors, "shard int, id long, copy_of long, size int, own int, grams binary"))
+    kept = cut(plan.with_replies(census, survivors, "shard int, key binary, id long, copy_of long, size int, own int, grams binary"))
     copies = kept.where("copy_of is not null").select(F.col("id").alias("a"), F.col("copy_of").alias("b"))
     sets = kept.where("copy_of is null").select("shard", "id", "size", "own", "grams")
+    # Of equal sets in several shards the smallest id goes on; the others only link to it. A key that
+    # very many shards hold is combined before the shuffle, and its rows are narrow where they meet it.
+    keyed = kept.where("key is not null").select("key", "shard", "id")
+    several = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    later = cut(keyed.join(several, "key").where("id <> first").select("shard", "id", "first"))
+    equal = later.select(F.col("id").alias("a"), F.col("first").alias("b"))
+    dropped = later.select(F.lit(-1).alias("bucket"), F.col("shard").alias("origin"), F.encode(F.col("id").cast("string"), "UTF-8").alias("body"))
+
+    def without(t: pa.Table, r: pa.Table) -> tuple[pa.Table, list[bytes]]:
+        """Sets that go on, and the replies, told from the ids that don't."""
+        buckets, bodies = r.column("bucket").to_pylist(), r.column("body").to_pylist()
+        gone = pa.array([int(x) for k, x in zip(buckets, bodies, strict=True) if k < 0], pa.int64())
+        return t.filter(pc.invert(pc.is_in(t.column("id"), gone))), [x for k, x in zip(buckets, bodies, strict=True) if k >= 0]
 
     def prefix(size: int, own: int) -> int:
         """Shared n-grams in the prefix: the set's own ones come before them."""
         return max(0, size - -(-percent * size // 100) + 1 - own)
 
-    def prefixes(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    def prefixes(key: tuple[pa.Scalar, ...], t: pa.Table, r: pa.Table) -> pa.Table:
+        t, _ = without(t, r)
+        if not t.num_rows:
+            return X.messages([])
         code, own, doc = [], [], []
         for i, size, alone, body in zip(*(t.column(c).to_pylist() for c in ("id", "size", "own", "grams")), strict=True):
             head = X.unpack(body)[0][: prefix(size, alone)]
@@ -218,7 +235,8 @@ def links(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: s
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table, r: pa.Table) -> pa.Table:
         """Every set to the leaders of its prefix."""
-        replies = [X.unpack(b) for b in r.column("body").to_pylist()]
+        t, bodies = without(t, r)
+        replies = [X.unpack(b) for b in bodies]
         out = []
         if replies and t.num_rows:
             code, lead, members = (np.concatenate(c) for c in zip(*replies, strict=True))
@@ -254,9 +272,9 @@ def links(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: s
                 b.append(ids[p + j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    leaders = X.answer(sets.groupBy("shard").applyInArrow(prefixes, X.MESSAGE), _leaders)
-    members = sets.groupBy("shard").cogroup(leaders.groupBy("origin")).applyInArrow(join, "bucket int, leader long, parts int, j int, k int, id long, size int, own int, grams binary")
-    return members.groupBy("bucket").applyInArrow(meet, "a long, b long").union(copies)
+    leaders = X.answer(sets.groupBy("shard").cogroup(dropped.groupBy("origin")).applyInArrow(prefixes, X.MESSAGE), _leaders)
+    members = sets.groupBy("shard").cogroup(leaders.union(dropped).groupBy("origin")).applyInArrow(join, "bucket int, leader long, parts int, j int, k int, id long, size int, own int, grams binary")
+    return members.groupBy("bucket").applyInArrow(meet, "a long, b long").union(copies).union(equal)
 
 
 def jaccard_groups(docs: DataFrame, measure: Measure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
