@@ -76,10 +76,10 @@ def specifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("specifier")).withColumn("relative", F.col("specifier").startswith("."))
 
 
-@query("SELECT doc_id, list_filter(regexp_extract_all(text, '\\bfrom\\s+[''\"]([^''\"]+)[''\"]', 1), lambda x: starts_with(x, '.')) AS specifiers, len(regexp_extract_all(text, '\\bextends\\s+([\\w$][\\w$]*)', 1)) AS n_extends FROM documents")
+@query("SELECT doc_id, coalesce(array_to_string(list_filter(regexp_extract_all(text, '\\bfrom\\s+[''\"]([^''\"]+)[''\"]', 1), lambda x: starts_with(x, '.')), '|'), '') AS specifiers, len(regexp_extract_all(text, '\\bextends\\s+([\\w$][\\w$]*)', 1)) AS n_extends FROM documents")
 def js_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(lines.JS_SPECIFIERS[0]), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.filter(found, lambda x: x.startswith(".")).alias("specifiers"), F.size(F.regexp_extract_all("text", F.lit(lines.JS_EXTENDS), F.lit(1))).cast("long").alias("n_extends"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(found, lambda x: x.startswith(".")), "|").alias("specifiers"), F.size(F.regexp_extract_all("text", F.lit(lines.JS_EXTENDS), F.lit(1))).cast("long").alias("n_extends"))
 
 
 # ---- names ------------------------------------------------------------------
