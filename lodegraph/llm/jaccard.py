@@ -26,8 +26,8 @@ from lodegraph.operators.checkpoints import cut
 from lodegraph.operators.components import connected_components
 
 SHARD_BYTES = 2 << 20
-#: Larger groups of a leader are worked on in pairs of parts of so many members.
-PART = 8192
+#: Larger groups of a leader are worked on in parts of about so many members.
+PART = 1024
 
 
 @dataclass(frozen=True)
@@ -99,6 +99,16 @@ def _leaders(origins: list[int], bodies: list[bytes]) -> Iterable[tuple[int, int
             yield 0, origin, X.pack(s[0][keep], lead[mine][keep], members[mine][keep].astype(np.uint32), ordered=True)
 
 
+def differences(sets: list[np.ndarray], leader: int) -> list[np.ndarray]:
+    """What each set has and the leader's lacks, or the other way round."""
+    return [np.setxor1d(s, sets[leader], assume_unique=True) for s in sets]
+
+
+def debts(sizes: np.ndarray, own: np.ndarray, length: np.ndarray, percent: int) -> np.ndarray:
+    """Two sets link even without a shared difference if their debts are at most 0 together."""
+    return (100 + percent) * (length + own) - (100 - percent) * sizes
+
+
 def group_links(sizes: np.ndarray, own: np.ndarray, sets: list[np.ndarray], leader: int, percent: int) -> list[tuple[int, int]]:
     """Links that connect the members of a group as all their links would.
 
@@ -106,11 +116,10 @@ def group_links(sizes: np.ndarray, own: np.ndarray, sets: list[np.ndarray], lead
     n-grams, ascending. Two sets link when (100 + percent) * |symmetric
     difference| <= (100 - percent) * (sum of sizes).
     """
-    n = len(sets)
-    base = sets[leader]
-    diffs = [np.setxor1d(s, base, assume_unique=True) for s in sets]
+    n, base = len(sets), sets[leader]
+    diffs = differences(sets, leader)
     length = np.array([len(d) for d in diffs])
-    debt = (100 + percent) * (length + own) - (100 - percent) * sizes  # links without a shared difference if two debts are <= 0 together
+    debt = debts(sizes, own, length, percent)
     root = np.arange(n)
 
     def find(i: int) -> int:
@@ -142,7 +151,7 @@ def group_links(sizes: np.ndarray, own: np.ndarray, sets: list[np.ndarray], lead
     entry[order] = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(flat))
-    debts = debt[member]
+    owed = debt[member]
     gain, at = 2 * (100 + percent), np.cumsum(length) - length
     for i in range(n):
         lists = entry[at[i] : at[i] + length[i]]
@@ -150,7 +159,7 @@ def group_links(sizes: np.ndarray, own: np.ndarray, sets: list[np.ndarray], lead
         if not len(lists):
             continue
         most = gain * len(lists) - debt[i]  # a partner's debt can't be larger
-        found = [member[b : b + int(np.searchsorted(debts[b:e], most, "right"))] for b, e in zip(begin[lists].tolist(), end[lists].tolist(), strict=True)]
+        found = [member[b : b + int(np.searchsorted(owed[b:e], most, "right"))] for b, e in zip(begin[lists].tolist(), end[lists].tolist(), strict=True)]
         shared = np.bincount(np.concatenate(found), minlength=n)
         for j in np.flatnonzero((shared > 0) & (debt + debt[i] <= gain * shared)).tolist():
             if j != i:
@@ -161,7 +170,7 @@ def group_links(sizes: np.ndarray, own: np.ndarray, sets: list[np.ndarray], lead
 def links(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): pairs of ids that connect documents exactly as all links do."""
     plan = X.Plan(docs, SHARD_BYTES, id_col, text_col)
-    bits, n_gram, n_group = plan.bits, plan.buckets(16 << 20), plan.buckets(16 << 20)
+    bits, n_gram, n_group = plan.bits, plan.buckets(8 << 20), plan.buckets(16 << 20)
     words, percent, part = measure.words, measure.percent, PART
 
     def grams(shard: int, t: pa.Table) -> pa.Table:
@@ -246,35 +255,59 @@ def links(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: s
                 found = X.lookup(code, X.unpack(body)[0][: prefix(size, alone)])
                 found = found[found >= 0]
                 for leader, n in set(zip(lead[found].tolist(), parts[found].tolist(), strict=True)):
-                    mine = hash(i) % n
-                    pairs = {(min(mine, k), max(mine, k)) for k in range(n)} if leader != i else {(j, k) for k in range(n) for j in range(k + 1)}
-                    for j, k in pairs:
-                        at = int(T.mix(np.array([leader * 2654435761 + j * 40503 + k * 9176 + n], np.int64).view(np.uint64))[0] % np.uint64(n_group))
-                        out.append((at, leader, n, j, k, i, size, alone, body))
+                    for j in [hash(i) % n] if leader != i else range(n):
+                        at = int(T.mix(np.array([leader * 2654435761 + j * 40503 + n], np.int64).view(np.uint64))[0] % np.uint64(n_group))
+                        out.append((at, leader, n, j, 0, i, size, alone, body))
         names = ("bucket", "leader", "parts", "j", "k", "id", "size", "own", "grams")
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         columns = zip(*out, strict=True) if out else [[] for _ in names]
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
-    def meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    def meet(t: pa.Table, tell_far: bool) -> pa.Table:
+        """Links in each group as (a, b); if asked, of groups in parts also the members that don't link to the leader at once."""
         t = t.sort_by([(c, "ascending") for c in ("leader", "parts", "j", "k", "id")])
-        group = np.stack([t.column(c).to_numpy() for c in ("leader", "parts", "j", "k")], 1)
+        rows = np.stack([t.column(c).to_numpy() for c in ("leader", "parts", "j", "k", "id")], 1)
+        once = np.append(True, (rows[1:] != rows[:-1]).any(1))[: len(rows)]
+        t, group = t.filter(pa.array(once)), rows[once][:, :4]
         ids, sizes, own, bodies = t.column("id").to_numpy(), t.column("size").to_numpy().astype(np.int64), t.column("own").to_numpy().astype(np.int64), t.column("grams")
-        first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1)))
-        a, b = [], []
+        first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1))[: len(group)])
+        a, b, far = [], [], []
         for p, q in zip(first, np.append(first[1:], len(ids)), strict=True):
             lead = np.flatnonzero(ids[p:q] == group[p, 0])
             if q - p < 2 or not len(lead):
                 continue
-            sets = [np.sort(X.unpack(x)[0]) for x in bodies[int(p) : int(q)].to_pylist()]
-            for i, j in group_links(sizes[p:q], own[p:q], sets, int(lead[0]), percent):
+            sets, leader = [np.sort(X.unpack(x)[0]) for x in bodies[int(p) : int(q)].to_pylist()], int(lead[0])
+            for i, j in group_links(sizes[p:q], own[p:q], sets, leader, percent):
                 a.append(ids[p + i])
                 b.append(ids[p + j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    leaders = X.answer(sets.groupBy("shard").cogroup(dropped.groupBy("origin")).applyInArrow(prefixes, X.MESSAGE), _leaders)
-    members = sets.groupBy("shard").cogroup(leaders.union(dropped).groupBy("origin")).applyInArrow(join, "bucket int, leader long, parts int, j int, k int, id long, size int, own int, grams binary")
-    return members.groupBy("bucket").applyInArrow(meet, "a long, b long").union(copies).union(equal)
+            if tell_far and group[p, 1] > 1:
+                owed = debts(sizes[p:q], own[p:q], np.array([len(d) for d in differences(sets, leader)]), percent)
+                far += (p + np.flatnonzero(owed + owed[leader] > 0)).tolist()
+        rest = t.take(pa.array(far, pa.int64())).select(["leader", "parts", "id", "size", "own", "grams"])
+        links_ = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.concat_tables([links_, rest], promote_options="default") if tell_far else links_
+
+    leaders = cut(X.answer(sets.groupBy("shard").cogroup(dropped.groupBy("origin")).applyInArrow(prefixes, X.MESSAGE), _leaders))
+    member = "bucket int, leader long, parts int, j int, k int, id long, size int, own int, grams binary"
+    members = sets.groupBy("shard").cogroup(leaders.union(dropped).groupBy("origin")).applyInArrow(join, member)
+    known = copies.union(equal)
+
+    def largest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([int(X.unpack(x)[2].max()) for x in batch.column("body").to_pylist()], pa.int64())})
+
+    if (leaders.mapInArrow(largest, "n long").agg(F.max("n")).first()[0] or 0) <= part:
+        return members.groupBy("bucket").applyInArrow(lambda t: meet(t, False), "a long, b long").union(known)
+
+    # Groups in parts: members close to the leader are connected by it. The far ones, in blocks, visit all parts.
+    met = cut(members.groupBy("bucket").applyInArrow(lambda t: meet(t, True), "a long, b long, leader long, parts int, id long, size int, own int, grams binary"))
+    far = met.where("id is not null").select("leader", "parts", "id", "size", "own", "grams")
+    blocks = cut(far.groupBy("leader", "parts").agg(F.ceil(F.count("*") / part).cast("int").alias("blocks")))
+    columns = ["leader", "parts", "j", "k", "id", "size", "own", "grams"]
+    hosts = members.where("parts > 1").drop("k").join(blocks, ["leader", "parts"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    visits = far.join(blocks, ["leader", "parts"]).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = hosts.select(columns).union(visits.select(columns)).withColumn("bucket", F.pmod(F.xxhash64("leader", "parts", "j", "k"), F.lit(n_group)))
+    return both.groupBy("bucket").applyInArrow(lambda t: meet(t, False), "a long, b long").union(met.where("a is not null").select("a", "b")).union(known)
 
 
 def jaccard_groups(docs: DataFrame, measure: Measure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
