@@ -31,7 +31,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_BLANK, IN_SPACE, ONE_LEFT, TWO_LE
 OTHER, LETTER, NUMBER, SPACE, GLUE, EDGE, SHORT, LONG, FIRST = range(9)
 
 #: Distinct slices that a worker keeps merged; beyond that it starts anew.
-CACHE_SLICES = 200_000
+CACHE_SLICES = 100_000
 #: Longer slices are merged one by one and not kept.
 LONG_SLICE = 48
 NO_RANK = 1 << 30
