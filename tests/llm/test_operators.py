@@ -205,6 +205,37 @@ def test_lm_learns_nothing(spark):
     assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in out} == {1: (True, 3, 0, 0), 2: (True, 1, 0, 0)}
 
 
+def test_lm_learns_from_whole_texts():
+    """Class pairs of all positions, ends included; windows in proportion to length, aligned as in scoring."""
+    texts = ["", "one two", "a b c " * 3000, "held out text " * 500, "x y z w " * 40]
+    trains = np.array([True, True, True, False, True])
+    s = lm.Subwords(pa.array(texts), lm._table(ranks_path()))
+    cls = np.arange(s.end + 1) % lm.CLASSES
+    have, windows = lm.learned(s, trains, cls)
+    want, lengths, places = np.zeros(lm.CLASSES**2), [], {}
+    for i in np.flatnonzero(trains):
+        ids = [s.end, *s.ids[s.at[i] : s.at[i + 1]].tolist()]
+        np.add.at(want, cls[ids[:-1]] * lm.CLASSES + cls[ids[1:]], 1)
+        lengths.append(len(ids) - 1)
+        full = [-1] * lm.CONTEXT + ids + [-1] * lm.STRIDE
+        for k in range(0, len(ids) - 1, lm.STRIDE):
+            places[tuple(full[k : k + lm.WINDOW + 1])] = i
+    assert (have == want).all() and have.sum() == sum(lengths)
+    assert all(tuple(w) in places for w in windows.tolist())
+    got = np.bincount([places[tuple(w)] for w in windows.tolist()], minlength=5)
+    assert (got > 0).tolist() == trains.tolist() and abs(got[2] - lengths[2] / lm.STRIDE / lm.SPACING) <= 1
+
+
+def test_lm_learns_ends_of_long_texts(spark):
+    """What follows only far inside long texts is learnt: how they end."""
+    rng = random.Random(3)
+    common = ["red", "blue", "green", "grey", "pink", "gold"]
+    rows = [(i, " ".join([rng.choice(common) for _ in range(900)] + ["stop"])) for i in range(12)]
+    held = [(100, "red blue stop"), (101, "stop red blue")]
+    out = {r.doc_id: r.score for r in lm.score_texts(table(spark, rows + held), F.col("doc_id") < 100, ranks_path()).collect()}
+    assert out[100] > out[101] + 1
+
+
 def test_attention_gradient():
     """Against differences of the loss, and each position scored once from what comes before it."""
     rng = np.random.default_rng(1)
