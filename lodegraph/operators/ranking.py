@@ -111,7 +111,7 @@ def _in_one_task(nodes: DataFrame, edges: DataFrame, solve: Callable[[int, np.nd
     return both.groupBy("g").applyInPandas(run, f"node {kind}, weight double")
 
 
-def _by_joins(nodes: DataFrame, edges: DataFrame, n: int, damping: float, epsilon: float, max_iter: int) -> DataFrame:
+def _by_joins(nodes: DataFrame, edges: DataFrame, n: int, damping: float, epsilon: float, max_iter: int, fixed: bool = False) -> DataFrame:
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     linked = cut(edges.join(degree, "src"))
     w = cut(nodes.join(degree, nodes["node"] == degree["src"], "left").select("node", F.col("degree").isNull().alias("sink"), F.lit(1.0 / n).alias("weight")))
@@ -123,8 +123,10 @@ def _by_joins(nodes: DataFrame, edges: DataFrame, n: int, damping: float, epsilo
         new = cut(new)
         total, change = new.agg(F.sum("weight"), F.sum(F.abs(F.col("weight") - F.col("old")))).first()
         w = new.select("node", "sink", (F.col("weight") / F.lit(total)).alias("weight"))
-        if change < epsilon:
+        if change < epsilon and not fixed:
             return w.select("node", "weight")
+    if fixed:
+        return w.select("node", "weight")
     raise _not_converged(max_iter, epsilon)
 
 
@@ -144,7 +146,7 @@ def weights(nodes: DataFrame, edges: DataFrame, solver: str = "power", damping:
     if by_joins is None:
         by_joins = nodes.count() > KERNEL_NODES or edges.count() > KERNEL_EDGES
     if by_joins:
-        return _by_joins(nodes, edges, nodes.count(), damping, epsilon, max_iter)
+        return _by_joins(nodes, edges, nodes.count(), damping, epsilon, max_iter, fixed_steps)
     return _in_one_task(nodes, edges, lambda n, s, d: power_kernel(n, s, d, damping, epsilon, max_iter, fixed_steps))
 
 

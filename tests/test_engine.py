@@ -155,6 +155,14 @@ def test_weights_by_joins(spark):
     assert solve(spark, CASES[0][0], by_joins=True, epsilon=1e-6) == pytest.approx(CASES[0][1], abs=1e-5)
 
 
+def test_fixed_steps_by_joins(spark):
+    """Exactly max_iter steps on both paths, converged or not."""
+    for steps, epsilon in ((3, 1e-100), (5, 10.0)):
+        nodes, edges = graph(spark, CASES[0][0])
+        one, joins = ({r.node: r.weight for r in ranking.weights(nodes, edges, epsilon=epsilon, max_iter=steps, fixed_steps=True, by_joins=k).collect()} for k in (False, True))
+        assert joins == pytest.approx(one, abs=1e-12) and len(joins) == 4
+
+
 def test_no_convergence(spark):
     with pytest.raises(RuntimeError, match="did not converge"):
         solve(spark, {0: [1], 1: []}, max_iter=0)
