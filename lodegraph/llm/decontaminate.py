@@ -2,8 +2,8 @@
 
 Texts become words of letters and digits, lower-cased. Every item has a 64-bit
 SimHash of its weighted shingles. Documents are read in windows of an item's own
-number of words; a window that holds no shingle of any item is dissimilar to all
-of them and is passed over, the others get a SimHash. Fingerprints are cut into
+number of words, at every start; a window that holds no shingle of an item of that
+length is dissimilar to all of them and is passed over, the others get a SimHash. Fingerprints are cut into
 blocks: if two are within the radius, some block differs in at most
 radius // blocks bits, so all block values that close to an item's are indexed
 and no fingerprint within the radius is missed. Candidates are verified by exact
@@ -45,13 +45,16 @@ def _words(column: pa.Array) -> T.Words:
     return T.Words(folded)
 
 
-def simhash(codes: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of the weighted shingles at[i]..at[i+1] (none of them empty)."""
-    out = np.zeros(len(at) - 1, np.uint64)
-    mixed = T.mix(codes)
+def simhash(codes: np.ndarray, weights: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of the weighted shingles begin[i]..end[i] (none of them empty); weights count in steps of 2**-32, so that sums are exact."""
+    out = np.zeros(len(begin), np.uint64)
+    mixed, steps = T.mix(codes), np.rint(weights * 2.0**32).astype(np.int64)
+    total = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(steps, out=total[1:])
+    half = total[end] - total[begin]
     for bit in BITS:
-        signed = np.where((mixed >> bit) & np.uint64(1), weights, -weights)
-        out |= (np.add.reduceat(signed, at[:-1]) > 0).astype(np.uint64) << bit
+        np.cumsum(np.where((mixed >> bit) & np.uint64(1), steps, 0), out=total[1:])
+        out |= (2 * (total[end] - total[begin]) > half).astype(np.uint64) << bit
     return out
 
 
@@ -79,10 +82,9 @@ class Items:
         pairs = np.unique(np.stack([self.codes, of.astype(np.uint64)], 1), axis=0) if len(of) else np.zeros((0, 2), np.uint64)
         self.known, held = np.unique(pairs[:, 0], return_counts=True)
         self.weight = 1 / held
-        self.prints = simhash(self.codes, self.weigh(self.codes), self.at) if len(count) else np.zeros(0, np.uint64)
-        order = np.argsort(self.codes, kind="stable")
-        self.by_code, self.by_item = self.codes[order], of[order]
-        self.by_place = (np.arange(len(of)) - np.repeat(self.at[:-1], count))[order]
+        self.prints = simhash(self.codes, self.weigh(self.codes), self.at[:-1], self.at[1:]) if len(count) else np.zeros(0, np.uint64)
+        self.lengths, rank = np.unique(self.length, return_inverse=True)
+        self.by_length = [np.unique(self.codes[rank[of] == k]) for k in range(len(self.lengths))]
         width = 64 // s.blocks
         near = [0]
         for k in range(1, s.radius // s.blocks + 1):
@@ -91,7 +93,7 @@ class Items:
         self.index = []
         for b in range(s.blocks):
             value = (self.prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-            reach = (value[:, None] ^ near_[None, :]).reshape(-1)
+            reach = ((value[:, None] ^ near_[None, :]) | (rank.astype(np.uint64) << np.uint64(width))[:, None]).reshape(-1)
             item = np.repeat(np.arange(len(value)), len(near_))
             order = np.argsort(reach, kind="stable")
             self.index.append((reach[order], item[order]))
@@ -101,11 +103,12 @@ class Items:
         return np.where(self.known[at] == codes, self.weight[at], 1.0) if len(self.known) else np.ones(len(codes))
 
     def search(self, prints: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all fingerprints within the radius, for items of the window's length."""
+        """(window, item, distance) of all fingerprints within the radius, among items of the length given with each."""
         width = 64 // self.s.blocks
+        rank = np.searchsorted(self.lengths, lengths).astype(np.uint64) << np.uint64(width)
         found = []
         for b, (reach, item) in enumerate(self.index):
-            value = (prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
+            value = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)) | rank
             low, high = np.searchsorted(reach, value), np.searchsorted(reach, value, "right")
             n = high - low
             window = np.repeat(np.arange(len(prints)), n)
@@ -131,44 +134,39 @@ class Items:
             return
         w = _words(column)
         hashes = w.hashes()
-        starts, lengths = [], []
-        grams = {}
+        grams, hits = {}, {}
         for size in np.unique(self.size).tolist():
             good = np.flatnonzero(T.window_starts(w.at, size))
             grams[size] = T.windows(hashes, size, size)
             codes = grams[size][good]
-            low = np.searchsorted(self.by_code, codes)
-            hit = np.flatnonzero(self.by_code[np.minimum(low, len(self.by_code) - 1)] == codes)
-            n = np.searchsorted(self.by_code, codes[hit], "right") - low[hit]
-            entry = np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            at = np.repeat(good[hit], n)
-            item = self.by_item[entry]
-            # Item-sized windows that hold the shingle where the item does, kept inside the text.
-            first, last = w.at[w.doc[at]], w.at[w.doc[at] + 1]
-            start = np.clip(at - self.by_place[entry], first, np.maximum(first, last - self.length[item]))
-            length = np.minimum(self.length[item], last - first)
-            right = (self.size[item] == size) & (length == self.length[item])
-            starts.append(start[right])
-            lengths.append(length[right])
-        spots = np.unique(np.stack([np.concatenate(starts), np.concatenate(lengths)], 1), axis=0) if starts else np.zeros((0, 2), np.int64)
-        if not len(spots):
-            return
-        start, length = spots[:, 0], spots[:, 1]
-        size = np.minimum(self.s.words, length)
-        count = length - size + 1
-        at = np.concatenate([[0], np.cumsum(count)])
-        place = np.repeat(start - at[:-1], count) + np.arange(at[-1])
-        codes = np.zeros(at[-1], np.uint64)
-        for k, g in grams.items():
-            own = np.repeat(size == k, count)
-            codes[own] = g[place[own]]
-        window, item, distance = self.search(simhash(codes, self.weigh(codes), at), length)
+            hits[size] = good[self.known[np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)] == codes]
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for k, i, d in zip(window.tolist(), item.tolist(), distance.tolist(), strict=True):
-            value = self.similarity(codes[at[k] : at[k + 1]], i)
-            key, doc = (int(w.doc[start[k]]), i), int(w.doc[start[k]])
-            if value >= self.s.similarity and (key not in best or (-value, int(start[k] - w.at[doc])) < (-best[key][0], best[key][1])):
-                best[key] = value, int(start[k] - w.at[doc]), d
+        for length, own in zip(self.lengths.tolist(), self.by_length, strict=True):
+            size = min(self.s.words, length)
+            at, gram = hits[size], grams[size]
+            at = at[own[np.minimum(np.searchsorted(own, gram[at]), len(own) - 1)] == gram[at]]
+            first, last = w.at[w.doc[at]], w.at[w.doc[at] + 1]
+            room = last - first >= length
+            at, first, last = at[room], first[room], last[room]
+            if not len(at):
+                continue
+            # All starts of item-sized windows around each shingle, in runs; both ends of them ascend.
+            low, high = np.maximum(first, at - (length - size)), np.minimum(at, last - length)
+            fresh = np.flatnonzero(np.append(True, low[1:] > high[:-1] + 1))
+            low, high = low[fresh], high[np.append(fresh[1:], len(high)) - 1]
+            count = np.repeat(length - size + 1, len(low))
+            span, n = high - low + count, high - low + 1
+            offset = np.cumsum(span) - span
+            codes = gram[np.repeat(low - offset, span) + np.arange(span.sum())]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start, begin = np.repeat(low, n) + step, np.repeat(offset, n) + step
+            end = begin + np.repeat(count, n)
+            window, item, distance = self.search(simhash(codes, self.weigh(codes), begin, end), np.full(len(start), length))
+            for k, i, d in zip(window.tolist(), item.tolist(), distance.tolist(), strict=True):
+                value = self.similarity(codes[begin[k] : end[k]], i)
+                key, doc = (int(w.doc[start[k]]), i), int(w.doc[start[k]])
+                if value >= self.s.similarity and (key not in best or (-value, int(start[k] - w.at[doc])) < (-best[key][0], best[key][1])):
+                    best[key] = value, int(start[k] - w.at[doc]), d
         for (doc, i), (value, first_word, d) in sorted(best.items()):
             yield doc, int(self.ids[i]), first_word, d, value
 
@@ -195,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
     window (the first of equal ones). Null or empty texts and items match
     nothing, nor do items with a null id; rows of equal items each match; a null
     doc_id is carried along. Items are read in blocks of bounded size, all rows
-    against each; a window that would pass the end of its text is moved back.
+    against each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, n_words long, hamming int, similarity double"

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -403,6 +404,43 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(clash(spark, docs).limit(0), bench).count() == 0
 
 
+def test_edited_and_reordered_copies():
+    """Inside longer texts, against all windows of all items by their definition."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.choice([60, 61, 66]))) for _ in range(12)]
+    texts = []
+    for k, item in enumerate(items * 3):
+        words = item.split()
+        if k < 12:
+            half = len(words) // 2
+            words = words[half:] + words[:half]
+        elif k < 24:
+            words[rng.randrange(len(words))] = "other"
+        else:
+            del words[rng.randrange(len(words))]
+        texts.append(" ".join(rng.choices(vocabulary, k=50) + words + rng.choices(vocabulary, k=50)))
+    index = decontaminate.Items(list(range(12)), items, decontaminate.Settings())
+    shingles = [[tuple(x[k : k + 5]) for k in range(len(x) - 4)] for x in (item.split() for item in items)]
+    held = Counter(s for x in shingles for s in set(x))
+    want = {}
+    for d, text in enumerate(texts):
+        words = text.split()
+        every = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        for i, own in enumerate(shingles):
+            for k in range(len(every) - len(own) + 1):
+                a, b = Counter(every[k : k + len(own)]), Counter(own)
+                value = sum(n / max(held[s], 1) for s, n in (a & b).items()) / sum(n / max(held[s], 1) for s, n in (a | b).items())
+                if value >= 0.8 and value > want.get((d, i), (0,))[0] + 1e-12:
+                    want[d, i] = value, k
+    found = {(m[0], m[1]): m for m in index.matches(pa.array(texts))}
+    assert set(found) <= set(want) and len(want) > 15
+    assert any(d < 12 for d, _ in want)
+    missed = set(want) - set(found)  # only what is further away than the radius
+    assert len(missed) <= 1
+    assert all(found[k][4] == pytest.approx(want[k][0]) and found[k][2] == want[k][1] for k in found)
+
+
 def test_fingerprint_search():
     """Blocks find every fingerprint within the radius."""
     rng = np.random.default_rng(3)
