@@ -2,7 +2,7 @@
 
 Texts become words of letters and digits, lower-cased. Every item has a 64-bit
 SimHash of its weighted shingles. Documents are read in windows of an item's own
-number of words, at every start; a window that holds no shingle of an item of that
+number of words, at every start, and a shorter document is one window; a window that holds no shingle of an item of that
 length is dissimilar to all of them and is passed over, the others get a SimHash. Fingerprints are cut into
 blocks: if two are within the radius, some block differs in at most
 radius // blocks bits, so all block values that close to an item's are indexed
@@ -128,8 +128,8 @@ class Items:
         weight = self.weigh(every)
         return float((weight * np.minimum(a, b)).sum() / (weight * np.maximum(a, b)).sum())
 
-    def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, item id, first word, Hamming distance, similarity) of the best window of each pair."""
+    def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, float, int]]:
+        """(text, item id, first word, Hamming distance, similarity, words) of the best window of each pair."""
         if not len(self.ids):
             return
         w = _words(column)
@@ -140,21 +140,21 @@ class Items:
             grams[size] = T.windows(hashes, size, size)
             codes = grams[size][good]
             hits[size] = good[self.known[np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)] == codes]
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         for length, own in zip(self.lengths.tolist(), self.by_length, strict=True):
             size = min(self.s.words, length)
             at, gram = hits[size], grams[size]
             at = at[own[np.minimum(np.searchsorted(own, gram[at]), len(own) - 1)] == gram[at]]
             first, last = w.at[w.doc[at]], w.at[w.doc[at] + 1]
-            room = last - first >= length
-            at, first, last = at[room], first[room], last[room]
             if not len(at):
                 continue
             # All starts of item-sized windows around each shingle, in runs; both ends of them ascend.
-            low, high = np.maximum(first, at - (length - size)), np.minimum(at, last - length)
+            # A text shorter than the item is one window.
+            width = np.minimum(length, last - first)
+            low, high = np.maximum(first, at - (length - size)), np.minimum(at, last - width)
             fresh = np.flatnonzero(np.append(True, low[1:] > high[:-1] + 1))
             low, high = low[fresh], high[np.append(fresh[1:], len(high)) - 1]
-            count = np.repeat(length - size + 1, len(low))
+            count = width[fresh] - size + 1
             span, n = high - low + count, high - low + 1
             offset = np.cumsum(span) - span
             codes = gram[np.repeat(low - offset, span) + np.arange(span.sum())]
@@ -166,9 +166,9 @@ class Items:
                 value = self.similarity(codes[begin[k] : end[k]], i)
                 key, doc = (int(w.doc[start[k]]), i), int(w.doc[start[k]])
                 if value >= self.s.similarity and (key not in best or (-value, int(start[k] - w.at[doc])) < (-best[key][0], best[key][1])):
-                    best[key] = value, int(start[k] - w.at[doc]), d
-        for (doc, i), (value, first_word, d) in sorted(best.items()):
-            yield doc, int(self.ids[i]), first_word, d, value
+                    best[key] = value, int(start[k] - w.at[doc]), d, int(end[k] - begin[k]) + size - 1
+        for (doc, i), (value, first_word, d, words) in sorted(best.items()):
+            yield doc, int(self.ids[i]), first_word, d, value, words
 
 
 @lru_cache(maxsize=2)
@@ -193,7 +193,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
     window (the first of equal ones). Null or empty texts and items match
     nothing, nor do items with a null id; rows of equal items each match; a null
     doc_id is carried along. Items are read in blocks of bounded size, all rows
-    against each.
+    against each; a text with fewer words than an item is one window of its own
+    length, which n_words gives.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, n_words long, hamming int, similarity double"
@@ -202,12 +203,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
 
         def run(it: Iterator[pa.RecordBatch], block: tuple = block) -> Iterator[pa.RecordBatch]:
             index = _items(*block)
-            length = dict(zip(index.ids.tolist(), index.length.tolist(), strict=True))
             for batch in T.batched(it, "text"):
                 found = list(index.matches(batch.column("text")))
-                rows, item, first, distance, value = zip(*found, strict=True) if found else ([], [], [], [], [])
+                rows, item, first, distance, value, words = zip(*found, strict=True) if found else ([], [], [], [], [], [])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array([length[i] for i in item], pa.int64()), pa.array(distance, pa.int32()), pa.array(value, pa.float64())],
+                    [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array(words, pa.int64()), pa.array(distance, pa.int32()), pa.array(value, pa.float64())],
                     names=["doc_id", "item_id", "first_word", "n_words", "hamming", "similarity"],
                 )
 

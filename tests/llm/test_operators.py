@@ -441,6 +441,16 @@ def test_edited_and_reordered_copies():
     assert all(found[k][4] == pytest.approx(want[k][0]) and found[k][2] == want[k][1] for k in found)
 
 
+def test_texts_shorter_than_an_item(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = [(1, " ".join(words[:38])), (2, " ".join(words[1:39])), (3, " ".join(words[:20])), (4, "w1 w2 w3"), (5, " ".join(words))]
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, "w1 w2 w3 w4")], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(table(spark, docs), bench).collect()}
+    assert {(1, 7), (2, 7), (5, 7)} <= set(out) and not {(3, 7), (4, 7), (4, 8)} & set(out)
+    assert out[1, 7].similarity == pytest.approx(34 / 36) and (out[1, 7].first_word, out[1, 7].n_words) == (0, 38) and out[5, 7].n_words == 40
+    assert {r.doc_id for r in decontaminate.without_items(table(spark, docs), bench.where("item_id = 7")).collect()} == {3, 4}
+
+
 def test_fingerprint_search():
     """Blocks find every fingerprint within the radius."""
     rng = np.random.default_rng(3)
