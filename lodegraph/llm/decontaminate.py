@@ -58,29 +58,43 @@ def simhash(codes: np.ndarray, weights: np.ndarray, begin: np.ndarray, end: np.n
     return out
 
 
+def _shingles(column: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, shingles of the texts with words, where each of those begins): shorter texts are one shingle."""
+    w = _words(column)
+    hashes, n = w.hashes(), w.counts[w.counts > 0]
+    begin, sizes = w.at[:-1][w.counts > 0], np.minimum(s.words, n)
+    count = n - sizes + 1
+    at = np.concatenate([[0], np.cumsum(count)])
+    codes = np.zeros(int(at[-1]), np.uint64)
+    of = np.repeat(np.arange(len(count)), count)
+    place = np.repeat(begin, count) + np.arange(len(of)) - np.repeat(at[:-1], count)
+    for size in np.unique(sizes):
+        own = sizes[of] == size
+        codes[own] = T.windows(hashes, int(size), int(size))[place[own]]
+    return w.counts, codes, at
+
+
+def _holders(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles ascending, texts that hold each)."""
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    pairs = np.unique(np.stack([codes, of.astype(np.uint64)], 1), axis=0) if len(of) else np.zeros((0, 2), np.uint64)
+    return np.unique(pairs[:, 0], return_counts=True)
+
+
 class Items:
-    """The items of one block, indexed for search."""
+    """The items of one block, indexed for search. shared: shingles of several items over all blocks, and how many hold each."""
 
-    def __init__(self, ids: list[int], texts: list[str], s: Settings):
+    def __init__(self, ids: list[int], texts: list[str], s: Settings, shared: tuple[np.ndarray, np.ndarray] | None = None):
         self.s = s
-        w = _words(pa.array(texts, pa.string()))
-        hashes = w.hashes()
-        n = w.counts
+        n, self.codes, self.at = _shingles(pa.array(texts, pa.string()), s)
         self.length = n[n > 0]
         self.ids = np.array(ids, np.int64)[n > 0]
-        begin = w.at[:-1][n > 0]
-        self.size = np.minimum(s.words, self.length)  # shorter items are one shingle
-        count = self.length - self.size + 1
-        self.at = np.concatenate([[0], np.cumsum(count)])
-        self.codes = np.zeros(int(self.at[-1]), np.uint64)
+        self.size = np.minimum(s.words, self.length)
+        count = np.diff(self.at)
         of = np.repeat(np.arange(len(count)), count)
-        place = np.repeat(begin, count) + np.arange(len(of)) - np.repeat(self.at[:-1], count)
-        for size in np.unique(self.size):
-            own = self.size[of] == size
-            self.codes[own] = T.windows(hashes, int(size), int(size))[place[own]]
         # A shingle weighs less the more items have it; one of no item weighs 1.
-        pairs = np.unique(np.stack([self.codes, of.astype(np.uint64)], 1), axis=0) if len(of) else np.zeros((0, 2), np.uint64)
-        self.known, held = np.unique(pairs[:, 0], return_counts=True)
+        self.known, held = _holders(self.codes, self.at)
+        self.weighed, held = (self.known, held) if shared is None else shared
         self.weight = 1 / held
         self.prints = simhash(self.codes, self.weigh(self.codes), self.at[:-1], self.at[1:]) if len(count) else np.zeros(0, np.uint64)
         self.lengths, rank = np.unique(self.length, return_inverse=True)
@@ -99,8 +113,8 @@ class Items:
             self.index.append((reach[order], item[order]))
 
     def weigh(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, codes), max(len(self.known) - 1, 0))
-        return np.where(self.known[at] == codes, self.weight[at], 1.0) if len(self.known) else np.ones(len(codes))
+        at = np.minimum(np.searchsorted(self.weighed, codes), max(len(self.weighed) - 1, 0))
+        return np.where(self.weighed[at] == codes, self.weight[at], 1.0) if len(self.weighed) else np.ones(len(codes))
 
     def search(self, prints: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of all fingerprints within the radius, among items of the length given with each."""
@@ -171,19 +185,37 @@ class Items:
             yield doc, int(self.ids[i]), first_word, d, value, words
 
 
+Block = tuple[tuple[int, ...], tuple[str, ...], Settings, tuple[bytes, bytes] | None]
+
+
 @lru_cache(maxsize=2)
-def _items(ids: tuple[int, ...], texts: tuple[str, ...], s: Settings) -> Items:
-    return Items(list(ids), list(texts), s)
+def _items(ids: tuple[int, ...], texts: tuple[str, ...], s: Settings, shared: tuple[bytes, bytes] | None) -> Items:
+    return Items(list(ids), list(texts), s, shared and (np.frombuffer(shared[0], np.uint64), np.frombuffer(shared[1], np.int64)))
+
+
+def _shared(items: DataFrame, s: Settings) -> tuple[bytes, bytes]:
+    """Shingles that several items hold, ascending, and how many do."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.batched(it, "text"):
+            codes, held = _holders(*_shingles(batch.column("text"), s)[1:])
+            yield pa.RecordBatch.from_pydict({"code": pa.array(codes.view(np.int64)), "n": pa.array(held.astype(np.int64))})
+
+    got = items.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    codes, held = (got.column(c).to_numpy() for c in ("code", "n"))
+    order = np.argsort(codes.view(np.uint64))
+    return codes[order].tobytes(), held[order].tobytes()
 
 
-def _blocks(benchmark: DataFrame, s: Settings) -> Iterator[tuple[tuple[int, ...], tuple[str, ...], Settings]]:
-    """What a pass over the documents needs: items by blocks of about BLOCK_BYTES of text."""
+def _blocks(benchmark: DataFrame, s: Settings) -> Iterator[Block]:
+    """What a pass over the documents needs: items by blocks of about BLOCK_BYTES of text, and the shingles that items of any block share."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(-(-total // BLOCK_BYTES)) or 1
+    shared = _shared(items, s) if n > 1 else None
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
-        yield tuple(own.column("item_id").to_pylist()), tuple(own.column("text").to_pylist()), s
+        yield tuple(own.column("item_id").to_pylist()), tuple(own.column("text").to_pylist()), s, shared
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -451,6 +451,18 @@ def test_texts_shorter_than_an_item(spark):
     assert {r.doc_id for r in decontaminate.without_items(table(spark, docs), bench.where("item_id = 7")).collect()} == {3, 4}
 
 
+def test_blocks_of_items(spark, monkeypatch):
+    """Similarities don't depend on how items are cut into blocks."""
+    stem = [f"stem{k}" for k in range(20)]
+    items = [" ".join(stem + [f"own{i}x{k}" for k in range(25)]) for i in range(16)]
+    docs = [(i, item.replace("stem0 stem1 ", "some change ")) for i, item in enumerate(items)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    one = got(decontaminate.contaminated(table(spark, docs), bench))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1 << 10)
+    many = got(decontaminate.contaminated(table(spark, docs), bench))
+    assert len(one) == 16 and many == one
+
+
 def test_fingerprint_search():
     """Blocks find every fingerprint within the radius."""
     rng = np.random.default_rng(3)
