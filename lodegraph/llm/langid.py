@@ -19,7 +19,7 @@ from lodegraph.llm import text as T, unicode as U
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
-SIZES = (3,)
+SIZES = (2, 3, 4)
 _LETTER = np.full(256, 32, np.uint64)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
@@ -63,7 +63,7 @@ class Model:
         self.prob = (p / p.sum(1, keepdims=True)).astype(np.float64).T.copy()  # slot x language
         self.log = np.log(self.prob)
 
-    def infer(self, column: pa.Array, penalty: float, steps: int = 6, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    def infer(self, column: pa.Array, penalty: float, steps: int = 12, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """(index of the leading language, score) of every text.
 
         A mixture of all languages comes first. Its likelihood is concave in the

@@ -377,6 +377,13 @@ def test_languages(spark):
     assert langid.identify(df.limit(0), langid.fit(df.limit(0))).count() == 0
 
 
+def test_short_texts_have_evidence(spark):
+    words = {"de": "ja nein der die das", "fr": "le la une oui non", "it": "il lo gli si no"}
+    model = langid.fit(spark.createDataFrame([(t, x) for x, t in words.items()] * 20, "text string, lang string"))
+    lead, score = model.infer(pa.array(["le", "ja", "il"]), 8.0)
+    assert [model.langs[k] for k in lead] == ["fr", "de", "it"] and (score > 0.4).all()
+
+
 # ---- 9: decontamination -----------------------------------------------------
 
 
