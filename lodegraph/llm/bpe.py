@@ -299,7 +299,7 @@ class Encoded:
         starts = at[boundaries(cps, first)]
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
         raw = buf.tobytes()
-        _, where, inverse = np.unique(T.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        where, inverse = T.distinct_spans(buf, starts, ends)
         entries = table.entries([raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
         sizes = np.array([len(e[0]) // 4 for e in entries], np.int64)
         flat = np.frombuffer(b"".join(e[0] for e in entries), np.int32)

@@ -55,7 +55,7 @@ def measure(column: pa.Array, ngrams: tuple[int, ...]) -> dict[str, np.ndarray]:
     line_doc = np.searchsorted(w.offsets, starts, "right") - 1
     with_word = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends, line_doc = starts[with_word], ends[with_word], line_doc[with_word]
-    keys = T.in_doc(T.span_hashes(w.buf, starts, ends, 7), line_doc)
+    keys = T.distinct_spans(w.buf, starts, ends)[1] * n + line_doc
     order = np.argsort(keys, kind="stable")
     again = np.zeros(len(keys), bool)
     again[order[1:]] = keys[order[1:]] == keys[order[:-1]]

@@ -174,7 +174,7 @@ class _Shard:
         begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         own = np.repeat(begin, n) + step
-        key = T.span_hashes(_gather(self.buf, self.first[blocks], n + LENGTH - 1), own, own + LENGTH, _SEED)
+        key = T.window_hashes(_gather(self.buf, self.first[blocks], n + LENGTH - 1), own, own + LENGTH, _SEED)
         return np.repeat(self.first[blocks], n) + step, np.ones(len(own), np.int64), np.repeat(self.doc[blocks], n), key, key
 
 

@@ -8,21 +8,21 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-
-# Large arrays come from pages of their own and go back to the system when freed
-# (glibc's M_MMAP_THRESHOLD and M_TRIM_THRESHOLD), so that idle workers stay small.
-with contextlib.suppress(OSError, AttributeError):
-    for _option in (-3, -1):
-        ctypes.CDLL(None).mallopt(_option, 4 << 20)
+from pyspark import TaskContext
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Spans of more bytes are hashed by a digest.
+DIGESTED = 2048
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -57,8 +57,8 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of every byte span [start, end) by one prefix sum."""
+def window_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of byte spans by one prefix sum. It is linear, so that long regular spans may collide: only for spans of up to a hundred bytes."""
     n = len(buf)
     total = np.zeros(n + 1, U64)
     np.cumsum(byte_codes(seed)[buf] * _power(_P, n), out=total[1:])
@@ -66,8 +66,85 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.lib.stride_tricks.as_strided(padded[:8].view(U64), (len(buf) + 1,), (1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of every byte span [start, end): eight bytes at a time through the mixer, long spans by a digest."""
+    sizes = ends - starts
+    out = mix(sizes.astype(U64) * U64(0xD1342543DE82EF95) + U64(seed + 1))
+    eights = _eights(buf)
+    lanes, at, left, h = None, starts, sizes, out
+    for _ in range(DIGESTED // 8):
+        chunk = eights[at] & _LOW[np.minimum(left, 8)]
+        h = mix((h ^ chunk) * U64(_P))
+        if lanes is None:
+            out = h
+        else:
+            out[lanes] = h
+        go = np.flatnonzero(left > 8)
+        if not len(go):
+            return out
+        lanes = go if lanes is None else lanes[go]
+        at, left, h = at[go] + 8, left[go] - 8, h[go]
+    for k in lanes.tolist():
+        digest = hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[k] = U64(int.from_bytes(digest, "little"))
+    return out
+
+
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span holds the bytes of the span other[i]."""
+    same = ends - starts == (ends - starts)[other]
+    eights = _eights(buf)
+    lanes = np.flatnonzero(same & (starts != starts[other]))
+    a, b, left = starts[lanes], starts[other[lanes]], (ends - starts)[lanes]
+    while len(lanes):
+        differ = ((eights[a] ^ eights[b]) & _LOW[np.minimum(left, 8)]) != 0
+        same[lanes[differ]] = False
+        go = np.flatnonzero(~differ & (left > 8))
+        if 0 < len(go) < 8:  # the rest of a few long spans
+            for k in lanes[go].tolist():
+                same[k] = np.array_equal(buf[starts[k] : ends[k]], buf[starts[other[k]] : ends[other[k]]])
+            break
+        lanes, a, b, left = lanes[go], a[go] + 8, b[go] + 8, left[go] - 8
+    return same
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each distinct content, content of each span), by hash and then byte by byte."""
+    _, where, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    wrong = np.flatnonzero(~same_spans(buf, starts, ends, where[inverse])) if len(where) else where
+    if len(wrong):
+        fresh: dict[bytes, int] = {}
+        extra = []
+        for k in wrong.tolist():
+            raw = buf[starts[k] : ends[k]].tobytes()
+            if raw not in fresh:
+                fresh[raw] = len(where) + len(extra)
+                extra.append(k)
+            inverse[k] = fresh[raw]
+        where = np.append(where, extra)
+    return where, inverse
+
+
+@cache
+def _own_pages() -> None:
+    """Let a worker's large arrays come from pages of their own and go back to the system when
+    freed (glibc's M_MMAP_THRESHOLD and M_TRIM_THRESHOLD), so that idle workers stay small."""
+    if TaskContext.get() is not None:
+        with contextlib.suppress(OSError, AttributeError):
+            for option in (-3, -1):
+                ctypes.CDLL(None).mallopt(option, 4 << 20)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
+    _own_pages()
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_binary())
