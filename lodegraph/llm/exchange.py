@@ -1,6 +1,6 @@
 """Exchange of packed number columns between shards of text and hash buckets.
 
-Documents are dealt to shards of a few MB by a hash of their id. A shard sends
+Documents are dealt to shards of a few MB by a hash of id and text. A shard sends
 what it knows about its items as one row per bucket, a bucket answers with one
 row per shard. All rows are compressed columns of numbers, so the shuffle moves
 few, dense rows; a hot item counts once a shard however often it occurs there.
@@ -70,13 +70,14 @@ def trim(hashes: np.ndarray, bits: int) -> np.ndarray:
 class Plan:
     """Documents dealt to shards; numbers of shards and buckets, and bits that a filter's hashes need, for their size."""
 
-    def __init__(self, docs: DataFrame, shard_bytes: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()):
-        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
+    def __init__(self, docs: DataFrame, shard_bytes: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str | Column, ...] = ()):
+        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *((F.col(c) if isinstance(c, str) else c).alias(f"carry_{k}") for k, c in enumerate(carry)))
         got = self.rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
         self.bytes, self.count = int(got.b or 0), int(got.n)
         self.bits = min(64, self.bytes.bit_length() + 10)
         self.shards = max(1, -(-self.bytes // shard_bytes))
-        shard: Column = F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int")
+        # By id and text: rows without an id, or with one and the same, don't all meet in one shard.
+        shard: Column = F.pmod(F.xxhash64("id", "text"), F.lit(self.shards)).cast("int")
         self.dealt = self.rows.select(shard.alias("shard"), "*")
 
     def buckets(self, per: int) -> int:
@@ -168,6 +169,14 @@ def ids_of(table: pa.Table) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it a name that `df` has no column of."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def text_of(table: pa.Table) -> pa.Array:
     column = table.column("text").combine_chunks()
     if isinstance(column, pa.ChunkedArray):

@@ -13,6 +13,7 @@ the rest of a list from the first position that can't reach the threshold.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -256,7 +257,7 @@ def links(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: s
                 found = found[found >= 0]
                 for leader, n in set(zip(lead[found].tolist(), parts[found].tolist(), strict=True)):
                     for j in [hash(i) % n] if leader != i else range(n):
-                        at = int(T.mix(np.array([leader * 2654435761 + j * 40503 + n], np.int64).view(np.uint64))[0] % np.uint64(n_group))
+                        at = int(T.mix(np.array([(leader * 2654435761 + j * 40503 + n) % (1 << 64)], np.uint64))[0] % np.uint64(n_group))
                         out.append((at, leader, n, j, 0, i, size, alone, body))
         names = ("bucket", "leader", "parts", "j", "k", "id", "size", "own", "grams")
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -265,8 +266,10 @@ def links(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: s
 
     def meet(t: pa.Table, tell_far: bool) -> pa.Table:
         """Links in each group as (a, b); if asked, of groups in parts also the members that don't link to the leader at once."""
-        t = t.sort_by([(c, "ascending") for c in ("leader", "parts", "j", "k", "id")])
-        rows = np.stack([t.column(c).to_numpy() for c in ("leader", "parts", "j", "k", "id")], 1)
+        # One id may bear several sets, so that a set's own n-grams tell it from the others.
+        t = t.append_column("mark", pa.array([zlib.crc32(x) for x in t.column("grams").to_pylist()], pa.int64()))
+        t = t.sort_by([(c, "ascending") for c in ("leader", "parts", "j", "k", "id", "mark")])
+        rows = np.stack([t.column(c).to_numpy() for c in ("leader", "parts", "j", "k", "id", "mark")], 1)
         once = np.append(True, (rows[1:] != rows[:-1]).any(1))[: len(rows)]
         t, group = t.filter(pa.array(once)), rows[once][:, :4]
         ids, sizes, own, bodies = t.column("id").to_numpy(), t.column("size").to_numpy().astype(np.int64), t.column("own").to_numpy().astype(np.int64), t.column("grams")
@@ -316,7 +319,9 @@ def jaccard_groups(docs: DataFrame, measure: Measure | None = None, id_col: str
     Words are compared with A-Z lowered; a text below the n-gram's length is one
     n-gram; null and empty texts have none and link with nothing. Equal texts
     link whatever their number. A null id counts as larger than all others and
-    names its component only where no other id does, as null.
+    names its component only where no other id does, as null. Rows of one id are one
+    document; extra columns, whatever their names, are not read. Texts are read
+    whole; one has to fit a worker's memory some fifty times over.
     """
     measure = measure or Measure()
     groups = connected_components(links(docs, measure, id_col, text_col))
@@ -330,11 +335,14 @@ def jaccard_groups(docs: DataFrame, measure: Measure | None = None, id_col: str
 def first_of_groups(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, without those that link to a smaller id by any chain.
 
-    Of rows with one id and one text one stays; rows with a null id all stay, as
-    do texts without words.
+    Of rows with one id and one text one stays, whichever; rows with a null id all
+    stay, as do texts without words. Columns of any names are handed on. Texts are
+    read whole; one has to fit a worker's memory some fifty times over.
     """
     groups = connected_components(links(docs.where(F.col(id_col).isNotNull()), measure, id_col, text_col))
-    later = groups.where("component < id").select(F.col("id").alias("group_later_id"))
-    left = docs.join(later, F.col(id_col) == F.col("group_later_id"), "left_anti")
+    own, copy = X.spare(docs, "later_id"), X.spare(docs, "copy")
+    later = groups.where("component < id").select(F.col("id").alias(own))
+    left = docs.join(later, F.col(id_col) == F.col(own), "left_anti")
     once = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit("x"))
-    return left.withColumn("group_copy", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(once))).where("group_copy = 1").drop("group_copy")
+    named = left.where(F.col(id_col).isNotNull()).withColumn(copy, F.row_number().over(once)).where(F.col(copy) == 1).drop(copy)
+    return named.union(left.where(F.col(id_col).isNull()))
