@@ -20,6 +20,8 @@ from lodegraph.llm import text as T, unicode as U
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
 SIZES = (2, 3, 4)
+#: Texts of so many n-grams are counted one by one.
+COUNTED = 2_000
 _LETTER = np.full(256, 32, np.uint64)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
@@ -27,31 +29,48 @@ _LETTER[128:] = np.arange(128, 256)
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, slot, count, n-grams per doc) over the letter n-grams of each text."""
+    """(doc, slot, count, n-grams per doc) over the letter n-grams of each text, slots ascending inside of one.
+
+    A text begins and ends as a word does, next to a blank; n-grams never cross texts.
+    """
     buf, offsets = T.buffers(column)
     n = len(offsets) - 1
-    code = _LETTER[buf]
-    # A text begins and ends as a word does: n-grams never cross texts.
-    doc = np.repeat(np.arange(n, dtype=np.uint64), np.diff(offsets))
-    keys = []
-    for size in SIZES:
-        m = len(buf) - size + 1
+    lengths = np.diff(offsets)
+    offsets = offsets + 2 * np.arange(n + 1)
+    code = np.full(int(offsets[-1]), 32, np.uint64)
+    code[np.arange(len(buf)) + np.repeat(2 * np.arange(n) + 1, lengths)] = _LETTER[buf]
+    final = np.zeros(len(code), bool)
+    final[offsets[1:] - 1] = True
+    keys, cuts = [], []
+    h, letters, ends = code, code != 32, final
+    for size in range(2, max(SIZES) + 1):
+        m = len(code) - size + 1
         if m <= 0:
-            continue
-        h = np.zeros(m, np.uint64)
-        letters = np.zeros(m, bool)
-        for k in range(size):
-            h = (h << np.uint64(8)) | code[k : k + m]
-            letters |= code[k : k + m] != 32
-        keep = letters & (doc[:m] == doc[size - 1 :])
-        slot = T.mix(h[keep] + np.uint64(size << 40)) >> np.uint64(64 - SLOT_BITS)
-        keys.append((doc[:m][keep] << np.uint64(SLOT_BITS)) | slot)
-    flat = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            break
+        h = (h[:m] << np.uint64(8)) | code[size - 1 :]
+        letters = letters[:m] | (code[size - 1 :] != 32)
+        ends = ends[:m] | (final[size - 2 : size - 2 + m])  # a text ends before the last letter
+        if size in SIZES:
+            at = np.flatnonzero(letters & ~ends)
+            keys.append((T.mix(h[at] + np.uint64(size << 40)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+            cuts.append(np.searchsorted(at, offsets))
+    per = np.sum([np.diff(c) for c in cuts], 0).astype(np.int64) if cuts else np.zeros(n, np.int64)
+    found = []
+    for i in np.flatnonzero(per >= COUNTED).tolist():
+        have = np.bincount(np.concatenate([k[c[i] : c[i + 1]] for k, c in zip(keys, cuts, strict=True)]), minlength=SLOTS)
+        slot = np.flatnonzero(have)
+        found.append((np.full(len(slot), i), slot, have[slot]))
+    # Short texts are sorted all at once.
+    small = per < COUNTED
+    flat = [(np.repeat(np.arange(n), np.diff(c)), k) for k, c in zip(keys, cuts, strict=True)]
+    flat = np.sort(np.concatenate([(d[small[d]] << SLOT_BITS) | k[small[d]] for d, k in flat])) if flat else np.zeros(0, np.int64)
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(flat)))
-    flat = flat[first]
-    own = (flat >> np.uint64(SLOT_BITS)).astype(np.int64)
-    return own, (flat & np.uint64(SLOTS - 1)).astype(np.int64), count, np.bincount(own, count, minlength=n)
+    found.append((flat[first] >> SLOT_BITS, flat[first] & (SLOTS - 1), np.diff(np.append(first, len(flat)))))
+    doc, slot, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:
+        order = np.argsort(doc, kind="stable")
+        doc, slot, count = doc[order], slot[order], count[order]
+    return doc, slot, count, per
 
 
 class Model:
@@ -63,42 +82,46 @@ class Model:
         self.prob = (p / p.sum(1, keepdims=True)).astype(np.float64).T.copy()  # slot x language
         self.log = np.log(self.prob)
 
-    def infer(self, column: pa.Array, penalty: float, steps: int = 12, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the leading language, score) of every text.
+    def infer(self, column: pa.Array, penalty: float, steps: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the leading language, score, proportions of the chosen languages) of every text.
 
         A mixture of all languages comes first. Its likelihood is concave in the
-        proportions, so the gradient bounds what any mixture can reach; texts
-        for which that can't pay for a second language are settled. For the
-        others the mixtures of the 2 .. `most` leading languages are compared.
+        proportions, so the gradient bounds what any mixture can reach. Sets of
+        the leading languages are compared, one language more at a time, for as
+        long as the bound lets a text pay for it.
         """
         doc, slot, count, total = grams(column)
         n, k = len(column), len(self.langs)
-        lead, score = np.zeros(n, np.int64), np.zeros(n)
+        lead, score, shares = np.zeros(n, np.int64), np.zeros(n), np.zeros((n, k))
         if not k or not len(doc):
-            return lead, score + (1 / k if k else 0)
+            return lead, score + (1 / k if k else 0), shares
         p, weight = [np.ascontiguousarray(self.prob[:, j])[slot] for j in range(k)], count.astype(np.float64)
         own, at = np.unique(doc, return_index=True)
         sizes, amount = np.diff(np.append(at, len(doc))), total[own].astype(np.float64)
         alone = np.stack([np.add.reduceat(np.ascontiguousarray(self.log[:, j])[slot] * weight, at) for j in range(k)], 1)
         best, cost = np.argmax(alone, 1), penalty * np.log(np.maximum(amount, 2))
-        every, fit, reach = _mixture(p, weight, at, sizes, np.ones((len(own), k)), steps, amount)
-        chosen, value, part = best.copy(), alone.max(1) - cost, np.ones(len(own))
-        open_ = np.flatnonzero(reach - 2 * cost > value)
-        if len(open_):
-            pick = np.repeat(np.isin(np.arange(len(own)), open_), sizes)
-            p, weight, sizes, amount = [x[pick] for x in p], weight[pick], sizes[open_], amount[open_]
-            at, ranked = np.cumsum(sizes) - sizes, np.argsort(-every[open_], 1, kind="stable")
-            for size in range(2, min(most, k) + 1):
-                allowed = np.zeros((len(open_), k))
-                np.put_along_axis(allowed, ranked[:, :size], 1.0, 1)
-                share, fit, _ = _mixture(p, weight, at, sizes, allowed, 2 * steps, amount)
-                better = np.flatnonzero(fit - size * cost[open_] > value[open_])
-                value[open_[better]] = (fit - size * cost[open_])[better]
-                chosen[open_[better]], part[open_[better]] = np.argmax(share, 1)[better], share.max(1)[better]
+        chosen, value = np.zeros((len(own), k)), alone.max(1) - cost
+        chosen[np.arange(len(own)), best] = 1
+        every, _, reach = _mixture(p, weight, at, sizes, np.ones((len(own), k)), steps, amount)
+        ranked = np.argsort(-every, 1, kind="stable")
+        open_ = np.arange(len(own))
+        for size in range(2, k + 1):
+            still = reach[open_] - size * cost[open_] > value[open_]
+            if not still.any():
+                break
+            pick = np.repeat(still, sizes)
+            p, weight, sizes, open_ = [x[pick] for x in p], weight[pick], sizes[still], open_[still]
+            allowed = np.zeros((len(open_), k))
+            np.put_along_axis(allowed, ranked[open_, :size], 1.0, 1)
+            share, fit, _ = _mixture(p, weight, np.cumsum(sizes) - sizes, sizes, allowed, 2 * steps, amount[open_])
+            better = fit - size * cost[open_] > value[open_]
+            value[open_[better]] = (fit - size * cost[open_])[better]
+            chosen[open_[better]] = share[better]
+        first = np.argmax(chosen, 1)
         evidence = 1 / np.exp(np.maximum(alone - alone.max(1, keepdims=True), -50)).sum(1)
-        lead[own], score[total == 0] = chosen, 1 / k
-        score[own] = np.clip(part * np.where(chosen == best, evidence, 1 - evidence), 0, 1)
-        return lead, score
+        lead[own], score[total == 0], shares[own] = first, 1 / k, chosen
+        score[own] = np.clip(chosen.max(1) * np.where(first == best, evidence, 1 - evidence), 0, 1)
+        return lead, score, shares
 
 
 def _mixture(p: list[np.ndarray], weight: np.ndarray, at: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, steps: int, amount: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,19 +167,29 @@ def fit(training: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row; `und` without text or letter.
-
-    With no language learnt all rows are `und` with score 0. Repeated rows give
-    equal rows; a null id is carried along; no other column is read.
+    """doc_id, lang_pred, score, langs, shares for every row; `und` without text or letter.
+
+    langs and shares: the languages of the chosen set and their proportions, the
+    largest first. Of languages that fit equally well the first by name counts; a
+    text of one letter is judged by that letter between blanks. With no language
+    learnt all rows are `und` with score 0. Repeated rows give equal rows; a null
+    id is carried along; no other column is read, whatever its name. Texts are read
+    whole; one has to fit a worker's memory some fifty times over.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, "und"], object)
         for batch in T.batched(it, "text", 2 << 20):
             column = batch.column("text")
-            lead, score = model.infer(column, penalty)
+            lead, score, shares = model.infer(column, penalty)
             none = ~U.has_letter(*T.buffers(column)) | (not model.langs)
-            lead = np.where(none, len(model.langs), lead)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names[lead].tolist(), pa.string()), pa.array(np.where(none, 0.0, score))], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            lead, shares = np.where(none, len(model.langs), lead), np.where(none[:, None], 0, shares)
+            order = np.argsort(-shares, 1, kind="stable")
+            size = (shares > 0).sum(1)
+            kept = np.arange(shares.shape[1])[None, :] < size[:, None]
+            cuts = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+            langs = pa.ListArray.from_arrays(cuts, pa.array(names[order[kept]].tolist(), pa.string()))
+            parts = pa.ListArray.from_arrays(cuts, pa.array(np.take_along_axis(shares, order, 1)[kept], pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names[lead].tolist(), pa.string()), pa.array(np.where(none, 0.0, score)), langs, parts], names=["doc_id", "lang_pred", "score", "langs", "shares"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")

@@ -71,7 +71,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where("lang is not null and text is not null").where(fold(4) != 2))
-    return langid.identify(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
 @query
