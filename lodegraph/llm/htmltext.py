@@ -5,7 +5,8 @@ order. Paragraph-like blocks give points for length and commas to their
 ancestors, less at each level; a container's points are discounted by its share
 of link text. The best container is kept, with siblings that score well enough, but for lists of links in it.
 Parts that are never article text (menus, forms, adverts and so on, by element
-or by the words of their class, id and role) are left out beforehand.
+or by the words of their class, id and role) are left out beforehand; where those
+words leave doubt, as `share` or `related` do, the part's own points and links decide.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>?|<(?=[a-zA-Z/])[^>]*\Z""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: Comments, tags (a quoted value ends where an attribute can end; else the tag ends at the next `>`), declarations, a tag cut off at the end.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*)>|([^>]*)>)|<[!?][^>]*>?|<(?=[a-zA-Z/])[^>]*\Z""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -30,13 +34,15 @@ BLOCK = frozenset(
 )
 #: An opening element ends an open one of these, up to the given boundary.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of class, id or role of parts that are no article text.
+#: Words of class, id or role of parts that are no article text, wherever they stand.
 AWAY = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets alert disclaimer header topbar outbrain taboola".split()
+    "ad ads advert adverts advertisement advertising adbox breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter outbrain pager pagination popup promo promoted recommended respond sidebar signup skip sponsor sponsored subscribe subscription taboola topbar".split()
 )
+#: Words of parts that may be: a container so marked goes if it looks like no text, see _looks_aside().
+DOUBTFUL = frozenset("alert banner banners disclaimer header notice notices related reply replies share sharing social tags toolbar widget widgets".split())
 STAY = frozenset("article content main body post entry story text".split())
 #: Such words count even beside one of STAY, as in "post-comments".
-_CLEAR = frozenset("ad ads advert comment comments footer menu nav related sidebar".split())
+_CLEAR = frozenset("ad ads advert comment comments footer menu nav sidebar".split())
 _CONTAINERS = frozenset("div section ul ol dl table".split())
 _PARAGRAPH = frozenset("p pre blockquote td div section article main li dd body".split())
 
@@ -60,11 +66,14 @@ def _away(tag: str, attributes: str, parent: _Node) -> tuple[bool, frozenset[str
             return True, frozenset()
     if not attributes:
         return False, frozenset()
-    marks = frozenset(w for _, v in _ATTRIBUTE.findall(attributes) for w in _WORD.findall(v.lower()))
+    named = {k.lower(): v.strip("\"'") for k, v in reversed(_ATTRIBUTE.findall(attributes))}
+    marks = frozenset(w for k in ("class", "id", "role") for w in _WORD.findall(named.get(k, "").lower()))
     if tag in ("html", "body", "article", "main"):
         return False, marks
+    if "hidden" in named and named["hidden"].lower() != "until-found" or named.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(named.get("style", "")):
+        return True, marks
     stays = tag in _CONTAINERS and marks & STAY and not marks & _CLEAR
-    return bool(_HIDDEN.search(attributes)) or bool(marks & AWAY and not stays), marks
+    return bool(marks & AWAY and not stays), marks
 
 
 def _read(page: str) -> list[tuple[_Node, str, int]]:
@@ -130,7 +139,7 @@ def _read(page: str) -> list[tuple[_Node, str, int]]:
                     pop_to(k)
                     break
             continue
-        attributes = m.group(3)
+        attributes = m.group(3) if m.group(3) is not None else m.group(4)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
             end = lower.find("</" + tag, at) if len(lower) == len(page) else _find(page, tag, at)
@@ -161,6 +170,13 @@ def _read(page: str) -> list[tuple[_Node, str, int]]:
     return blocks
 
 
+def _looks_aside(n: _Node) -> bool:
+    """Whether a container whose marks are doubtful is no text: mostly links, or without a paragraph that scores; paragraphs and headings so marked stay."""
+    if n.tag not in _CONTAINERS or not n.marks & DOUBTFUL or n.marks & STAY:
+        return False
+    return n.links > 0.3 * n.chars or not n.score
+
+
 def _find(page: str, tag: str, at: int) -> int:
     m = re.compile("</" + tag, re.I).search(page, at)
     return m.start() if m else -1
@@ -195,10 +211,11 @@ def main_text(page: str | None) -> str:
     within = [n for n in nodes.values() if n.tag in ("article", "main")]
     scored = [n for n in nodes.values() if n.score > 0 and n.tag not in ("#root", "html")]
     if scored:
-        best = max(scored, key=worth)
-        at: _Node | None = best
-        while at is not None:  # the article around the best container holds its siblings too
-            if at.tag == "article" or at.tag == "main" and not any(n.tag == "article" and n is not at for n in within):
+        best = max(scored, key=worth)  # the first in page order of equal ones
+        at, least = best, 0.1 * worth(best)
+        while at is not None:
+            # The article around the best container holds its siblings too, if it is worth it: points fade with each level, links take from them.
+            if worth(at) >= least and (at.tag == "article" or at.tag == "main" and not any(n.tag == "article" and n is not at for n in within)):
                 best = at
             at = at.parent
     elif within:
@@ -222,7 +239,7 @@ def main_text(page: str | None) -> str:
     for node, text, _ in blocks:
         at, menu = node, False
         while at is not None and id(at) not in keep:
-            menu |= at.tag in _CONTAINERS and at.blocks > 1 and at.links > 0.75 * at.chars
+            menu |= at.tag in _CONTAINERS and at.blocks > 1 and at.links > 0.75 * at.chars or _looks_aside(at)
             at = at.parent
         if at is not None and not menu:
             out.append(text)
@@ -233,7 +250,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars (code points) of every row.
 
     A null or empty page has the empty text; broken markup is read as far as it
-    goes; repeated rows give equal rows; null ids and urls are carried along.
+    goes; of containers with equal points the first in the page counts; repeated
+    rows give equal rows; null ids and urls are carried along; other columns,
+    whatever their names, are not read. Pages are read whole, one at a time, at some
+    hundred bytes of memory for each element.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
