@@ -62,12 +62,16 @@ c AS (SELECT rid, x, {cover} FROM u),
 g AS (SELECT rid, sum(length(x)) AS word_chars, sum(c3) AS n_repeat_words, {sums} FROM c GROUP BY rid),
 l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
 m AS (SELECT rid, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars, row_number() OVER (PARTITION BY rid, line ORDER BY k) > 1 AS again FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+q AS (SELECT rid, mark, row_number() OVER (PARTITION BY rid ORDER BY k) AS j FROM (SELECT rid, k, regexp_replace(x, '[^#*$%&|<>]', '', 'g') AS mark FROM t) WHERE mark <> ''),
+p AS (SELECT rid, j, mark || ' ' || lead(mark) OVER (PARTITION BY rid ORDER BY j) AS pair FROM q),
+e AS (SELECT rid, j, (pair IS NOT NULL AND count(*) OVER (PARTITION BY rid, pair) > 1)::INT AS twice FROM p),
+f AS (SELECT rid, sum(c) AS marked FROM (SELECT rid, max(twice) OVER (PARTITION BY rid ORDER BY j ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c FROM e) GROUP BY rid),
 n AS (SELECT rid, count(*) AS n_dup_lines, sum(chars) AS dup_chars FROM m WHERE again GROUP BY rid),
 a AS (SELECT d.doc_id, len(w) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-coalesce(dup_chars, 0) / greatest(coalesce(word_chars, 0), 1) AS dup_line_chars, {shares}, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(text, '[^a-z]', '', 'g')) AS low
-FROM d LEFT JOIN g ON g.rid = d.rid LEFT JOIN n ON n.rid = d.rid),
+coalesce(dup_chars, 0) / greatest(coalesce(word_chars, 0), 1) AS dup_line_chars, coalesce(marked, 0) / greatest(len(w), 1) AS dup_mark_words, {shares}
+FROM d LEFT JOIN g ON g.rid = d.rid LEFT JOIN n ON n.rid = d.rid LEFT JOIN f ON f.rid = d.rid),
 b AS (SELECT *, n_words < {rules.min_words} OR n_repeat_words > {rules.max_repeat_words} * n_words AS base_failed FROM a)
-SELECT * EXCLUDE (up, low), NOT base_failed AND dup_line_chars <= {rules.max_dup_line_chars} AND n_symbols <= {rules.max_symbols_per_word} * n_words AND up <= {rules.max_upper_share} * greatest(up + low, 1) AND {within} AS kept FROM b"""
+SELECT *, NOT base_failed AND dup_line_chars <= {rules.max_dup_line_chars} AND dup_mark_words <= {rules.max_dup_mark_words} AND {within} AS kept FROM b"""
 
 
 QUALITY = _quality()

@@ -520,7 +520,48 @@ def test_repetition_shares():
     assert m["dup_5gram_chars"][0] == 0 and m["dup_10gram_chars"][1] == 1
     assert m["dup_line_chars"][2] == pytest.approx(12 / (24 + sum(map(len, words))))
     kept = quality.verdict(quality.measure(pa.array([" ".join(words), " ".join(words).upper(), " ".join(w + "$" for w in words), "\n".join([" ".join(words[:30])] + ["x y z"] * 30 + words)]), (2, 3, 5, 7, 10)), quality.Rules())[1]
-    assert kept.tolist() == [True, False, False, False]
+    assert kept.tolist() == [True, True, False, False]
+
+
+def test_marks():
+    """Repeated runs of two words' symbols, against plain counting."""
+    rng = random.Random(3)
+    texts = ["", "#", "# #", "a# b c* d# e*", "a | b | c", "$ " * 9]
+    texts += [" ".join("w" + "".join(rng.choice("#*$%") for _ in range(rng.randrange(3))) * (rng.random() < 0.6) for _ in range(rng.randrange(40))) for _ in range(60)]
+    found = quality.measure(pa.array(texts), ())["dup_mark_words"]
+    for t, share in zip(texts, found, strict=True):
+        words = t.split()
+        marks = [m for m in ("".join(c for c in w if c in "#*$%&|<>") for w in words) if m]
+        pairs = Counter(zip(marks, marks[1:], strict=False))
+        twice = {k + j for k in range(len(marks) - 1) if pairs[marks[k], marks[k + 1]] > 1 for j in (0, 1)}
+        assert share == pytest.approx(len(twice) / max(len(words), 1))
+
+
+@pytest.mark.parametrize("size", sorted(quality.NGRAM_CEILINGS))
+def test_each_length_rejects(size):
+    """For every n-gram length a text that only its ceiling rejects."""
+    rng = random.Random(size)
+    fresh = iter(range(10**6))
+
+    def new(n, length):
+        return [f"{next(fresh):0{length}d}" for _ in range(n)]
+
+    def text(share, length):
+        """Runs of `size` words, each twice and apart, with so great a share of the characters; repeated words are longer than others."""
+        runs = [new(size, length) for _ in range(40)]
+        body = [r for r in runs for _ in range(2)]
+        rng.shuffle(body)
+        rest = round(80 * size * length * (1 / share - 1) / 6)
+        gaps = np.bincount([rng.randrange(80) for _ in range(rest)], minlength=80)
+        return " ".join(w for r, g in zip(body, gaps, strict=True) for w in [*r, *new(int(g), 6)])
+
+    most = quality.NGRAM_CEILINGS[size]
+    sizes = tuple(sorted(quality.NGRAM_CEILINGS))
+    m = quality.measure(pa.array([text(most + 0.015, 12), text(most - 0.015, 12)]), sizes)
+    base, kept = quality.verdict(m, quality.Rules())
+    assert base.tolist() == [False, False] and kept.tolist() == [False, True]
+    others = {k: v for k, v in quality.NGRAM_CEILINGS.items() if k != size}
+    assert quality.verdict(m, quality.Rules(ngram_ceilings=others))[1].tolist() == [True, True]
 
 
 # ---- 5: pages ---------------------------------------------------------------

@@ -18,7 +18,7 @@ from tests.llm import brute
 
 def kept_by_rules(text, rules=quality.Rules()):
     words = brute.WORD.findall(text or "")
-    n_words, chars, symbols, _, repeats = brute.quality(text)
+    n_words, chars, _, _, repeats = brute.quality(text)
     if n_words < rules.min_words or repeats > rules.max_repeat_words * n_words:
         return False
     seen, dup = set(), 0
@@ -26,8 +26,10 @@ def kept_by_rules(text, rules=quality.Rules()):
         if brute.WORD.search(line):
             dup += sum(map(len, brute.WORD.findall(line))) if line in seen else 0
             seen.add(line)
-    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
-    if dup > rules.max_dup_line_chars * chars or symbols > rules.max_symbols_per_word * n_words or upper > rules.max_upper_share * max(upper + lower, 1):
+    marks = [m for m in ("".join(c for c in w if c in "#*$%&|<>") for w in words) if m]
+    pairs = Counter(zip(marks, marks[1:], strict=False))
+    twice = {k + j for k in range(len(marks) - 1) if pairs[marks[k], marks[k + 1]] > 1 for j in (0, 1)}
+    if dup > rules.max_dup_line_chars * chars or len(twice) > rules.max_dup_mark_words * n_words:
         return False
     for n, most in rules.ngram_ceilings.items():
         count = Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
