@@ -167,12 +167,18 @@ def _heading(r: _Reader, k: int, kind: str) -> list[str]:
 def _body(r: _Reader, k: int) -> list[str]:
     """Types of fields, methods, parameters, variables and creations, and qualifiers of calls, in the whole source."""
     out: list[str] = []
+    resources = 0  # end of the brackets after the last `try`
     while k < r.n:
         t = r.t[k]
         before = r.t[k - 1] if k else ""
         if t == "@" and r.t[k + 1 : k + 2] != ["interface"]:
             k = r.skip_annotation(k)
             continue
+        if t == "try" and r.t[k + 1 : k + 2] == ["("]:
+            resources = r.close(k + 1)
+        if t == "catch" and r.t[k + 1 : k + 2] == ["("]:
+            k = r.close(k + 1) + 1  # what is caught isn't declared
+            continue
         if t == "new":
             got = r.type_at(k + 1)
             if got and got[2] < r.n and r.t[got[2]] in ("(", "<"):
@@ -192,7 +198,7 @@ def _body(r: _Reader, k: int) -> list[str]:
                 after = r.t[got[2] + 1]
                 if after == "(":
                     out.append(got[0])  # a method: its result's arguments don't count
-                elif after in (";", "=", ",", ")", ":", "["):
+                elif after in (";", "=", ",", ")", "[") and k >= resources:  # a colon goes on with what a loop runs over
                     out += [got[0], *got[1]]
                 if after in ("(", ";", "=", ",", ")", ":", "["):
                     k = got[2] + 1

@@ -70,6 +70,8 @@ class _Reader(DataSourceReader):
         return [_Chunk(k, paths[k : k + FILES_PER_PARTITION]) for k in range(0, len(paths), FILES_PER_PARTITION)] or [_Chunk(0, [])]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
+        if partition.paths and not os.path.isdir(self.root):
+            raise FileNotFoundError(f"{self.root} is not a folder that this executor sees; sources have to lie where driver and executors do")
         for k, rel in enumerate(partition.paths):
             path, text, error = os.path.join(self.root, rel), None, None
             try:

@@ -38,6 +38,19 @@ def test_reading(spark, tmp_path):
     assert source_files(spark, tree(tmp_path / "none", **{"x.txt": ""}), "python").count() == 0
 
 
+def test_executors_without_the_tree(spark, tmp_path):
+    """A folder that the reading side doesn't see is an error, not a tree of unreadable files."""
+    import shutil
+
+    found = source_files(spark, tree(tmp_path / "gone", **{"a.py": "x = 1\n"}), "python")
+    assert found.count() == 1
+    from lodegraph.sources.trees import _Chunk, _Reader
+
+    shutil.rmtree(tmp_path / "gone")
+    with pytest.raises(FileNotFoundError):
+        list(_Reader({"root": str(tmp_path / "gone"), "language": "python"}).read(_Chunk(0, ["a.py"])))
+
+
 def test_lines(spark):
     texts = ["", "a", "a\n", "a\nb\r\nc\rd", "x\x0by\x0cz\x1cq\x85r\u2028s\u2029t", "\n\n"]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lines.split_lines(F.col("t")).alias("l")).orderBy("i").collect()
@@ -111,8 +124,10 @@ def test_java_names():
     s = java_refs.read(JAVA)
     assert (s.ok, s.package, s.kind, s.name) == (True, "p", "class", "Foo")
     assert s.imports == [("q.Other", False), ("q.Util.run", False), ("r", True)]
-    assert {"Base", "Arg", "IFoo", "List", "Elem", "Map", "Key", "Val", "Ctor", "Ret", "Par", "In", "Other", "Loc", "Each", "Stat", "a.b", "Made", "Deep"} <= set(s.names)
-    assert not {"Gone", "Nope", "Foo", "Ann"} & set(s.names)
+    assert {"Base", "Arg", "IFoo", "List", "Elem", "Map", "Key", "Val", "Ctor", "Ret", "Par", "In", "Other", "Loc", "Stat", "a.b", "Made", "Deep"} <= set(s.names)
+    assert not {"Gone", "Nope", "Foo", "Ann", "Each"} & set(s.names)
+    # What a loop runs over, what is caught and resources aren't declared; what stands in their bodies is.
+    assert java_refs.read("class A { void f() { try (R r = new S()) { T t; } catch (final U | V e) { W w; } for (X x : y) { Z z; } } }").names == ["S", "T", "W", "Z"]
     assert java_refs.read("interface A<T> extends B, C<D> { E e(); }").names == ["B", "C"]
     assert java_refs.read("enum A implements B { X; C c; }").names == []
     assert not java_refs.read("class A {").ok and not java_refs.read("this is not java").ok and not java_refs.read("").ok
@@ -147,6 +162,6 @@ def test_engines():
     assert references.get_engine("JAVA") == ("java", "javalang")
     assert references.list_engines() == {"java": ["javalang", "treesitter"], "python": ["ast", "treesitter"], "javascript": ["regex"]}
     for bad in [("cobol", None), ("java", "ast")]:
-        with pytest.raises(ValueError, match="Unknown"):
+        with pytest.raises(ValueError, match="is called"):
             references.get_engine(*bad)
     assert references.tokens("unknown") is lexers.java_tokens
