@@ -16,6 +16,7 @@ from lodegraph.plans import corpus
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodegraph", description="Rank the components of a source tree by how much they are reused.", formatter_class=argparse.ArgumentDefaultsHelpFormatter)
+    # Names, letters, choices and defaults of the options.
     p.add_argument("corpus_dir", help="directory with the sources, read with its subdirectories")
     p.add_argument("--language", "-l", choices=references.languages(), default="java", help="language of the sources")
     p.add_argument("--parser", default=None, help=f"engine, of {references.list_engines()}; the language's first if left out")
@@ -35,7 +36,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = build_parser()
     a = p.parse_args(argv)
     if not os.path.isdir(a.corpus_dir):
-        p.error(f"corpus_dir '{a.corpus_dir}' is not a directory.")
+        p.error(f"there is no folder '{a.corpus_dir}'")
     if a.verbose:
         logging.basicConfig(level=logging.INFO)
     spark = spark or SparkSession.builder.appName("lodegraph").getOrCreate()
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         ranked = corpus.rank_corpus(spark, a.corpus_dir, a.language, a.parser, a.similarity, a.threshold, a.damping, a.epsilon, a.max_iter, a.solver, a.verbose)
         print(sinks.format_output(ranked, a.output_format, a.top))
     except (RuntimeError, ValueError) as e:
-        print(f"Error: {e}", file=sys.stderr)
+        print(f"error: {e}", file=sys.stderr)
         return 1
     return 0
 

@@ -7,10 +7,7 @@ from pyspark.sql import Column, functions as F
 # The characters that end a line (CR LF is one end), and patterns of the JavaScript rules.
 LINE_END = r"(?<=\n|\x0B|\x0C|\x1C|\x1D|\x1E|\x{85}|\x{2028}|\x{2029})|(?<=\r)(?!\n)"
 BLOCK_COMMENT, LINE_COMMENT = r"/\*[\s\S]*?\*/", r"//[^\n]*"
-JS_TOKEN = (
-    r"`(?:[^`\\]|\\.)*`|'(?:[^'\\]|\\.)*'|" + r'"(?:[^"\\]|\\.)*"' + r"|//[^\n]*|/\*[\s\S]*?\*/|[a-zA-Z_$][a-zA-Z0-9_$]*"
-    r"|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?n?|[^\s\w'" + r'"` ]'
-)
+JS_TOKEN = r"""`(?:[^`\\]|\\.)*`|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|//[^\n]*|/\*[\s\S]*?\*/|[a-zA-Z_$][a-zA-Z0-9_$]*|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?n?|[^\s\w'"` ]"""
 JS_SPECIFIERS = (r"\bfrom\s+['\"]([^'\"]+)['\"]", r"\bimport\s+['\"]([^'\"]+)['\"]", r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]\s*\)")
 JS_EXTENDS = r"\bextends\s+([\w$][\w$]*)"
 JS_IMPLEMENTS = r"\bimplements\s+([\w$][\w$]*(?:\s*,\s*[\w$][\w$]*)*)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from typing import Protocol
 
 # Fixed values of the similarity measures.
 SIZE_RATIO_CUTOFF, EXACT_LIMIT = 10.0, 2000
@@ -42,7 +43,31 @@ def ratio(shared: int, a: int, b: int) -> float:
     return shared / union if union > 0 else 0.0
 
 
-def similarity(a: Sequence, b: Sequence, method: str, threshold: float | None = None) -> float:
+class Measure(Protocol):
+    """A similarity of two sequences that are not empty and whose sizes are within the cutoff.
+
+    What it counts as shared must be a common subsequence or less, since pairs
+    that can't reach a threshold by their elements alone are not scored.
+    """
+
+    def shared(self, a: Sequence, b: Sequence) -> int: ...
+
+
+class DiffMeasure:
+    """Total length of the matching blocks."""
+
+    def shared(self, a: Sequence, b: Sequence) -> int:
+        return block_length(a, b)
+
+
+class TokenMeasure:
+    """The longest common subsequence, matching blocks for long sequences."""
+
+    def shared(self, a: Sequence, b: Sequence) -> int:
+        return block_length(a, b) if min(len(a), len(b)) > EXACT_LIMIT else lcs_length(a, b)
+
+
+def similarity(a: Sequence, b: Sequence, measure: Measure, threshold: float | None = None) -> float:
     """Score of a pair in this order, 0.0 without alignment where it can't reach the threshold."""
     if not a and not b:
         return 1.0
@@ -50,8 +75,4 @@ def similarity(a: Sequence, b: Sequence, method: str, threshold: float | None =
         return 0.0
     if threshold is not None and ratio(overlap_bound(a, b), len(a), len(b)) < threshold:
         return 0.0
-    if method == "diff" or min(len(a), len(b)) > EXACT_LIMIT:
-        shared = block_length(a, b)
-    else:
-        shared = lcs_length(a, b)
-    return ratio(shared, len(a), len(b))
+    return ratio(measure.shared(a, b), len(a), len(b))

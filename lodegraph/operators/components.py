@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Both steps only need the smallest neighbour of each node, an aggregate with
-map-side combining; a node with very many edges is spread by the skew handling
-of the join that hands the minimum back.
+map-side combining. It is kept before the join that hands it back, so that both
+sides of that join are plain shuffles: a node with very many edges is then
+spread over tasks by adaptive skew handling, which leaves aggregates alone.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from lodegraph.operators.checkpoints import cut
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """edges (u, v): every u points its neighbours at the smallest of them and itself."""
-    low = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    low = cut(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
     moved = edges.join(low, "u")
     if small:
         return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

@@ -25,6 +25,8 @@ KERNEL_NODES, KERNEL_EDGES, EIGEN_NODES = 1_000_000, 10_000_000, 3_000
 def transition(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(src, dst, prob) of all pairs of nodes: the definition, for small graphs. nodes: (node); edges: (src, dst)."""
     n = nodes.count()
+    if n > EIGEN_NODES:
+        raise ValueError(f"the matrix is formed for up to {EIGEN_NODES} nodes, not {n}")
     if n == 1:
         return nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("prob"))
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
@@ -56,7 +58,7 @@ def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _not_converged(steps: int, epsilon: float) -> RuntimeError:
-    return RuntimeError(f"Power iteration did not converge within {steps} iterations (epsilon {epsilon}).")
+    return RuntimeError(f"the weights did not converge in {steps} steps to a change below {epsilon}")
 
 
 def power_kernel(n: int, src: np.ndarray, dst: np.ndarray, damping: float, epsilon: float, max_iter: int, fixed: bool = False) -> np.ndarray:
@@ -124,10 +126,13 @@ def _by_joins(nodes: DataFrame, edges: DataFrame, n: int, damping: float, epsilo
         total, change = new.agg(F.sum("weight"), F.sum(F.abs(F.col("weight") - F.col("old")))).first()
         w = new.select("node", "sink", (F.col("weight") / F.lit(total)).alias("weight"))
         if change < epsilon and not fixed:
-            return w.select("node", "weight")
-    if fixed:
-        return w.select("node", "weight")
-    raise _not_converged(max_iter, epsilon)
+            break
+    else:
+        if not fixed:
+            raise _not_converged(max_iter, epsilon)
+    if w.where(F.col("weight") < -1e-12).limit(1).count():
+        raise RuntimeError("A weight is negative.")
+    return w.select("node", F.greatest("weight", F.lit(0.0)).alias("weight"))
 
 
 def weights(nodes: DataFrame, edges: DataFrame, solver: str = "power", damping: float = DAMPING, epsilon: float = EPSILON, max_iter: int = MAX_ITER, fixed_steps: bool = False, by_joins: bool | None = None) -> DataFrame:
@@ -135,7 +140,7 @@ def weights(nodes: DataFrame, edges: DataFrame, solver: str = "power", damping:
     if not 0 <= damping <= 1:
         raise ValueError("damping must be between 0 and 1")
     if solver not in ("power", "eigen"):
-        raise ValueError(f"Unknown solver '{solver}'. Choose: power, eigen")
+        raise ValueError(f"no solver is called '{solver}'; there are: power, eigen")
     if solver == "eigen":
         n = nodes.count()
         if n > EIGEN_NODES:
@@ -143,10 +148,12 @@ def weights(nodes: DataFrame, edges: DataFrame, solver: str = "power", damping:
         return _in_one_task(nodes, edges, lambda n, s, d: eigen_kernel(n, s, d, damping))
     if max_iter < 1:
         raise _not_converged(max_iter, epsilon)
+    nodes, edges = cut(nodes), cut(edges)  # counted here, then read by every step
+    n = nodes.count()
     if by_joins is None:
-        by_joins = nodes.count() > KERNEL_NODES or edges.count() > KERNEL_EDGES
+        by_joins = n > KERNEL_NODES or edges.count() > KERNEL_EDGES
     if by_joins:
-        return _by_joins(nodes, edges, nodes.count(), damping, epsilon, max_iter, fixed_steps)
+        return _by_joins(nodes, edges, n, damping, epsilon, max_iter, fixed_steps)
     return _in_one_task(nodes, edges, lambda n, s, d: power_kernel(n, s, d, damping, epsilon, max_iter, fixed_steps))
 
 

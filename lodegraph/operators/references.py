@@ -56,10 +56,10 @@ def get_engine(language: str, engine: str | None = None) -> tuple[str, str]:
     """Checked (language, engine); ValueError for unknown ones."""
     language = language.lower()
     if language not in DEFAULTS:
-        raise ValueError(f"Unknown language '{language}'. Supported: {', '.join(DEFAULTS)}")
+        raise ValueError(f"no language is called '{language}'; there are: {', '.join(DEFAULTS)}")
     key = language, (engine or DEFAULTS[language]).lower()
     if key not in ENGINES:
-        raise ValueError(f"Unknown parser '{key[1]}' for language '{language}'. Valid choices: {', '.join(list_engines()[language])}")
+        raise ValueError(f"no engine for {language} is called '{key[1]}'; there are: {', '.join(list_engines()[language])}")
     return key
 
 

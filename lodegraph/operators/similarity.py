@@ -14,9 +14,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodegraph.functions.sequences import SIZE_RATIO_CUTOFF, similarity
+from lodegraph.functions.sequences import SIZE_RATIO_CUTOFF, DiffMeasure, Measure, TokenMeasure, similarity
 
-METHODS = ("diff", "token")
+METHODS: dict[str, Measure] = {"diff": DiffMeasure(), "token": TokenMeasure()}
+
+
+def register_method(name: str, measure: Measure) -> None:
+    """Make a measure of one's own known by name; see Measure for what it has to keep."""
+    METHODS[name] = measure
 
 
 def available_methods() -> list[str]:
@@ -25,19 +30,27 @@ def available_methods() -> list[str]:
 
 def check_method(name: str) -> str:
     if name not in METHODS:
-        raise ValueError(f"Unknown similarity method '{name}'. Available: {', '.join(METHODS)}")
+        raise ValueError(f"no similarity method is called '{name}'; there are: {', '.join(METHODS)}")
     return name
 
 
-def score_column(a: Column, b: Column, method: str, threshold: float | None = None) -> Column:
-    """Similarity of two array columns, 0.0 unaligned where it can't reach the threshold."""
-    check_method(method)
+def score_column(a: Column, b: Column, method: str, threshold: float | None = None, forward: Column | None = None, backward: Column | None = None) -> Column:
+    """Similarity of two array columns, 0.0 unaligned where it can't reach the threshold.
+
+    forward and backward tell in which orders a row is aligned; the better score
+    counts. A condition around the whole would not keep it from being worked out.
+    """
+    measure = METHODS[check_method(method)]
 
     @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(list(p), list(q), method, threshold) for p, q in zip(x, y, strict=True)], dtype="float64")
+    def score(x: pd.Series, y: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
+        out = []
+        for p, q, f, g in zip(x, y, one, other, strict=True):
+            p, q = list(p), list(q)
+            out.append(max(similarity(p, q, measure, threshold) if f else 0.0, similarity(q, p, measure, threshold) if g else 0.0))
+        return pd.Series(out, dtype="float64")
 
-    return score(a, b)
+    return score(a, b, F.lit(True) if forward is None else forward, F.lit(False) if backward is None else backward)
 
 
 def ratio_ok(a: Column, b: Column) -> Column:
@@ -71,9 +84,8 @@ def similar_sequences(sequences: DataFrame, method: str, threshold: float) -> Da
     s = sequences.select("key", "seq", "first", "last")
     left, right = (s.select(*(F.col(c).alias(f"{k}_{c}") for c in s.columns)) for k in ("a", "b"))
     pairs = candidates(sequences, threshold).join(left, F.col("a") == F.col("a_key")).join(right, F.col("b") == F.col("b_key"))
-    forward = F.when(F.col("a_first") < F.col("b_last"), score_column(F.col("a_seq"), F.col("b_seq"), method, threshold)).otherwise(0.0)
-    backward = F.when(F.col("b_first") < F.col("a_last"), score_column(F.col("b_seq"), F.col("a_seq"), method, threshold)).otherwise(0.0)
-    return pairs.select("a_first", "b_first", F.greatest(forward, backward).alias("score")).where(F.col("score") >= threshold)
+    score = score_column(F.col("a_seq"), F.col("b_seq"), method, threshold, F.col("a_first") < F.col("b_last"), F.col("b_first") < F.col("a_last"))
+    return pairs.select("a_first", "b_first", score.alias("score")).where(F.col("score") >= threshold)
 
 
 def similarity_links(items: DataFrame, method: str, threshold: float) -> DataFrame:

@@ -29,7 +29,7 @@ def render(rows: Sequence[tuple[int, str, float]], fmt: str = "table") -> str:
         return out.getvalue()
     if fmt == "json":
         return json.dumps([{"rank": r, "qualified_name": n, "weight": round(w, 10)} for r, n, w in rows], indent=2)
-    raise ValueError(f"Unknown output format '{fmt}'. Choose: {', '.join(FORMATS)}")
+    raise ValueError(f"no format is called '{fmt}'; there are: {', '.join(FORMATS)}")
 
 
 def _grid(rows: list[tuple[str, str, str]]) -> str:
@@ -50,7 +50,7 @@ def _grid(rows: list[tuple[str, str, str]]) -> str:
 def format_output(ranked: DataFrame, fmt: str = "table", n: int | None = None) -> str:
     """A ranking (rank, qualified_name, weight) in order, as text."""
     if fmt not in FORMATS:
-        raise ValueError(f"Unknown output format '{fmt}'. Choose: {', '.join(FORMATS)}")
+        raise ValueError(f"no format is called '{fmt}'; there are: {', '.join(FORMATS)}")
     return render([(r.rank, r.qualified_name, r.weight) for r in top(ranked, n).toLocalIterator()], fmt)
 
 

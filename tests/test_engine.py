@@ -9,12 +9,17 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lodegraph import __main__ as cli, sinks
-from lodegraph.functions.sequences import block_length, lcs_length, overlap_bound, similarity as score
+from lodegraph.functions import sequences
+from lodegraph.functions.sequences import block_length, lcs_length, overlap_bound
 from lodegraph.operators import clusters, ordering, ranking, similarity
 from lodegraph.operators.components import connected_components
 from lodegraph.plans import corpus
 
 
+def score(a, b, method, threshold=None):
+    return sequences.similarity(a, b, similarity.METHODS[method], threshold)
+
+
 def items(spark, seqs):
     return spark.createDataFrame(list(enumerate(seqs)), "idx int, seq array<string>")
 
@@ -52,7 +57,7 @@ def test_scores():
     long = [str(i) for i in range(2001)]
     assert score(long, long[1:] + ["q"], "token") == pytest.approx(2000 / 2002)
     assert score(list("abcd"), list("abxy"), "diff", threshold=0.8) == 0.0
-    with pytest.raises(ValueError, match="Unknown similarity method"):
+    with pytest.raises(ValueError, match="is called 'bogus'"):
         similarity.check_method("bogus")
 
 
@@ -69,6 +74,21 @@ def test_pruned_join_equals_all_pairs(spark, method, threshold):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_own_measure(spark, monkeypatch):
+    """A measure of one's own takes part in the pruned join, in both orders that occur."""
+
+    class Prefix:
+        def shared(self, a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    monkeypatch.setattr(similarity, "METHODS", dict(similarity.METHODS))
+    similarity.register_method("prefix", Prefix())
+    assert similarity.available_methods() == ["diff", "token", "prefix"]
+    table = items(spark, [list("abcdefghij"), list("abcdefghix"), list("jbcdefghia"), list("abcdefghij")])
+    got = clusters.cluster(table, similarity.similarity_links(table, "prefix", 0.8))
+    assert {r.idx: r.cluster_id for r in got.collect()} == {0: 0, 1: 0, 2: 1, 3: 0}
+
+
 def test_threshold_edges(spark):
     table = items(spark, [["a"], ["b"], []])
     for threshold, n in ((0.0, 1), (-1.0, 1), (1.5, 3), (1.0, 3)):
@@ -106,6 +126,63 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_star(spark):
+    """A hub's edges are spread: the join that hands its smallest neighbour back is split by adaptive execution."""
+    from lodegraph.operators import components
+
+    n = 100_000
+    edges = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    settings_ = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings_}
+    for k, v in settings_.items():
+        spark.conf.set(k, v)
+    try:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
+        star = components._star(both.repartition(8), small=False)
+        star.write.format("noop").mode("overwrite").save()
+        counted = connected_components(edges)
+        assert counted.count() == n and counted.where("component <> 0").count() == 0
+        joined = components._star(both.repartition(8), small=False)
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_next_in_group(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["x", "y", None]) if k % 3 else "z", rng.randrange(1000)) for k in range(2_000)]
+    got = ordering.next_in_group(spark.createDataFrame(rows, "k int, g string, v int").repartition(6), "after", "g", "v", "k").collect()
+    want = {}
+    for g in ("x", "y", "z", None):
+        own = [r for r in rows if r[1] == g]
+        want |= {a[0]: b[2] if b else None for a, b in zip(own, [*own[1:], None], strict=True)}
+    assert len(got) == 2_000 and {r.k: r.after for r in got} == want
+    assert ordering.next_in_group(spark.createDataFrame([], "k int, g string, v int"), "after", "g", "v", "k").count() == 0
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodegraph.operators import checkpoints
+
+    def fake(master, named):
+        made = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: named)), made
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoints.ensure_dir(fake("spark://host:7077", None)[0])
+    for master, named in (("local[4]", None), ("local", None), ("yarn", "hdfs://x/y")):
+        session, made = fake(master, named)
+        checkpoints.ensure_dir(session)
+        assert len(made) == 1 and (named is None or made == [named])
+
+
 def test_cluster_edges(spark):
     named = spark.createDataFrame([(0, "A", 0), (1, "A2", 0), (2, "B", 1), (3, "D", 2), (4, "D", 3)], "idx int, qualified_name string, cluster_id int")
     uses = spark.createDataFrame([(0, "B"), (0, "B"), (0, "A2"), (1, "D"), (1, "missing")], "cluster_id int, target string")
@@ -129,6 +206,14 @@ def test_transition(spark, adjacency):
     assert {r.node: r.out_degree for r in ranking.out_degrees(nodes, edges).collect()} == {i: len(to) for i, to in adjacency.items()}
 
 
+def test_matrix_of_small_graphs_only(spark):
+    nodes = spark.range(ranking.EIGEN_NODES + 1).select(F.col("id").alias("node"))
+    edges = nodes.select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")).limit(5)
+    for make in (lambda: ranking.transition(nodes, edges), lambda: ranking.weights(nodes, edges, "eigen")):
+        with pytest.raises(ValueError, match="up to"):
+            make()
+
+
 def test_bad_rows(spark):
     with pytest.raises(ValueError, match="sum to 1"):
         ranking.check_rows(spark.createDataFrame([(0, 0, 0.5)], "src int, dst int, prob double"))
@@ -198,7 +283,7 @@ def test_formats(spark):
             bad()
 
 
-def test_corpus(spark, tmp_path, capsys):
+def test_corpus(spark, tmp_path, capsys, caplog):
     for name, text in {"a.py": "import b\nimport c\n", "a2.py": "import b\nimport c\n", "b.py": "import c\nx = 1\n", "c.py": "y = 2\nz = 3\n", "e1.py": "", "e2.py": ""}.items():
         (tmp_path / name).write_text(text)
     rows = corpus.rank_corpus(spark, str(tmp_path), "python").collect()
@@ -213,5 +298,11 @@ def test_corpus(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path), "-l", "java"], spark) == 1
     with pytest.raises(SystemExit):
         cli.main([str(tmp_path / "missing")], spark)
+    (tmp_path / "bad.py").write_text("def (:")
+    with caplog.at_level("INFO", logger="lodegraph"):
+        corpus.rank_corpus(spark, str(tmp_path), "python", verbose=True).collect()
+    said = [r.message for r in caplog.records]
+    assert [m[:3] for m in said] == [f"{k}/7" for k in range(1, 8)]
+    assert "read 6 of 7 python files, 1 left out" in said[0] and "15 pairs" in said[1] and "4 classes" in said[2] and "3 references" in said[3] and "sum 1.0000000000" in said[5] and "is c with" in said[6]
     with pytest.raises(Exception, match="did not converge"):
         corpus.rank_corpus(spark, str(tmp_path), "python", epsilon=1e-300, max_iter=2).collect()
