@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodegraph import sinks
 from lodegraph.functions import lines, names
 from lodegraph.operators import clusters, ranking, references, similarity
 from lodegraph.operators.checkpoints import cut
 from lodegraph.operators.components import connected_components
+from lodegraph.operators.ordering import next_in_group
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +57,7 @@ def line_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_table(spark, sf_dir).groupBy("doc_id", F.md5("line").alias("line_md5")).agg(F.count("*").alias("times")).where("times > 1")
 
 
+# Fixed value: the token pattern of the JavaScript rules, as SQL.
 _BT = "`(?:[^`\\\\]|\\\\.)*`|''(?:[^''\\\\]|\\\\.)*''|\"(?:[^\"\\\\]|\\\\.)*\"|//[^\\n]*|/\\*[\\s\\S]*?\\*/|[a-zA-Z_$][a-zA-Z0-9_$]*|[0-9]+(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?n?"
 _JS_SQL = "SELECT page_id, token, count(*) AS times FROM (SELECT page_id, unnest(list_filter(regexp_extract_all(s, '(?s)" + _BT + "|[^\\s\\p{L}\\p{M}\\p{N}\\p{Pc}''\"` ]'), lambda x: NOT starts_with(x, '//') AND NOT starts_with(x, '/*'))) AS token FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS s FROM pages)) GROUP BY ALL"
 
@@ -71,17 +73,6 @@ def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(lines.without_js_comments(F.col("html"))).alias("clean_md5"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS specifier, starts_with(specifier, '.') AS relative FROM pages")
-def specifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("specifier")).withColumn("relative", F.col("specifier").startswith("."))
-
-
-@query("SELECT doc_id, coalesce(array_to_string(list_filter(regexp_extract_all(text, '\\bfrom\\s+[''\"]([^''\"]+)[''\"]', 1), lambda x: starts_with(x, '.')), '|'), '') AS specifiers, len(regexp_extract_all(text, '\\bextends\\s+([\\w$][\\w$]*)', 1)) AS n_extends FROM documents")
-def js_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(lines.JS_SPECIFIERS[0]), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(found, lambda x: x.startswith(".")), "|").alias("specifiers"), F.size(F.regexp_extract_all("text", F.lit(lines.JS_EXTENDS), F.lit(1))).cast("long").alias("n_extends"))
-
-
 # ---- names ------------------------------------------------------------------
 
 _PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
@@ -121,9 +112,10 @@ def name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("simple_name", F.size("qualified_names").cast("long").alias("n"), F.md5(F.array_join("qualified_names", ",")).alias("names_md5"))
 
 
-@query(f"SELECT simple_name, min(qualified_name) AS qualified_name FROM (SELECT list_last(string_split(qualified_name, '.')) AS simple_name, qualified_name FROM ({_PART_NAMES})) GROUP BY 1 HAVING count(*) = 1")
+@query(f"SELECT simple_name, min(qualified_name) AS qualified_name FROM (SELECT list_last(string_split(qname, '.')) AS simple_name, qname AS qualified_name FROM (SELECT DISTINCT {_QNAME} AS qname FROM pages)) GROUP BY 1 HAVING count(*) = 1")
 def unambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.name_map(_part_names(spark, sf_dir)).where(F.size("qualified_names") == 1).select("simple_name", F.get("qualified_names", 0).alias("qualified_name"))
+    named = _qname(spark, sf_dir).select(F.col("qname").alias("qualified_name")).distinct()
+    return references.name_map(named).where(F.size("qualified_names") == 1).select("simple_name", F.get("qualified_names", 0).alias("qualified_name"))
 
 
 # Customers refer to nations by name and to regions as packages: REGION.NATION is a qualified name.
@@ -197,22 +189,20 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"), F.round("score", 8).alias("score"))
 
 
-# Customers and suppliers linked by the first order of each customer in each month: a sparse graph.
-_LINKS = "SELECT DISTINCT c AS a, 1000000 + s AS b FROM (SELECT o_custkey AS c, min(l_suppkey) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_linenumber = 1 GROUP BY o_custkey, o_orderkey)"
-_COMPONENTS = f"""
-WITH RECURSIVE e AS ({_LINKS}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(id, root) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT x.b, r.root FROM r JOIN both_ways x ON x.a = r.id WHERE r.root < x.b)
-SELECT id, min(root) AS component FROM r GROUP BY id"""
-
-
-def _sparse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_linenumber = 1").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return first.groupBy("o_custkey", "o_orderkey").agg(F.min("l_suppkey").alias("s")).select(F.col("o_custkey").alias("a"), (F.lit(1000000) + F.col("s")).alias("b")).distinct()
+# Customers and the suppliers of their orders. Labels settle long before the last step.
+_COMPONENTS = """
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+t AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+r(step, id, label) AS (
+  SELECT DISTINCT 0, a, a FROM t
+  UNION ALL SELECT step + 1, id, label FROM (SELECT r.step, t.a AS id, min(r.label) AS label FROM r JOIN t ON t.b = r.id WHERE r.step < 20 GROUP BY ALL))
+SELECT id, label AS component FROM r WHERE step = 20"""
 
 
 @query(_COMPONENTS)
 def components_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(_sparse_links(spark, sf_dir))
+    edges = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return connected_components(edges.select(F.col("o_custkey").alias("a"), (F.lit(1000000) + F.col("l_suppkey")).alias("b")))
 
 
 # Documents with equal texts, or equal but for upper case, are one class.
@@ -253,9 +243,14 @@ def cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_graph(spark, sf_dir)[1]
 
 
+def _next_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, after): the next document of the same language, without the texts."""
+    return next_in_group(table(spark, sf_dir, "documents").select("doc_id", "lang"), "after", "lang", "doc_id", "doc_id").select("doc_id", "after")
+
+
 def _doc_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found = cut(_doc_classes(spark, sf_dir))
-    uses = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).cast("string").alias("target")).where("target is not null")
+    uses = _next_document(spark, sf_dir).select(F.col("doc_id").alias("idx"), F.col("after").cast("string").alias("target")).where("target is not null")
     named = found.withColumn("qualified_name", F.col("idx").cast("string"))
     return found, clusters.cluster_edges(uses.join(found, "idx").select("cluster_id", "target"), named)
 
@@ -269,8 +264,8 @@ _GRAPH = f"n AS ({_NODES}), e AS ({_EDGES}), g AS (SELECT src, count(*) AS degre
 
 def _user_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    follows = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    edges = events.select(F.col("user_id").alias("src"), follows.alias("dst")).where("dst is not null and dst <> src").distinct()
+    follows = next_in_group(events, "dst", "event_type", "user_id", "ts", "event_id")
+    edges = follows.select(F.col("user_id").alias("src"), "dst").where("dst is not null and dst <> src").distinct()
     return events.select(F.col("user_id").alias("node")).distinct(), edges
 
 
@@ -330,10 +325,8 @@ def converged_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT node, round(weight, 8) AS weight FROM ({_weights_sql(60)})")
 def eigen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By eigenvector where the graph is small enough for it."""
-    nodes, edges = _user_graph(spark, sf_dir)
-    solver = "eigen" if nodes.count() <= ranking.EIGEN_NODES else "power"
-    return ranking.weights(nodes, edges, solver).withColumn("weight", F.round("weight", 8))
+    """By eigenvector; raises for graphs that are too large for it."""
+    return ranking.weights(*_user_graph(spark, sf_dir), "eigen").withColumn("weight", F.round("weight", 8))
 
 
 _RANKED = f"SELECT rank() OVER (ORDER BY weight DESC)::INT AS rank, node, weight FROM (SELECT node, round(weight, 7) AS weight FROM ({_weights_sql(60)}))"
@@ -377,10 +370,9 @@ def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven steps over documents: diff similarity, classes, contracted graph, weights, ranks."""
     from lodegraph.plans.corpus import rank_items
 
-    docs = table(spark, sf_dir, "documents")
-    after = F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).cast("string")
-    uses = F.when(F.col("after").isNull(), F.array().cast("array<string>")).otherwise(F.array("after"))
-    items = docs.withColumn("after", after).select(F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("qualified_name"), uses.alias("uses"), lines.split_lines(F.coalesce("text", F.lit(""))).alias("seq"))
+    after = F.col("after").cast("string")
+    uses = F.when(after.isNull(), F.array().cast("array<string>")).otherwise(F.array(after))
+    items = table(spark, sf_dir, "documents").join(_next_document(spark, sf_dir), "doc_id").select(F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("qualified_name"), uses.alias("uses"), lines.split_lines(F.coalesce("text", F.lit(""))).alias("seq"))
     return rank_items(items).select("rank", "qualified_name", F.round("weight", 10).alias("weight"), "cluster_id")
 
 

@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lodegraph import catalog
+from lodegraph import catalog, source_catalog  # noqa: F401
 from lodegraph.functions.sequences import similarity
+from lodegraph.operators.similarity import METHODS
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
@@ -58,7 +59,7 @@ def test_pairs_against_all_pairs(spark, name, method, threshold):
     want = set()
     for a, i in first.items():
         for b, j in first.items():
-            if a != b and i < last[b] and similarity(a, b, method, threshold) >= threshold:
+            if a != b and i < last[b] and similarity(a, b, METHODS[method], threshold) >= threshold:
                 want.add((min(i, j), max(i, j)))
     assert {(r.a, r.b) for r in catalog.QUERIES[name](spark, SF_DIR).collect()} == want
 
