@@ -175,7 +175,37 @@ def jaccard_bound_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(F.col("overlap") >= LOOSE * (F.col("x") + F.col("y") - F.col("overlap")) - 1e-9).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), "overlap")
 
 
-@query()
+# The longest block of a segment, the first of equal ones, leaves the segments before and after it.
+def block_sql() -> str:
+    """scored(i, j, score): matching blocks of the lists x and y of p(i, j, x, y), for a recursive WITH."""
+    return """c AS (SELECT i, j, a, b FROM (SELECT i, j, x, y, unnest(range(1, len(x) + 1)) AS a FROM p), unnest(range(1, len(y) + 1)) t(b) WHERE x[a] = y[b]),
+m AS (SELECT i, j, a, b, row_number() OVER (PARTITION BY i, j, a - b, run ORDER BY a DESC) AS len FROM (SELECT *, a - row_number() OVER (PARTITION BY i, j, a - b ORDER BY a) AS run FROM c)),
+s(i, j, alo, ahi, blo, bhi, size) AS (
+  SELECT i, j, 1, len(x) + 1, 1, len(y) + 1, 0 FROM p
+  UNION ALL
+  SELECT i, j, CASE WHEN part = 1 THEN alo WHEN part = 2 THEN a + size ELSE 0 END, CASE WHEN part = 1 THEN a WHEN part = 2 THEN ahi ELSE 0 END, CASE WHEN part = 1 THEN blo WHEN part = 2 THEN b + size ELSE 0 END, CASE WHEN part = 1 THEN b WHEN part = 2 THEN bhi ELSE 0 END, CASE WHEN part = 0 THEN size ELSE 0 END
+  FROM (SELECT s.i, s.j, alo, ahi, blo, bhi, a, b, least(m.len, ahi - a, bhi - b) AS size, row_number() OVER (PARTITION BY s.i, s.j, alo, blo, ahi, bhi ORDER BY least(m.len, ahi - a, bhi - b) DESC, a, b) AS best
+        FROM s JOIN m ON m.i = s.i AND m.j = s.j AND a >= alo AND a < ahi AND b >= blo AND b < bhi WHERE s.size = 0) t, unnest([0, 1, 2]) v(part)
+  WHERE best = 1),
+scored AS (SELECT p.i, p.j, coalesce(sum(size), 0) / (len(any_value(x)) + len(any_value(y)) - coalesce(sum(size), 0)) AS score FROM p JOIN s ON s.i = p.i AND s.j = p.j GROUP BY p.i, p.j)"""
+
+
+def _diff_pairs_sql(threshold: float) -> str:
+    """near(a, b, score): different texts whose lines align so well, in an order that occurs; by their first documents."""
+    return f"""dl AS (SELECT doc_id, k, CASE WHEN k < n THEN piece || chr(10) ELSE piece END AS line FROM ({_LINES}) WHERE k < n OR piece <> ''),
+d AS (SELECT md5(text) AS key, min(doc_id) AS first, max(doc_id) AS last FROM documents WHERE text <> '' GROUP BY 1),
+l AS (SELECT doc_id, line, count(*) AS n FROM dl WHERE doc_id IN (SELECT first FROM d) GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS size FROM l GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS n FROM l a JOIN l b ON a.line = b.line AND a.doc_id <> b.doc_id GROUP BY ALL),
+q AS (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b JOIN d e ON e.first = a JOIN d f ON f.first = b
+  WHERE n >= {threshold} * (x.size + y.size - n) - 1e-9 AND greatest(x.size, y.size) <= 10 * least(x.size, y.size) AND e.first < f.last),
+w AS (SELECT doc_id, list(line ORDER BY k) AS seq FROM dl WHERE doc_id IN (SELECT a FROM q UNION SELECT b FROM q) GROUP BY 1),
+p AS (SELECT a AS i, b AS j, x.seq AS x, y.seq AS y FROM q JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b),
+{block_sql()},
+near AS (SELECT least(i, j) AS a, greatest(i, j) AS b, max(score) AS score FROM scored WHERE score >= {threshold} GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_diff_pairs_sql(LOOSE)} SELECT a, b, round(score, 8) AS score FROM near")
 def diff_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similarity.similar_sequences(similarity.distinct_sequences(_doc_items(spark, sf_dir)), "diff", LOOSE)
     return found.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"), F.round("score", 8).alias("score"))
@@ -225,7 +255,15 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.members(_doc_classes(spark, sf_dir)).groupBy(F.size("members").cast("long").alias("size")).agg(F.count("*").alias("clusters"))
 
 
-@query()
+# Links of equal and similar texts; labels settle long before the last step.
+_DOC_CLUSTERS = f"""WITH RECURSIVE {_diff_pairs_sql(THRESHOLD)},
+links AS MATERIALIZED (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT doc_id, first FROM documents JOIN d ON md5(text) = key UNION SELECT first, doc_id FROM documents JOIN d ON md5(text) = key
+  UNION SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, min(doc_id) OVER () FROM documents WHERE coalesce(text, '') = '' UNION SELECT min(doc_id) OVER (), doc_id FROM documents WHERE coalesce(text, '') = ''),
+r(step, id, label) AS (SELECT DISTINCT 0, a, a FROM links UNION ALL SELECT step + 1, id, label FROM (SELECT r.step, t.a AS id, min(r.label) AS label FROM r JOIN links t ON t.b = r.id WHERE r.step < 20 GROUP BY ALL))
+SELECT id AS idx, (dense_rank() OVER (ORDER BY label) - 1)::INT AS cluster_id FROM r WHERE step = 20"""
+
+
+@query(_DOC_CLUSTERS)
 def document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents by the diff measure."""
     items = _doc_items(spark, sf_dir)
@@ -365,7 +403,13 @@ def declustered_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(spread).select("rank", "idx", "cluster_id", "weight")
 
 
-@query()
+_FULL_GRAPH = f"""c AS MATERIALIZED ({_DOC_CLUSTERS}), u AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS target FROM documents),
+e AS MATERIALIZED (SELECT DISTINCT x.cluster_id AS src, y.cluster_id AS dst FROM u JOIN c x ON x.idx = u.doc_id JOIN c y ON y.idx = u.target WHERE x.cluster_id <> y.cluster_id),
+n AS (SELECT DISTINCT cluster_id AS node FROM c), g AS (SELECT src, count(*) AS degree FROM e GROUP BY 1), k AS (SELECT count(*)::DOUBLE AS n FROM n)"""
+
+
+# Weights that differ by rounding only share a rank in SQL; in the engine they are equal.
+@query(f"SELECT rank() OVER (ORDER BY round(weight, 12) DESC)::INT AS rank, idx::VARCHAR AS qualified_name, round(weight, 10) AS weight, cluster_id FROM ({_weights_sql(160, _FULL_GRAPH)}) JOIN ({_DOC_CLUSTERS}) ON cluster_id = node")
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven steps over documents: diff similarity, classes, contracted graph, weights, ranks."""
     from lodegraph.plans.corpus import rank_items
@@ -386,6 +430,6 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_users(spark, sf_dir).select("rank", F.col("node").cast("string").alias("component"), sinks.table_weight(F.col("weight")).alias("weight"))
 
 
-@query()
+@query(f"""SELECT '{{"rank":' || rank || ',"qualified_name":"' || node || '","weight":' || weight::VARCHAR || '}}' AS row FROM ({_RANKED})""")
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_users(spark, sf_dir).select(sinks.json_row(F.col("rank"), F.col("node").cast("string"), F.col("weight")).alias("row"))

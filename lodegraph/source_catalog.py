@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodegraph.catalog import _weights_sql, query, table
+from lodegraph.catalog import _weights_sql, block_sql, query, table
 from lodegraph.functions import lines
 from lodegraph.operators import references, similarity
 from lodegraph.plans.corpus import rank_items
@@ -237,6 +237,40 @@ def js_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _used(references.components(files, "javascript"))
 
 
+# ---- tokens -------------------------------------------------------------------
+
+
+def _fill_sql(template: str) -> str:
+    """_fill() as SQL."""
+    out = []
+    for k, part in enumerate(template.split("%")):
+        name, _, step = part.partition("+")
+        quoted = part.replace("'", "''")
+        out.append(f"'{quoted}'" if not k % 2 else f"(({name} + {step}) % {NATIONS if name == 'n' else REGIONS})::VARCHAR" if step else f"{name}::VARCHAR")
+    return " || ".join(out)
+
+
+def _token_sql(template: str, pattern: str, comment: str) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""WITH {_ROWS} SELECT 10 + n AS corpus_index, token, count(*) AS times
+FROM (SELECT n, unnest(list_filter(regexp_extract_all({_fill_sql(template)}, '{pattern}'), lambda x: {comment})) AS token FROM n) GROUP BY ALL"""
+
+
+def _token_counts(files: DataFrame, language: str) -> DataFrame:
+    found = files.where("corpus_index between 10 and 34").select(F.col("corpus_index").cast("long").alias("corpus_index"), F.explode(references.token_column(language, F.col("text"))).alias("token"))
+    return found.groupBy("corpus_index", "token").agg(F.count("*").alias("times"))
+
+
+@query(_token_sql(_JAVA_NATION, r'''"(?:[^"\\]|\\.)*"|//[^\n]*|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_"@]''', "NOT starts_with(x, '//')"))
+def java_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_counts(_java_files(spark, sf_dir), "java")
+
+
+@query(_token_sql(_PYTHON_NATION, r'''"""[\s\S]*?"""|"(?:[^"\\]|\\.)*"|#[^\n]*|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|->|[^\sA-Za-z0-9_"#]''', "NOT starts_with(x, '#')"))
+def python_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_counts(_python_files(spark, sf_dir), "python")
+
+
 # ---- from sources to weights ----------------------------------------------------
 
 _SOURCE_GRAPH = f"""d AS MATERIALIZED ({_python_sql(broken=False)}), n AS (SELECT DISTINCT corpus_index AS node FROM d),
@@ -264,18 +298,7 @@ l(i, j, x, y, k, best) AS (
   SELECT i, j, x, y, k + 1, list_transform(range(1, len(y) + 2), lambda q: list_max(list_transform(range(1, q + 1), lambda z: CASE WHEN z > 1 AND y[z - 1] = x[k + 1] THEN greatest(best[z], best[z - 1] + 1) ELSE best[z] END)))
   FROM l WHERE k < len(x))
 SELECT i, j, round(best[len(y) + 1] / (len(x) + len(y) - best[len(y) + 1]), 8) AS score FROM l WHERE k = len(x)"""
-# The longest block of a segment, the first of equal ones, leaves the segments before and after it.
-_BLOCKS = f"""WITH RECURSIVE {_NAMES},
-c AS (SELECT i, j, a, b FROM (SELECT i, j, x, y, unnest(range(1, len(x) + 1)) AS a FROM p), unnest(range(1, len(y) + 1)) t(b) WHERE x[a] = y[b]),
-m AS (SELECT i, j, a, b, row_number() OVER (PARTITION BY i, j, a - b, run ORDER BY a DESC) AS len FROM (SELECT *, a - row_number() OVER (PARTITION BY i, j, a - b ORDER BY a) AS run FROM c)),
-s(i, j, alo, ahi, blo, bhi, size) AS (
-  SELECT i, j, 1, len(x) + 1, 1, len(y) + 1, 0 FROM p
-  UNION ALL
-  SELECT i, j, CASE WHEN part = 1 THEN alo WHEN part = 2 THEN a + size ELSE 0 END, CASE WHEN part = 1 THEN a WHEN part = 2 THEN ahi ELSE 0 END, CASE WHEN part = 1 THEN blo WHEN part = 2 THEN b + size ELSE 0 END, CASE WHEN part = 1 THEN b WHEN part = 2 THEN bhi ELSE 0 END, CASE WHEN part = 0 THEN size ELSE 0 END
-  FROM (SELECT s.i, s.j, alo, ahi, blo, bhi, a, b, least(m.len, ahi - a, bhi - b) AS size, row_number() OVER (PARTITION BY s.i, s.j, alo, blo, ahi, bhi ORDER BY least(m.len, ahi - a, bhi - b) DESC, a, b) AS best
-        FROM s JOIN m ON m.i = s.i AND m.j = s.j AND a >= alo AND a < ahi AND b >= blo AND b < bhi WHERE s.size = 0) t, unnest([0, 1, 2]) v(part)
-  WHERE best = 1)
-SELECT p.i, p.j, round(coalesce(sum(size), 0) / (len(any_value(x)) + len(any_value(y)) - coalesce(sum(size), 0)), 8) AS score FROM p JOIN s ON s.i = p.i AND s.j = p.j GROUP BY p.i, p.j"""
+_BLOCKS = f"WITH RECURSIVE {_NAMES}, {block_sql()} SELECT i, j, round(score, 8) AS score FROM scored"
 
 
 def _letters(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
