@@ -255,8 +255,11 @@ def _answer(origins: list[int], bodies: list[bytes]) -> Iterable[tuple[int, int,
     order, first = X.by_key(keys)
     which = np.empty(len(keys), np.int64)
     which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-    one = order[first]
     begin = np.cumsum(sizes) - sizes
+    wrong = np.flatnonzero(~T.same_spans(texts, begin, begin + sizes, order[first][which]))
+    which[wrong] = len(first) + np.arange(len(wrong))  # keys may collide: such blocks stand by themselves
+    order, first = X.by_key(which)
+    one = order[first]
     least = _smallest(_gather(texts, begin[one], sizes[one]), sizes[one], np.minimum.reduceat(low[order], first))
     count = sizes[one] - (LENGTH - 1)
     at, cut = 0, np.cumsum(count) - count
@@ -268,7 +271,7 @@ def _answer(origins: list[int], bodies: list[bytes]) -> Iterable[tuple[int, int,
         values = least[np.repeat(cut[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         smaller = np.minimum.reduceat(values, np.cumsum(n) - n) < mine
         if smaller.any():
-            yield 0, origin, X.pack(s[0][smaller], n[smaller].astype(np.uint8), values[np.repeat(smaller, n)], ordered=True)
+            yield 0, origin, X.pack(n[smaller].astype(np.uint8), values[np.repeat(smaller, n)], s[5][smaller], s[6][np.repeat(smaller, s[5])])
 
 
 def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -278,6 +281,8 @@ def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str =
     kept_sha256 and, if asked for, the spans' starts and ends and the remaining
     bytes, also as a text without characters that were cut; `carry` names columns to hand on as carry_0, carry_1 and so on. Null counts as empty. Rows with one id are one document; a null id is
     the last of all. Strings never cross documents and are judged on the input.
+    Columns not named, whatever they are called, are not read. Texts are read whole;
+    one has to fit a worker's memory some hundred times over.
     """
     plan = X.Plan(docs, SHARD_BYTES, id_col, text_col, carry)
     n_anchor, n_block = plan.buckets(16 << 20), plan.buckets(2 << 20)
@@ -296,72 +301,72 @@ def drop_repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str =
         order, new = X.by_key(key)
         if not len(new):
             return X.messages([])
-        one = order[new]
+        which = np.empty(len(key), np.int64)
+        which[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+        wrong = np.flatnonzero(~T.same_spans(s.buf, first, first + count + (LENGTH - 1), order[new][which]))
+        which[wrong] = len(new) + np.arange(len(wrong))  # keys may collide: such blocks stand by themselves
+        order, new = X.by_key(which)
+        one, times = order[new], np.diff(np.append(new, len(order)))
         low, high = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
         bucket, _ = X.deal(deal[one], n_block)
         by = np.lexsort((key[one], bucket))
-        one, low, high, bucket = one[by], low[by], high[by], bucket[by]
+        one, low, high, bucket, times = one[by], low[by], high[by], bucket[by], times[by]
+        # Where each block stands in this shard: the answer brings it back, so that texts needn't be cut into blocks again.
+        upto = np.append(0, np.cumsum(times))
+        places = first[order][np.repeat(new[by] - upto[:-1], times) + np.arange(len(order))].astype(np.uint32)
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         return X.messages(
-            (int(bucket[p]), shard, X.pack(key[one[p:q]], (count[one[p:q]] - 1).astype(np.uint8), low[p:q], high[p:q], _gather(s.buf, first[one[p:q]], count[one[p:q]] + (LENGTH - 1)), ordered=True))
+            (
+                int(bucket[p]), shard,
+                X.pack(
+                    key[one[p:q]], (count[one[p:q]] - 1).astype(np.uint8), low[p:q], high[p:q], _gather(s.buf, first[one[p:q]], count[one[p:q]] + (LENGTH - 1)),
+                    times[p:q].astype(np.uint32), places[upto[p] : upto[q]], ordered=True,
+                ),
+            )
             for p, q in zip(cuts, np.append(cuts[1:], len(one)), strict=True)
-        )
+        )
 
     def apply(shard: int, t: pa.Table, replies: list[bytes]) -> pa.Table:
-        s = _Shard(t)
-        n = len(s.buf)
-        gone = np.zeros(n, bool)
-        parts = [X.unpack(b) for b in replies]
-        hot = np.sort(np.concatenate([p[0] for p in parts if len(p) == 2] or [np.zeros(0, np.uint64)]))
-        parts = [p for p in parts if len(p) == 3]
-        if parts and len(s.first):
-            keys, count, values = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            begin = np.cumsum(count.astype(np.int64)) - count
-            order = np.argsort(keys, kind="stable")
-            warm = np.flatnonzero(X.lookup(hot, X.trim(s.anchor, bits)) >= 0)
-            marks = []
-            for first, size, doc, key in ((s.first, s.count, s.doc, s.key), s.single(warm)[:4]):
-                found = X.lookup(keys[order], key)
-                use = np.flatnonzero(found >= 0)
-                entry = order[found[use]]
-                use, entry = use[count[entry] == size[use]], entry[count[entry] == size[use]]
-                k = size[use]
-                step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                marks.append((np.repeat(first[use], k) + step)[values[np.repeat(begin[entry], k) + step] < np.repeat(doc[use], k)])
-            gone = T.covered(n, np.unique(np.concatenate(marks)), LENGTH)
+        buf, offsets = T.buffers(X.text_of(t))
+        gone = np.zeros(len(buf), bool)
+        marks = []
+        for body in replies:
+            size, values, times, places = X.unpack(body)
+            size, times, places = size.astype(np.int64), times.astype(np.int64), places.astype(np.int64)
+            block = np.repeat(np.arange(len(size)), times)
+            doc = ids_[np.searchsorted(offsets, places, "right") - 1] if len(ids_ := X.ids_of(t)) else places
+            k = size[block]
+            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            value = values[np.repeat((np.cumsum(size) - size)[block], k) + step]
+            marks.append((np.repeat(places, k) + step)[value < np.repeat(doc, k)])
+        if marks:
+            gone = T.covered(len(buf), np.unique(np.concatenate(marks)), LENGTH)
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
-        begins[s.offsets[:-1][np.diff(s.offsets) > 0]] = gone[s.offsets[:-1][np.diff(s.offsets) > 0]]
-        kept = s.buf[~gone].tobytes()
-        cut = np.concatenate([[0], np.cumsum(~gone)])[s.offsets]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = gone[offsets[:-1][np.diff(offsets) > 0]]
+        kept = buf[~gone].tobytes()
+        cut = np.concatenate([[0], np.cumsum(~gone)])[offsets]
         rest = [kept[p:q] for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         columns = {
-            "doc_id": t.column("id"), "n_bytes": pa.array(np.diff(s.offsets), pa.int64()), "n_removed": pa.array(T.sums(gone, s.offsets), pa.int64()),
-            "n_spans": pa.array(T.sums(begins, s.offsets), pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string()),
+            "doc_id": t.column("id"), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(T.sums(gone, offsets), pa.int64()),
+            "n_spans": pa.array(T.sums(begins, offsets), pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string()),
         }
         if with_spans:
             stops = gone.copy()
             stops[:-1] &= ~gone[1:]
-            final = s.offsets[1:][np.diff(s.offsets) > 0] - 1
+            final = offsets[1:][np.diff(offsets) > 0] - 1
             stops[final] = gone[final]
             for name, where in (("span_starts", np.flatnonzero(begins)), ("span_ends", np.flatnonzero(stops) + 1)):
-                own = np.searchsorted(np.flatnonzero(begins), s.offsets)
-                base = np.repeat(s.offsets[:-1], np.diff(own))
+                own = np.searchsorted(np.flatnonzero(begins), offsets)
+                base = np.repeat(offsets[:-1], np.diff(own))
                 columns[name] = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(where - base, pa.int32()))
             columns["kept"] = pa.array(rest, pa.binary())
             columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string())
         columns |= {f"carry_{k}": t.column(f"carry_{k}") for k in range(len(carry))}
         return pa.table(columns)
 
-    def census(origins: list[int], bodies: list[bytes]) -> Iterable[tuple[int, int, bytes]]:
-        for _, origin, body in X.census(origins, bodies):
-            yield 0, origin, body
-            codes, held = X.unpack(body)
-            if (held > hot_documents).any():
-                yield 1, origin, X.pack(codes[held > hot_documents], held[held > hot_documents], ordered=True)
-
-    shared = X.answer(plan.send(anchors), census)
-    windows = X.answer(plan.with_replies(shared.where("bucket = 0"), blocks, X.MESSAGE), _answer)
+    shared = X.answer(plan.send(anchors), X.census)
+    windows = X.answer(plan.with_replies(shared, blocks, X.MESSAGE), _answer)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_starts array<int>, span_ends array<int>, kept binary, kept_text string" * with_spans
     schema += "".join(f", carry_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
-    return plan.with_replies(windows.union(shared.where("bucket = 1")), apply, schema)
+    return plan.with_replies(windows, apply, schema)
