@@ -100,6 +100,7 @@ class Items:
         self.lengths, rank = np.unique(self.length, return_inverse=True)
         self.by_length = [np.unique(self.codes[rank[of] == k]) for k in range(len(self.lengths))]
         width = 64 // s.blocks
+        self.kind = np.uint32 if width + len(self.lengths).bit_length() <= 32 else np.uint64
         near = [0]
         for k in range(1, s.radius // s.blocks + 1):
             near += [sum(1 << b for b in bits) for bits in combinations(range(width), k)]
@@ -107,8 +108,8 @@ class Items:
         self.index = []
         for b in range(s.blocks):
             value = (self.prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-            reach = ((value[:, None] ^ near_[None, :]) | (rank.astype(np.uint64) << np.uint64(width))[:, None]).reshape(-1)
-            item = np.repeat(np.arange(len(value)), len(near_))
+            reach = ((value[:, None] ^ near_[None, :]) | (rank.astype(np.uint64) << np.uint64(width))[:, None]).reshape(-1).astype(self.kind)
+            item = np.repeat(np.arange(len(value), dtype=np.int32), len(near_))
             order = np.argsort(reach, kind="stable")
             self.index.append((reach[order], item[order]))
 
@@ -122,7 +123,7 @@ class Items:
         rank = np.searchsorted(self.lengths, lengths).astype(np.uint64) << np.uint64(width)
         found = []
         for b, (reach, item) in enumerate(self.index):
-            value = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)) | rank
+            value = (((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)) | rank).astype(self.kind)
             low, high = np.searchsorted(reach, value), np.searchsorted(reach, value, "right")
             n = high - low
             window = np.repeat(np.arange(len(prints)), n)
@@ -226,7 +227,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
     nothing, nor do items with a null id; rows of equal items each match; a null
     doc_id is carried along. Items are read in blocks of bounded size, all rows
     against each; a text with fewer words than an item is one window of its own
-    length, which n_words gives.
+    length, which n_words gives. Other columns, whatever their names, are not read.
+    Texts are read whole; one has to fit a worker's memory some fifty times over.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, n_words long, hamming int, similarity double"
@@ -249,7 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, in which no item is found."""
+    """The rows of `docs`, all columns whatever their names, in which no item is found; null and empty texts stay, repeated rows go or stay together."""
     for block in _blocks(benchmark, settings or Settings()):
 
         def run(it: Iterator[pa.RecordBatch], block: tuple = block) -> Iterator[pa.RecordBatch]:
