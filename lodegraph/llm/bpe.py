@@ -325,7 +325,9 @@ def byte_bpe(docs: DataFrame, ranks_path: str, with_ids: bool = False, id_col: s
 
     One row per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked
     for, ids and token_ends (byte offsets). A null or empty text has no token;
-    repeated rows give equal rows; a null id is carried along.
+    repeated rows give equal rows; a null id is carried along; other columns,
+    whatever their names, are not read. Texts are encoded whole, a very long slice by
+    itself; a text has to fit a worker's memory some fifty times over.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,7 +71,8 @@ def drop_repeated_words(docs: DataFrame, with_text: bool = False, id_col: str =
     One row per row: doc_id, n_words, n_removed, kept_sha256 and, if asked for,
     the kept words joined by one space. Null or empty texts have no words. Rows
     with one id are one document; a null id is the last of all. Windows are
-    judged on the input.
+    judged on the input. Other columns, whatever their names, are not read. Texts
+    are read whole; one has to fit a worker's memory some fifty times over.
     """
     plan = X.Plan(docs, SHARD_BYTES, id_col, text_col)
     bits, n_anchor, n_window = plan.bits, plan.buckets(16 << 20), plan.buckets(8 << 20)

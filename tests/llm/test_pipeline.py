@@ -9,6 +9,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodegraph.llm import bpe, quality
@@ -107,3 +108,32 @@ def test_stages_keep_the_columns(spark, folder):
             assert out.dtypes == docs.dtypes
             out.count()
     assert all(r.n_chars == len(r.text) or r.n_chars in (None, 3) for r in corpus_pipeline.without_repeats(spark, docs, at).collect())
+
+
+def test_odd_columns_and_empty_tables(spark, folder, tmp_path):
+    """Names that operators use themselves are handed on; no documents and no items are no error."""
+    at, rows, _ = folder
+    names = ("later_id", "copy", "carry_0", "kept_text", "shard", "id", "word", "group_copy")
+    wide = spark.read.parquet(f"{at}/documents.parquet")
+    for k, name in enumerate(names):
+        wide = wide.withColumn(name, F.lit(None).cast("string") if k % 2 else F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")))
+    wide.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    spark.read.parquet(f"{at}/benchmark.parquet").write.parquet(f"{tmp_path}/wide/benchmark.parquet")
+    plain_ = brute._order([tuple(r) for r in corpus_pipeline.run(spark, at).select("doc_id", "ids_sha256").collect()])
+    assert brute._order([tuple(r) for r in corpus_pipeline.run(spark, f"{tmp_path}/wide").select("doc_id", "ids_sha256").collect()]) == plain_
+    docs = spark.read.parquet(f"{tmp_path}/wide/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/wide").cache()
+        assert docs.columns == wide.columns
+        assert all(r.later_id is None or r.later_id == f"later_id {r.doc_id}" for r in docs.collect())
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_results_go_once_they_are_read(spark, folder):
+    import glob
+
+    corpus_pipeline.run(spark, folder[0]).count()
+    kept = [p.rsplit("/", 1)[1] for p in glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/pipeline-*/*")]
+    assert kept and set(kept) == {"4-byte_bpe"}
