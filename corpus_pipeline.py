@@ -1,4 +1,10 @@
-"""From raw documents to token ids: five stages, each on what the one before kept."""
+"""From raw documents to token ids: five stages, each on what the one before kept.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows,
+empty tables and extra columns of any names, and hands on all columns but for the
+last one. Texts are read whole; one has to fit a worker's memory some fifty times
+over.
+"""
 
 from __future__ import annotations
 
@@ -16,12 +22,16 @@ NEAR = jaccard.Measure(words=5, percent=80)
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts go, rows are judged one by one, a share equal to its ceiling passes."""
     return quality.passing(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates."""
+    """The smallest id of each group of near duplicates.
+
+    Of rows with one id and one text one stays, of several texts of one id each;
+    rows with a null id all stay.
+    """
     return jaccard.first_of_groups(docs, NEAR)
 
 
@@ -29,7 +39,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without the byte strings that an earlier document holds.
 
     Bytes of a character cut in two go too; documents of which no word is left
-    go; n_chars follows the text, other columns stay as they are.
+    go; n_chars follows the text, other columns stay as they are. Rows of one id
+    are one document, those of a null id the last one.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = suffix.drop_repeated_bytes(docs, with_spans=True, carry=tuple(rest))
@@ -38,12 +49,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; null texts and items match nothing, equal rows go or stay together."""
     return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and digests of them and of what they decode to."""
+    """Ids of every text, and digests of them and of what they decode to; a null or empty text has none, equal rows give equal rows."""
     return bpe.byte_bpe(docs, ranks_path(), with_ids=True).drop("token_ends")
 
 
@@ -60,11 +71,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again.
+
+    A result goes once the next one is written; the last one stays for the caller to read.
+    """
     ensure_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if done is not None:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(done)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        done = path
     return docs
