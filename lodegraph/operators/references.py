@@ -44,6 +44,21 @@ ENGINES: dict[tuple[str, str], Engine] = {
 DEFAULTS = {"java": "javalang", "python": "ast", "javascript": "regex"}
 
 
+#: Tokenizers by language; None where a column expression does it.
+TOKENIZERS: dict[str, Callable[[str], list[str]] | None] = {"java": lexers.java_tokens, "python": lexers.python_tokens, "javascript": None}
+
+
+def register_engine(language: str, name: str, engine: Engine, default: bool = False) -> None:
+    """Make an engine of one's own known, perhaps of a new language, whose first one is its default."""
+    ENGINES[language.lower(), name.lower()] = engine
+    if default or language.lower() not in DEFAULTS:
+        DEFAULTS[language.lower()] = name.lower()
+
+
+def register_tokenizer(language: str, f: Callable[[str], list[str]]) -> None:
+    TOKENIZERS[language.lower()] = f
+
+
 def languages() -> list[str]:
     return list(DEFAULTS)
 
@@ -65,7 +80,7 @@ def get_engine(language: str, engine: str | None = None) -> tuple[str, str]:
 
 def tokens(language: str) -> Callable[[str], list[str]] | None:
     """Tokenizer of a language; None where a column expression does it. Unknown languages are read as Java."""
-    return {"python": lexers.python_tokens, "javascript": None}.get(language.lower(), lexers.java_tokens)
+    return TOKENIZERS.get(language.lower(), lexers.java_tokens)
 
 
 def token_column(language: str, text: Column) -> Column:

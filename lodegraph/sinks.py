@@ -54,6 +54,11 @@ def format_output(ranked: DataFrame, fmt: str = "table", n: int | None = None) -
     return render([(r.rank, r.qualified_name, r.weight) for r in top(ranked, n).toLocalIterator()], fmt)
 
 
+def component_text(name: Column, uses: Column, cluster: Column) -> Column:
+    """One line on a component: its name, how many others it refers to, its class if it has one."""
+    return F.concat(name, F.format_string(" refers to %d", F.size(uses)), F.when(cluster.isNotNull(), F.format_string(", class %d", cluster)).otherwise(""))
+
+
 def csv_weight(weight: Column) -> Column:
     return F.format_string("%.10f", weight)
 

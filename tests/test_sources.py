@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from lodegraph import sinks
 from lodegraph.functions import java_refs, lexers, lines, names, python_refs
 from lodegraph.operators import references
 from lodegraph.sources.trees import RULES, list_files, source_files
@@ -158,6 +159,25 @@ def test_python_tokens():
     assert lexers.python_tokens("if x:\n    y\n  z\n")[:2] == ["if", "x"]
 
 
+def test_own_engine_and_tokenizer(spark, monkeypatch):
+    """A language of one's own, from files to components and tokens."""
+    for name in ("ENGINES", "DEFAULTS", "TOKENIZERS"):
+        monkeypatch.setattr(references, name, dict(getattr(references, name)))
+
+    def read(text):
+        return {"status": "ok", "package": None, "simple_name": None, "refs": text.split(), "imports": []}
+
+    references.register_engine("Words", "split", references.Engine(lambda: F.regexp_replace("rel_path", "\\.w$", ""), read))
+    references.register_tokenizer("words", str.split)
+    assert references.get_engine("words") == ("words", "split") and "words" in references.languages()
+    files = spark.createDataFrame([(0, "a.w", "/a.w", "b c", None), (1, "b.w", "/b.w", "b", None)], "corpus_index int, rel_path string, path string, text string, error string")
+    found = references.components(files, "words")
+    assert {r.qualified_name: r.uses for r in found.collect()} == {"a": ["b"], "b": []}
+    assert [r[0] for r in found.orderBy("corpus_index").select(references.token_column("words", F.col("text"))).collect()] == [["b", "c"], ["b"]]
+    said = found.orderBy("corpus_index").select(sinks.component_text(F.col("qualified_name"), F.col("uses"), F.when(F.col("corpus_index") == 0, 4))).collect()
+    assert [r[0] for r in said] == ["a refers to 1, class 4", "b refers to 0"]
+
+
 def test_engines():
     assert references.get_engine("JAVA") == ("java", "javalang")
     assert references.list_engines() == {"java": ["javalang", "treesitter"], "python": ["ast", "treesitter"], "javascript": ["regex"]}
