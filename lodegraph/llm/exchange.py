@@ -4,6 +4,9 @@ Documents are dealt to shards of a few MB by a hash of id and text. A shard send
 what it knows about its items as one row per bucket, a bucket answers with one
 row per shard. All rows are compressed columns of numbers, so the shuffle moves
 few, dense rows; a hot item counts once a shard however often it occurs there.
+As both shards and buckets grow in number with the input, a row holds fewer items
+the larger it is: from STEADY_BYTES on both also grow in size, by its square root
+and up to MOST_TIMES, so that rows stay as dense as memory allows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 NULL_ID = (1 << 63) - 1
 _SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 MESSAGE = "bucket int, origin int, body binary"
+STEADY_BYTES, MOST_TIMES = 64 << 30, 4.0
+
+
+def times_larger(size: int) -> float:
+    """How much larger shards and buckets are for an input of `size` bytes than for a small one."""
+    return min(MOST_TIMES, max(1.0, (size / STEADY_BYTES) ** 0.5))
 
 
 def pack(*columns: np.ndarray | bytes, ordered: bool = False) -> bytes:
@@ -75,13 +84,13 @@ class Plan:
         got = self.rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
         self.bytes, self.count = int(got.b or 0), int(got.n)
         self.bits = min(64, self.bytes.bit_length() + 10)
-        self.shards = max(1, -(-self.bytes // shard_bytes))
+        self.shards = max(1, -(-self.bytes // int(shard_bytes * times_larger(self.bytes))))
         # By id and text: rows without an id, or with one and the same, don't all meet in one shard.
         shard: Column = F.pmod(F.xxhash64("id", "text"), F.lit(self.shards)).cast("int")
         self.dealt = self.rows.select(shard.alias("shard"), "*")
 
     def buckets(self, per: int) -> int:
-        return max(1, -(-self.bytes // per))
+        return max(1, -(-self.bytes // int(per * times_larger(self.bytes))))
 
     def send(self, f: Callable[[int, pa.Table], pa.Table], schema: str = MESSAGE) -> DataFrame:
         """f(shard, its documents) for every shard."""

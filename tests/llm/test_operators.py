@@ -145,6 +145,19 @@ def test_regular_words(spark, small):
     assert got(jaccard.jaccard_groups(table(spark, rows))) == brute.jaccard_components(rows, 3, 90)
 
 
+def test_sizes_of_shards_and_buckets(spark, monkeypatch):
+    """Rows between them grow slower than the square of the input; results don't depend on the sizes."""
+    sizes = [1 << k for k in range(20, 50)]
+    rows = [max(1, n / (2e6 * exchange.times_larger(n))) * max(1, n / (16e6 * exchange.times_larger(n))) for n in sizes]
+    assert exchange.times_larger(64 << 30) == 1 and exchange.times_larger(256 << 30) == 2 and exchange.times_larger(1 << 50) == 4
+    one_tb = rows[20] / sizes[20]
+    assert one_tb / (rows[15] / sizes[15]) < 32 / 10  # for 32 times the input
+    monkeypatch.setattr(exchange, "STEADY_BYTES", 1_000)
+    data = corpus(4, 40)
+    assert exchange.Plan(table(spark, data), 4_000).shards < exchange.Plan(table(spark, data), 4_000).bytes / 8_000
+    assert got(suffix.drop_repeated_bytes(table(spark, data))) == brute.repeated_bytes(data)
+
+
 # ---- 1 and 7: repeated bytes and words --------------------------------------
 
 
