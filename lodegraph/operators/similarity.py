@@ -74,8 +74,11 @@ def candidates(sequences: DataFrame, threshold: float) -> DataFrame:
     ranked = numbered.join(held, ["item", "copy"]).withColumn("place", F.row_number().over(order))
     # overlap >= t * size, with a little less asked for than float rounding could take away
     prefix = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-6) + 1).where("held > 1")
-    left, right = (prefix.select("item", "copy", F.col("key").alias(k), F.col("size").alias(f"{k}_size")) for k in ("a", "b"))
+    left, right = (prefix.select("item", "copy", F.col("key").alias(k), F.col("size").alias(f"{k}_size"), F.col("place").alias(f"{k}_place")) for k in ("a", "b"))
     near = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(threshold) - 1e-6
+    # What two sequences share comes before both places of a shared element or after both of them.
+    reach = F.least("a_place", "b_place") + F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    near &= reach >= (F.col("a_size") + F.col("b_size")) * F.lit(threshold / (1 + threshold)) - 1e-6
     return left.join(right, ["item", "copy"]).where(F.col("a") < F.col("b")).where(near & ratio_ok(F.col("a_size"), F.col("b_size"))).select("a", "b").distinct()
 
 
