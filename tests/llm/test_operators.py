@@ -786,6 +786,42 @@ def test_edited_and_reordered_copies():
     assert all(found[k][4] == pytest.approx(want[k][0]) and found[k][2] == want[k][1] for k in found)
 
 
+def test_recall_of_edited_copies():
+    """Of the copies with a similarity of 0.8 or more in any window, by their definition, at least nine in ten are found, and no other one."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3_000)]
+    items = [rng.choices(vocabulary, k=rng.randrange(20, 90)) for _ in range(40)]
+    shingles = [[tuple(x[j : j + 5]) for j in range(len(x) - 4)] for x in items]
+    held = Counter(s for x in shingles for s in set(x))
+    texts, source = [], []
+    for t in range(320):
+        k = rng.randrange(40)
+        words = list(items[k])
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(1, len(words))
+            if t % 4 == 0:
+                words = words[at:] + words[:at]
+            elif t % 4 == 1:
+                words[at] = "other"
+            elif t % 4 == 2:
+                del words[at]
+            else:
+                words.insert(at, "extra")
+        texts.append(rng.choices(vocabulary, k=30) + words + rng.choices(vocabulary, k=30))
+        source.append(k)
+    want = set()
+    for d, (words, k) in enumerate(zip(texts, source, strict=True)):
+        every, own = [tuple(words[j : j + 5]) for j in range(len(words) - 4)], Counter(shingles[k])
+        for j in range(len(every) - len(shingles[k]) + 1):
+            a = Counter(every[j : j + len(shingles[k])])
+            if sum(n / max(held[s], 1) for s, n in (a & own).items()) >= 0.8 * sum(n / max(held[s], 1) for s, n in (a | own).items()):
+                want.add((d, k))
+                break
+    index = decontaminate.Items(list(range(40)), [" ".join(x) for x in items], decontaminate.Settings())
+    found = {(m[0], m[1]) for m in index.matches(pa.array([" ".join(x) for x in texts]))}
+    assert len(want) > 100 and found <= want and len(found) >= 0.9 * len(want)
+
+
 def test_texts_shorter_than_an_item(spark):
     words = [f"w{k}" for k in range(40)]
     docs = [(1, " ".join(words[:38])), (2, " ".join(words[1:39])), (3, " ".join(words[:20])), (4, "w1 w2 w3"), (5, " ".join(words))]
