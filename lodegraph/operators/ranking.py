@@ -22,11 +22,11 @@ DAMPING, EPSILON, MAX_ITER = 0.85, 1e-10, 1000
 KERNEL_NODES, KERNEL_EDGES, EIGEN_NODES = 1_000_000, 10_000_000, 3_000
 
 
-def transition(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """(src, dst, prob) of all pairs of nodes: the definition, for small graphs. nodes: (node); edges: (src, dst)."""
+def transition(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, limit: int | None = EIGEN_NODES) -> DataFrame:
+    """(src, dst, prob) of all pairs of nodes: the definition. nodes: (node); edges: (src, dst); limit: nodes at most, None for any number."""
     n = nodes.count()
-    if n > EIGEN_NODES:
-        raise ValueError(f"the matrix is formed for up to {EIGEN_NODES} nodes, not {n}")
+    if limit is not None and n > limit:
+        raise ValueError(f"the matrix is formed for up to {limit} nodes, not {n}")
     if n == 1:
         return nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("prob"))
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
@@ -41,6 +41,19 @@ def row_sums(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("src").agg(F.sum("prob").alias("total"))
 
 
+def transition_sums(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(src, total): row_sums() of transition(), from each row's links and the one value of all its other pairs, which are not formed."""
+    n = nodes.count()
+    rest = (1 - damping) / n if n else 0.0
+    linked = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("src").agg(F.count("*").alias("links"))
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    rows = nodes.select(F.col("node").alias("src")).join(degree, "src", "left").join(linked, "src", "left")
+    links = F.coalesce("links", F.lit(0))
+    total = links * (F.lit(damping) / F.col("degree") + rest) + (F.lit(n) - links) * rest
+    even = F.lit(1.0 / n * n if n else 0.0)
+    return rows.select("src", F.lit(1.0).alias("total") if n == 1 else F.when(F.col("degree").isNull(), even).otherwise(total).alias("total"))
+
+
 def check_rows(matrix: DataFrame, tolerance: float = 1e-10) -> None:
     bad = row_sums(matrix).where(F.abs(F.col("total") - 1) > tolerance).count()
     if bad:
@@ -93,6 +106,38 @@ def eigen_kernel(n: int, src: np.ndarray, dst: np.ndarray, damping: float) -> np
     return _positive(w / w.sum())
 
 
+def krylov_kernel(n: int, src: np.ndarray, dst: np.ndarray, damping: float, size: int = 40, most: int = 1000) -> np.ndarray:
+    """Weights by the eigenvector of the eigenvalue 1 without the dense matrix: restarted Arnoldi iteration on its product with a vector."""
+    degree = np.bincount(src, minlength=n).astype(float)
+    sink, share = degree == 0, damping / np.maximum(degree, 1)
+
+    def step(w: np.ndarray) -> np.ndarray:
+        return np.bincount(dst, (w * share)[src], n) + ((1 - damping) * w[~sink].sum() + w[sink].sum()) / n
+
+    w = np.full(n, 1.0 / n)
+    for _ in range(most):
+        basis, h, k = np.empty((min(size, n) + 1, n)), np.zeros((min(size, n) + 1, min(size, n))), 0
+        basis[0] = w / np.linalg.norm(w)
+        while k < h.shape[1]:
+            v = step(basis[k])
+            for _ in range(2):  # once more for what rounding left
+                part = basis[: k + 1] @ v
+                h[: k + 1, k] += part
+                v -= part @ basis[: k + 1]
+            h[k + 1, k] = np.linalg.norm(v)
+            k += 1
+            if h[k, k - 1] < 1e-14:
+                break
+            basis[k] = v / h[k, k - 1]
+        values, vectors = np.linalg.eig(h[:k, :k])
+        near = int(np.argmin(np.abs(values - 1)))
+        w = np.abs((vectors[:, near].real @ basis[:k]))
+        w /= w.sum()
+        if np.abs(step(w) - w).sum() < 1e-13:
+            return _positive(w)
+    raise RuntimeError("No eigenvalue near 1 was found.")
+
+
 def _positive(w: np.ndarray) -> np.ndarray:
     if (w < -1e-12).any():
         raise RuntimeError("A weight is negative.")
@@ -135,16 +180,25 @@ def _by_joins(nodes: DataFrame, edges: DataFrame, n: int, damping: float, epsilo
     return w.select("node", F.greatest("weight", F.lit(0.0)).alias("weight"))
 
 
-def weights(nodes: DataFrame, edges: DataFrame, solver: str = "power", damping: float = DAMPING, epsilon: float = EPSILON, max_iter: int = MAX_ITER, fixed_steps: bool = False, by_joins: bool | None = None) -> DataFrame:
-    """(node, weight) summing to 1. nodes: distinct (node); edges: distinct (src, dst) between them."""
+def weights(nodes: DataFrame, edges: DataFrame, solver: str = "power", damping: float = DAMPING, epsilon: float = EPSILON, max_iter: int = MAX_ITER, fixed_steps: bool = False, by_joins: bool | None = None, limit: int | None = EIGEN_NODES) -> DataFrame:
+    """(node, weight) summing to 1. nodes: distinct (node); edges: distinct (src, dst) between them.
+
+    limit: nodes at most for the eigen solver, None for any number: beyond
+    EIGEN_NODES without the dense matrix, beyond what one task holds by joins.
+    """
     if not 0 <= damping <= 1:
         raise ValueError("damping must be between 0 and 1")
     if solver not in ("power", "eigen"):
         raise ValueError(f"no solver is called '{solver}'; there are: power, eigen")
     if solver == "eigen":
         n = nodes.count()
+        if limit is not None and n > limit:
+            raise ValueError(f"the eigen solver takes up to {limit} nodes, not {n}")
         if n > EIGEN_NODES:
-            raise ValueError(f"the eigen solver takes up to {EIGEN_NODES} nodes, not {n}")
+            nodes, edges = cut(nodes), cut(edges)
+            if n > KERNEL_NODES or edges.count() > KERNEL_EDGES:
+                return _by_joins(nodes, edges, n, damping, min(epsilon, 1e-13), max_iter)
+            return _in_one_task(nodes, edges, lambda n, s, d: krylov_kernel(n, s, d, damping))
         return _in_one_task(nodes, edges, lambda n, s, d: eigen_kernel(n, s, d, damping))
     if max_iter < 1:
         raise _not_converged(max_iter, epsilon)

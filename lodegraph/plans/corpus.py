@@ -41,7 +41,7 @@ def rank_items(items: DataFrame, method: str = "diff", threshold: float = THRESH
         log.info("3/7 %d classes", nodes.count())
         log.info("4/7 %d references between classes", edges.count())
         log.info("5/7 walk with damping %.2f", damping)
-    weight = cut(ranking.weights(nodes, edges, solver, damping, epsilon, max_iter))
+    weight = cut(ranking.weights(nodes, edges, solver, damping, epsilon, max_iter, limit=None))
     if verbose:
         log.info("6/7 weights by %s, their sum %.10f", solver, weight.agg(F.sum("weight")).first()[0])
     spread = grouped.join(weight, grouped["cluster_id"] == weight["node"]).select("idx", "qualified_name", "cluster_id", "weight")

@@ -232,6 +232,38 @@ def test_matrix_of_small_graphs_only(spark):
             make()
 
 
+@pytest.fixture(scope="module")
+def large(spark):
+    """More nodes than the dense matrix is formed for by default, some of them sinks."""
+    rng = random.Random(8)
+    n = ranking.EIGEN_NODES + 50
+    edges = sorted({(a, b) for a in range(n) if a % 7 for b in (rng.randrange(n), rng.randrange(n // 9)) if a != b})
+    return n, spark.range(n).select(F.col("id").alias("node")), spark.createDataFrame(edges, "src long, dst long")
+
+
+def test_eigenvector_of_a_large_graph(large):
+    _, nodes, edges = large
+    want = {r.node: r.weight for r in ranking.weights(nodes, edges, epsilon=1e-14).collect()}
+    assert {r.node: r.weight for r in ranking.weights(nodes, edges, "eigen", limit=None).collect()} == pytest.approx(want, abs=1e-10)
+
+
+def test_rows_of_a_large_graph(spark, large):
+    n, nodes, edges = large
+    got = {r.src: r.total for r in ranking.transition_sums(nodes, edges).collect()}
+    assert len(got) == n and got == pytest.approx(dict.fromkeys(range(n), 1.0), abs=1e-10)
+    few = spark.range(4).select(F.col("id").alias("node"))
+    some = spark.createDataFrame([(0, 1), (0, 9), (2, 0)], "src long, dst long")  # 9 is no node
+    want = {r.src: r.total for r in ranking.row_sums(ranking.transition(few, some)).collect()}
+    assert {r.src: r.total for r in ranking.transition_sums(few, some).collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_matrix_of_a_large_graph(large):
+    n, nodes, edges = large
+    matrix = ranking.transition(nodes, edges, limit=None)
+    own = matrix.where("src in (0, 1)").agg(F.count("*"), F.sum("prob")).first()
+    assert own[0] == 2 * n and own[1] == pytest.approx(2, abs=1e-9)
+
+
 def test_bad_rows(spark):
     with pytest.raises(ValueError, match="sum to 1"):
         ranking.check_rows(spark.createDataFrame([(0, 0, 0.5)], "src int, dst int, prob double"))
