@@ -67,8 +67,18 @@ def table_weight(weight: Column) -> Column:
     return F.format_string("%.8f", weight)
 
 
+def json_number(weight: Column) -> Column:
+    """A weight rounded to 10 decimals as json.dumps() writes it: no exponent from 0.0001 on, two digits of it below."""
+    digits = F.round(F.abs(weight) * 1e10).cast("long").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", F.round(weight, 10)), "0+$", ""), r"\.$", ".0")
+    places = F.regexp_replace(F.substring(digits, 2, 20), "0+$", "")
+    small = F.concat(F.when(weight < 0, "-").otherwise(""), F.substring(digits, 1, 1), F.when(places != "", F.concat(F.lit("."), places)).otherwise(""), F.lit("e-"), F.lpad((11 - F.length(digits)).cast("string"), 2, "0"))
+    return F.when((digits != "0") & (F.abs(F.round(weight, 10)) < 1e-4), small).otherwise(plain)
+
+
 def json_row(rank: Column, name: Column, weight: Column) -> Column:
-    return F.to_json(F.struct(rank.alias("rank"), name.alias("qualified_name"), F.round(weight, 10).alias("weight")))
+    own = F.to_json(F.struct(rank.alias("rank"), name.alias("qualified_name")))
+    return F.concat(F.regexp_replace(own, r"\}$", ""), F.lit(',"weight":'), json_number(weight), F.lit("}"))
 
 
 def write(ranked: DataFrame, path: str, fmt: str = "csv") -> None:

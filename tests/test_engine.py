@@ -207,6 +207,18 @@ def test_few_candidates(spark, monkeypatch):
     assert {(r.a, r.b): r.overlap for r in similarity.overlaps(table, 0.4).collect()} == enough
 
 
+def test_json_rows_of_small_weights(spark):
+    """Numbers as Python writes them, which to_json() doesn't below 0.001."""
+    import json
+
+    from lodegraph import sinks
+
+    values = [1.0, 0.5, 0.001, 0.000987, 0.0001, 0.00012, 0.00009, 1.1e-05, 9.99999e-05, 1e-10, 0.0, 0.1234567891, 3e-11, 0.00009999999999]
+    table = spark.createDataFrame([(k, f'a"{k}', v) for k, v in enumerate(values)], "rank int, name string, weight double")
+    rows = [r[0] for r in table.select(sinks.json_row(F.col("rank"), F.col("name"), F.col("weight"))).collect()]
+    assert rows == [json.dumps({"rank": k, "qualified_name": f'a"{k}', "weight": round(v, 10)}, separators=(",", ":")) for k, v in enumerate(values)]
+
+
 P = 0.85
 
 
