@@ -42,8 +42,8 @@ DISCOUNT, PAIR_DISCOUNT = 0.75, 0.5
 SPELLED = 0.2
 #: Bytes of a word so far, by which its end is counted; weights of what backs off.
 LONGEST, STEADY = 24, 3.0
-#: One training window for so many words of a text.
-GAP = 104
+#: One training window for so many words of a text: each word is a target once.
+GAP = STRIDE
 ROUNDS = 4
 #: Windows of a training step; steps of a round at least; windows of a task.
 STEP, STEPS, TASK_WINDOWS = 64, 64, 16_384
@@ -398,22 +398,19 @@ def _slots(slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "n": pa.array(n, pa.int64())})
 
 
-def samples(w: T.Words, inverse: np.ndarray, trains: np.ndarray) -> np.ndarray:
-    """Training windows, as of Model.windows(), but of the numbers of distinct words: -1 for none, -2 for the mark before a text.
-
-    One place for every GAP words of a training text, one at least, from a place
-    that the text's content picks.
-    """
-    sizes = w.counts
-    mark = T.sums((T.mix(inverse.astype(np.uint64)) >> np.uint64(44)).astype(np.int64), w.at).astype(np.uint64)
-    begin = (T.mix(mark) % np.maximum(np.minimum(GAP, sizes), 1).astype(np.uint64)).astype(np.int64)
-    n = np.where(trains & (sizes > 0), -(-(sizes - begin) // GAP), 0)
+def tiles(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Training windows, as of Model.windows(), of texts of so many words each: -1 for none, -2 for the mark before a text; every word is a target once, in order."""
+    n = -(-sizes // GAP)
     text = np.repeat(np.arange(len(n)), n)
-    first = begin[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * GAP
-    place = first[:, None] + np.arange(-CONTEXT - 1, STRIDE)
+    place = ((np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * GAP)[:, None] + np.arange(-CONTEXT - 1, STRIDE)
     inside = (place >= 0) & (place < sizes[text][:, None])
-    words = inverse[np.where(inside, w.at[:-1][text][:, None] + place, 0)] if len(inverse) else place
-    return np.where(inside, words, np.where(place == -1, -2, -1)).astype(np.int32)
+    found = words[np.where(inside, (np.cumsum(sizes) - sizes)[text][:, None] + place, 0)] if len(words) else place
+    return np.where(inside, found, np.where(place == -1, -2, -1)).astype(np.int32)
+
+
+def samples(w: T.Words, inverse: np.ndarray, trains: np.ndarray) -> np.ndarray:
+    """All training windows of the texts that train, of the numbers of distinct words."""
+    return tiles(inverse[trains[w.doc]], w.counts[trains])
 
 
 def window_ids(words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -492,8 +489,8 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
     id is carried along; extra columns, whatever their names, are not read. Texts
     are scored whole, in windows; one has to fit a worker's memory some fifty times
     over. All counts are over whole training texts, their ends included; the network
-    is fitted on windows in proportion to the texts' lengths, one of a text at
-    least, by rounds of local training whose results are averaged.
+    is fitted on every word of them once, in windows, by rounds of local training
+    whose results are averaged.
     """
     plan = X.Plan(docs, BATCH_BYTES, id_col, text_col, carry=(F.coalesce(trains, F.lit(False)),))
     path, buckets = ranks_path, plan.buckets(16 << 20)
@@ -502,7 +499,7 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
     kinds = len(Corpus.KINDS) * size
 
     def gather(shard: int, t: pa.Table) -> pa.Table:
-        """A shard's distinct words, by hash: times in training texts and at their ends, bytes; its training texts, as origin -1, and windows, as -3 - shard."""
+        """A shard's distinct words, by hash: times in training texts and at their ends, bytes; how many texts train, as origin -1, and the words of these in order, as -3 - shard."""
         w = T.Words(X.text_of(t), lower=True)
         trains = t.column("carry_0").to_numpy().astype(bool)
         distinct, where, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
@@ -520,7 +517,7 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
         ]
         texts = np.array([trains.sum(), (trains & (w.counts == 0)).sum()])
         rows.append((shard % buckets, -1, X.pack(np.array([kinds + 2, kinds + 3]), texts)))
-        rows.append((shard % buckets, -3 - shard, X.pack(samples(w, inverse, trains).reshape(-1))))
+        rows.append((shard % buckets, -3 - shard, X.pack(inverse[trains[w.doc]].astype(np.uint32), w.counts[trains].astype(np.uint32))))
         return X.messages(rows)
 
     def split(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -555,13 +552,16 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
     corpus.spelled = np.flatnonzero(have).astype(np.int32), have[have > 0]
 
     def learn(key: tuple[pa.Scalar, ...], t: pa.Table, r: pa.Table) -> pa.Table:
-        """A shard's training windows; numbers are one more than the ids, so that 0 is none."""
+        """Of a shard's training texts: opening id of each word, words of each text, ids inside of the words and number of them."""
         out = []
         if r.num_rows:
             _, sizes, ids = _replies(r.column("bucket"), r.column("body"))
+            begin = np.cumsum(sizes) - sizes
             for body in t.column("body").to_pylist():
-                windows, inner, n = window_ids(X.unpack(body)[0].reshape(-1, WINDOW + 1), ids, sizes, size)
-                out.append(X.pack((windows + 1).reshape(-1).astype(short), inner.astype(short), n.astype(np.uint32)))
+                words, counts = X.unpack(body)
+                n = sizes[words] - 1
+                spot = np.repeat(begin[words] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                out.append(X.pack(ids[begin[words]].astype(short), counts, ids[spot].astype(short), n.astype(np.uint32)))
         return pa.table({"body": pa.array(out, pa.binary())})
 
     sampled = answers.where("origin <= -3").select((-3 - F.col("origin")).alias("origin"), "body")
@@ -578,8 +578,10 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
             parts = [X.unpack(body) for b in it for body in b.column("body").to_pylist()]
             if not sum(len(x[0]) for x in parts):
                 return
-            windows, inner, sizes = (np.concatenate([x[j] for x in parts]).astype(np.int64) for j in range(3))
-            windows = windows.reshape(-1, WINDOW + 1) - 1
+            opening, counts, inner, n = (np.concatenate([x[j] for x in parts]).astype(np.int64) for j in range(4))
+            index = tiles(np.arange(len(opening)), counts)
+            windows, goal = np.append(opening, [size, -1])[index], index[:, CONTEXT + 1 :].reshape(-1)
+            sizes = np.where(goal >= 0, n[goal], 0)
             # An order that the windows alone give, whatever rows they came in.
             order = np.argsort(T.mix((windows.astype(np.uint64) * T.byte_codes(1)[: WINDOW + 1]).sum(1)), kind="stable")
             windows, begin, sizes = windows[order], (np.cumsum(sizes) - sizes).reshape(-1, STRIDE)[order].reshape(-1), sizes.reshape(-1, STRIDE)[order].reshape(-1)

@@ -311,6 +311,18 @@ def test_lm_learns_from_whole_texts():
     assert [c > 0 for c in count] == [False, True, True, False, True] and abs(count[2] - 9001 / lm.GAP) <= 1
 
 
+def test_every_word_trains():
+    """Each word of each text is a target once, after the words before it."""
+    sizes = np.array([3, 0, 1, lm.STRIDE, 5 * lm.STRIDE + 7])
+    found = lm.tiles(np.arange(sizes.sum()), sizes)
+    goal = found[:, lm.CONTEXT + 1 :].reshape(-1)
+    assert goal[goal >= 0].tolist() == list(range(sizes.sum()))
+    first = set((np.cumsum(sizes) - sizes)[sizes > 0].tolist())
+    for row in found.tolist():
+        for before, x in zip(row[lm.CONTEXT :], row[lm.CONTEXT + 1 :], strict=False):
+            assert x < 0 or before == (-2 if x in first else x - 1)
+
+
 def test_spelling():
     """Pairs and ends of distinct words against plain counts; what each table gives sums to one."""
     rng = np.random.default_rng(2)
