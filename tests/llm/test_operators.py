@@ -201,6 +201,25 @@ def test_repeated_bytes_over_shards(spark, rows, small, monkeypatch, hot):
     assert got(suffix.drop_repeated_bytes(clash(spark, rows))) == brute.repeated_bytes(rows)
 
 
+def test_repeated_bytes_in_any_order(spark, rows, small, monkeypatch):
+    class Shuffled(exchange.Plan):
+        """Hands a shard's documents over in another order each time, as a shuffle between machines does."""
+
+        seed = 0
+
+        def with_replies(self, replies, f, schema):
+            self.seed += 1
+            seed = self.seed
+
+            def other(shard, t, bodies):
+                return f(shard, t.take(np.random.default_rng(seed).permutation(t.num_rows)), bodies)
+
+            return super().with_replies(replies, other, schema)
+
+    monkeypatch.setattr(exchange, "Plan", Shuffled)
+    assert got(suffix.drop_repeated_bytes(table(spark, rows))) == brute.repeated_bytes(rows)
+
+
 def test_spans(spark, rows):
     texts = {}
     for i, t in rows:
