@@ -6,13 +6,14 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodegraph.llm import bpe, quality
+from lodegraph.llm import bpe, exchange, quality
 from lodegraph.llm.queries import ranks_path
 from tests.llm import brute
 
@@ -137,3 +138,19 @@ def test_results_go_once_they_are_read(spark, folder):
     corpus_pipeline.run(spark, folder[0]).count()
     kept = [p.rsplit("/", 1)[1] for p in glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/pipeline-*/*")]
     assert kept and set(kept) == {"4-byte_bpe"}
+
+
+def test_repeats_go_in_whatever_order_rows_come(spark, folder, monkeypatch):
+    class Shuffled(exchange.Plan):
+        seed = 0
+
+        def with_replies(self, replies, f, schema):
+            self.seed += 1
+            seed = self.seed
+            return super().with_replies(replies, lambda shard, t, bodies: f(shard, t.take(np.random.default_rng(seed).permutation(t.num_rows)), bodies), schema)
+
+    at, rows, _ = folder
+    monkeypatch.setattr(exchange, "Plan", Shuffled)
+    kept = corpus_pipeline.without_repeats(spark, spark.read.parquet(f"{at}/documents.parquet"), at).select("doc_id", "text").collect()
+    texts = [(i, bytes(b for b, m in zip(x, mask, strict=True) if not m).decode("utf-8", "ignore")) for i, x, mask in brute._gone([r[:2] for r in rows], lambda t: (t or "").encode(), 50)]
+    assert Counter(map(tuple, kept)) == Counter((i, t) for i, t in texts if brute.WORD.search(t))
