@@ -22,23 +22,26 @@ SLOTS = 1 << SLOT_BITS
 SIZES = (2, 3, 4)
 #: Texts of so many n-grams are counted one by one.
 COUNTED = 2_000
-_LETTER = np.full(256, 32, np.uint64)
+#: Steps of a text's mixture after which it is first asked whether another language could pay.
+EARLY = (1, 3, 6)
+_LETTER = np.full(256, 32, np.uint32)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, slot, count, n-grams per doc) over the letter n-grams of each text, slots ascending inside of one.
+def _slots(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each size, the slots of the n-grams as they stand in the texts, and cuts between the texts.
 
     A text begins and ends as a word does, next to a blank; n-grams never cross texts.
     """
     buf, offsets = T.buffers(column)
     n = len(offsets) - 1
-    lengths = np.diff(offsets)
     offsets = offsets + 2 * np.arange(n + 1)
-    code = np.full(int(offsets[-1]), 32, np.uint64)
-    code[np.arange(len(buf)) + np.repeat(2 * np.arange(n) + 1, lengths)] = _LETTER[buf]
+    own = np.ones(int(offsets[-1]), bool)
+    own[offsets[:-1]] = own[offsets[1:] - 1] = False
+    code = np.full(len(own), 32, np.uint32)
+    code[own] = _LETTER[buf]
     final = np.zeros(len(code), bool)
     final[offsets[1:] - 1] = True
     keys, cuts = [], []
@@ -47,18 +50,25 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         m = len(code) - size + 1
         if m <= 0:
             break
-        h = (h[:m] << np.uint64(8)) | code[size - 1 :]
+        h = (h[:m] << np.uint32(8)) | code[size - 1 :]
         letters = letters[:m] | (code[size - 1 :] != 32)
         ends = ends[:m] | (final[size - 2 : size - 2 + m])  # a text ends before the last letter
         if size in SIZES:
             at = np.flatnonzero(letters & ~ends)
-            keys.append((T.mix(h[at] + np.uint64(size << 40)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+            keys.append((T.mix(h[at].astype(np.uint64) + np.uint64(size << 40)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
             cuts.append(np.searchsorted(at, offsets))
+    return keys, cuts
+
+
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, slot, count, n-grams per doc) over the letter n-grams of each text, slots ascending inside of one."""
+    n = len(column)
+    keys, cuts = _slots(column)
     per = np.sum([np.diff(c) for c in cuts], 0).astype(np.int64) if cuts else np.zeros(n, np.int64)
     found = []
     for i in np.flatnonzero(per >= COUNTED).tolist():
         have = np.bincount(np.concatenate([k[c[i] : c[i + 1]] for k, c in zip(keys, cuts, strict=True)]), minlength=SLOTS)
-        slot = np.flatnonzero(have)
+        slot = np.flatnonzero(have > 0)
         found.append((np.full(len(slot), i), slot, have[slot]))
     # Short texts are sorted all at once.
     small = per < COUNTED
@@ -86,9 +96,10 @@ class Model:
         """(index of the leading language, score, proportions of the chosen languages) of every text.
 
         A mixture of all languages comes first. Its likelihood is concave in the
-        proportions, so the gradient bounds what any mixture can reach. Sets of
-        the leading languages are compared, one language more at a time, for as
-        long as the bound lets a text pay for it.
+        proportions, so the gradient bounds, at any step, what any mixture can reach.
+        A text that can't pay for a second language goes as soon as the bound says so.
+        Sets of the leading languages are compared, one language more at a time, for
+        as long as the bound lets a text pay for it.
         """
         doc, slot, count, total = grams(column)
         n, k = len(column), len(self.langs)
@@ -102,11 +113,19 @@ class Model:
         best, cost = np.argmax(alone, 1), penalty * np.log(np.maximum(amount, 2))
         chosen, value = np.zeros((len(own), k)), alone.max(1) - cost
         chosen[np.arange(len(own)), best] = 1
-        every, _, reach = _mixture(p, weight, at, sizes, np.ones((len(own), k)), steps, amount)
-        ranked = np.argsort(-every, 1, kind="stable")
-        open_ = np.arange(len(own))
+        open_, every, since = np.arange(len(own)), np.full((len(own), k), 1 / k), 0
+        for upto in (*(x for x in EARLY if x < steps), steps):
+            every, _, reach = _mixture(p, weight, np.cumsum(sizes) - sizes, sizes, np.ones_like(every), upto - since, amount[open_], every)
+            since, still = upto, reach - 2 * cost[open_] > value[open_]
+            if not still.all():
+                pick = np.repeat(still, sizes)
+                p, weight, sizes, open_, every, reach = [x[pick] for x in p], weight[pick], sizes[still], open_[still], every[still], reach[still]
+            if not len(open_):
+                break
+        ranked, limit = np.zeros((len(own), k), np.int64), np.zeros(len(own))
+        ranked[open_], limit[open_] = np.argsort(-every, 1, kind="stable"), reach
         for size in range(2, k + 1):
-            still = reach[open_] - size * cost[open_] > value[open_]
+            still = limit[open_] - size * cost[open_] > value[open_]
             if not still.any():
                 break
             pick = np.repeat(still, sizes)
@@ -124,9 +143,10 @@ class Model:
         return lead, score, shares
 
 
-def _mixture(p: list[np.ndarray], weight: np.ndarray, at: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, steps: int, amount: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM over the allowed languages of each text: proportions, log-likelihood, a bound on any proportions' likelihood."""
-    share = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
+def _mixture(p: list[np.ndarray], weight: np.ndarray, at: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, steps: int, amount: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM over the allowed languages of each text, from even or given shares: proportions, log-likelihood, a bound on any proportions' likelihood."""
+    if share is None:
+        share = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
     for step in range(steps + 1):
         mass = np.repeat(share[:, 0], sizes) * p[0]
         for j in range(1, len(p)):
@@ -147,15 +167,15 @@ def fit(training: DataFrame) -> Model:
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[str, np.ndarray] = {}
         for batch in T.batched(it, "text"):
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            doc, slot, n, _ = grams(batch.column("text"))
-            for lang in set(langs.tolist()):
-                own = (langs == lang)[doc]
-                have.setdefault(lang, np.zeros(SLOTS, np.int64))
-                have[lang] += np.bincount(slot[own], n[own], minlength=SLOTS).astype(np.int64)
+            langs = batch.column("lang").dictionary_encode()
+            names, of = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
+            for keys, cuts in zip(*_slots(batch.column("text")), strict=True):
+                table = np.bincount(np.repeat(of << SLOT_BITS, np.diff(cuts)) | keys, minlength=len(names) * SLOTS).reshape(-1, SLOTS)
+                for lang, n in zip(names, table, strict=True):
+                    have[lang] = have.get(lang, 0) + n
         for lang, table in have.items():
             used = np.flatnonzero(table)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used)), "slot": pa.array(used, pa.int32()), "n": pa.array(table[used])})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used), pa.string()), "slot": pa.array(used, pa.int32()), "n": pa.array(table[used])})
 
     rows = training.select("text", "lang").mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))

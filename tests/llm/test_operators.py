@@ -746,6 +746,34 @@ def test_grams():
         assert dict(zip(slot[own].tolist(), count[own].tolist(), strict=True)) == want and total[i] == sum(want.values())
 
 
+def test_clear_texts_leave_the_mixture_early(monkeypatch):
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(300)] for lang, letters in (("a", "abcdefghij"), ("b", "fghijklmno"), ("c", "klmnopqrst"))}
+    texts = [(" ".join(rng.choice(words[rng.choice(langs)]) for _ in range(n)), langs[0]) for langs in ("a", "b", "c", "a", "b", "ab", "abc", "bc") for n in (1, 5, 40, 150, 600)]
+    column, langs = pa.array([t for t, _ in texts]), np.array([x for _, x in texts])
+    doc, slot, n, _ = langid.grams(column)
+    model = langid.Model(["a", "b", "c"], np.stack([np.bincount(slot[(langs == x)[doc]], n[(langs == x)[doc]], langid.SLOTS) for x in "abc"]))
+    work, mixture = [], langid._mixture
+    monkeypatch.setattr(langid, "_mixture", lambda p, weight, at, sizes, allowed, steps, *rest: work.append(len(weight) * steps) or mixture(p, weight, at, sizes, allowed, steps, *rest))
+    early = model.infer(column, 8.0)
+    done = sum(work)
+    work.clear()
+    monkeypatch.setattr(langid, "EARLY", ())
+    whole = model.infer(column, 8.0)
+    assert (early[2] > 0).sum(1).max() == 3
+    assert all((x == y).all() for x, y in zip(early, whole, strict=True))
+    assert done < 0.8 * sum(work)
+
+
+def test_learnt_counts(spark):
+    rows = [("the cat, the dog", "en"), ("", "en"), ("chat é chien", "fr"), ("x " * 1_500, "en"), (None, "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    doc, slot, n, _ = langid.grams(pa.array([t or "" for t, _ in rows]))
+    counts = np.stack([np.bincount(slot[(np.array([x for _, x in rows]) == lang)[doc]], n[(np.array([x for _, x in rows]) == lang)[doc]], langid.SLOTS) for lang in ("en", "fr")])
+    assert model.langs == ["en", "fr"]
+    assert np.array_equal(model.prob, langid.Model(["en", "fr"], counts).prob)
+
+
 def test_short_texts_have_evidence(spark):
     words = {"de": "ja nein der die das", "fr": "le la une oui non", "it": "il lo gli si no"}
     model = langid.fit(spark.createDataFrame([(t, x) for x, t in words.items()] * 20, "text string, lang string"))
