@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodegraph.llm import bpe, exchange as X, text as T
-from lodegraph.operators.checkpoints import cut
+from lodegraph.operators.checkpoints import cut_alone
 
 #: Distributions that attention weighs.
 PARTS = 32
@@ -532,7 +532,7 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
         used = np.flatnonzero(have)
         yield _slots(used, have[used])
 
-    answers = cut(plan.send(gather).groupBy("bucket").applyInArrow(split, X.MESSAGE))
+    answers = cut_alone(plan.send(gather).groupBy("bucket").applyInArrow(split, X.MESSAGE))
     replied = answers.where("origin >= 0")
     have = _summed(answers.where("origin = -1").select("body").mapInArrow(tallies, "slot int, n long"), kinds + 4)
     words, tokens, texts, empty = have[kinds:].tolist()
@@ -565,7 +565,7 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
         return pa.table({"body": pa.array(out, pa.binary())})
 
     sampled = answers.where("origin <= -3").select((-3 - F.col("origin")).alias("origin"), "body")
-    lessons = cut(sampled.groupBy("origin").cogroup(replied.groupBy("origin")).applyInArrow(learn, "body binary"))
+    lessons = cut_alone(sampled.groupBy("origin").cogroup(replied.groupBy("origin")).applyInArrow(learn, "body binary"))
     lessons = lessons.coalesce(max(1, -(-(corpus.tokens // GAP + corpus.texts) // TASK_WINDOWS)))
     opens = table.bytes[table.begin[:-1]] == 0x20
     model = Model(Corpus.rows(np.append(corpus.opening, corpus.texts)), distributions(opens, corpus.opening, corpus.inner, None))

@@ -22,3 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in reliable storage."""
     ensure_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_alone(df: DataFrame) -> DataFrame:
+    """As cut(); the shuffles that made `df` go at once, not when the driver happens to collect what refers to them.
+
+    For a `df` that nothing else is worked out from; if something is, Spark shuffles again.
+    """
+    out = cut(df)
+    plan, cleaner = df._jdf.queryExecution().executedPlan(), df.sparkSession._jsc.sc().cleaner()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" and cleaner.isDefined():
+        for shuffle in plan.context().shuffleIds().keySet().toArray():
+            cleaner.get().doCleanupShuffle(int(shuffle), True)
+    return out

@@ -288,6 +288,25 @@ def test_lm(spark, rows):
     assert len(empty) == 1
 
 
+def test_lm_leaves_no_large_shuffles(spark, rows, monkeypatch):
+    """The shuffles of the texts, the words and the lessons are gone once what they made is written."""
+    held = lambda: {int(x) for x in re.findall(r"\d+", spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().toString())}
+    taken, left, real = [], [], type(spark.range(1)).checkpoint
+
+    def checkpoint(df, eager=True):
+        before = held()
+        out = real(df, eager)
+        taken.append(held() - before)
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", checkpoint)
+    scored = lm.score_texts(table(spark, rows), fold(7) != 2, ranks_path())
+    left = held()
+    assert len(taken) == 2 and all(taken)
+    assert not left & set().union(*taken)
+    assert scored.count() == len(rows)
+
+
 def test_lm_learns_nothing(spark):
     out = lm.score_texts(table(spark, [(1, "a b"), (2, None)]), F.lit(False), ranks_path()).collect()
     assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in out} == {1: (True, 3, 0, 0), 2: (True, 1, 0, 0)}
