@@ -79,7 +79,7 @@ class Subwords:
 
     def __init__(self, column: pa.Array, table: bpe.Ranks, pieces: tuple[np.ndarray, np.ndarray] | None = None):
         self.words = w = T.Words(column, lower=True)
-        self.distinct, where, self.inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        self.distinct, where, self.inverse = X.distinct(w.hashes())
         self.ids, self.sizes = pieces or _pieces(w.buf, w.starts[where], w.ends[where], table)
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.opening = self.ids[self.begin].astype(np.int64) if len(self.begin) else np.zeros(0, np.int64)
@@ -212,9 +212,8 @@ class Model:
         r = self.row[np.maximum(source, 0)]
         late = np.ascontiguousarray(r[:, CONTEXT:])
         k, q = np.take(w["k"], r, 0, mode="clip"), np.take(w["q"], late, 0, mode="clip")
-        v = np.ones((n, WINDOW, WIDTH + 1), np.float32)
-        v[:, :, :WIDTH] = np.take(w["v"], r, 0, mode="clip")
-        v[:, :, :WIDTH] += w["pv"]
+        v = np.take(np.append(w["v"], np.ones((ROWS, 1), np.float32), 1), r, 0, mode="clip")
+        v += np.append(w["pv"], np.zeros((WINDOW, 1), np.float32), 1)
         k += w["pk"]
         q += w["pq"]
         q *= np.float32(WIDTH**-0.5)
@@ -256,71 +255,110 @@ class Model:
         """
         w, f, n = self.weights, self.forward(windows), len(windows)
         goal = windows[:, CONTEXT + 1 :].reshape(-1)
-        use = goal >= 0
-        z = f["p"]
-        z /= z.sum(1, keepdims=True)
-        own = z * np.take(self.parts, np.where(use, goal, 0), 0, mode="clip")
-        total = own.sum(1, keepdims=True)
-        own /= total
-        own[~use] = 0
+        blank = np.flatnonzero(goal < 0)
+        if len(blank):
+            goal = np.maximum(goal, 0)
+        z, ones = f["p"], np.ones(PARTS, f["p"].dtype)
+        z /= (z @ ones)[:, None]
+        own = z * np.take(self.parts, goal, 0, mode="clip")
+        total = own @ ones
+        own /= total[:, None]
+        own[blank] = 0
         if found is not None:
-            goal = np.where(use, goal, 0)
-            order, first = X.by_key(goal)
-            found[goal[order][first]] += np.add.reduceat(own[order], first)
+            _add(found, goal, own)
             if inner is not None and len(inner[0]):
-                order, first = X.by_key(inner[0])
-                found[inner[0][order][first]] += np.add.reduceat(own[np.repeat(np.arange(len(own)), inner[1])[order]], first)
-        z[~use] = 0
+                _add(found, inner[0], own, np.repeat(np.arange(len(own)), inner[1]))
+        z[blank] = 0
         z -= own
-        z /= max(1, int(use.sum()))
-        late, r = f["late"].reshape(-1), f["r"].reshape(-1)
-        g = {"o": f["c"].T @ z, "b": z.sum(0), "g": _by_row(late, z)}
-        dc = z @ w["o"].T
-        dc /= f["total"]
-        dc = np.concatenate([dc, -(dc * f["c"]).sum(1, keepdims=True)], 1).reshape(n, STRIDE, WIDTH + 1)
+        z *= z.dtype.type(1 / max(1, len(goal) - len(blank)))
+        # Beside each other, so that the rows are put in order once: of the last inputs and of all.
+        both = np.empty((len(z), PARTS + WIDTH), z.dtype)
+        both[:, :PARTS] = z
+        g = {"o": f["c"].T @ z, "b": np.ones(len(z), z.dtype) @ z}
+        dc = np.empty((len(z), WIDTH + 1), z.dtype)
+        np.matmul(z, w["o"].T, out=dc[:, :WIDTH])
+        dc[:, :WIDTH] /= f["total"]
+        np.negative(np.einsum("ij,ij->i", dc[:, :WIDTH], f["c"]), out=dc[:, WIDTH])
+        dc = dc.reshape(n, STRIDE, WIDTH + 1)
         da = dc @ f["v"].transpose(0, 2, 1)
         da *= f["a"]
-        dv = (f["a"].transpose(0, 2, 1) @ dc)[:, :, :WIDTH]
-        dq, dk = (da @ f["k"]) * np.float32(WIDTH**-0.5), da.transpose(0, 2, 1) @ f["q"]
-        g |= {"pq": dq.sum(0), "pk": dk.sum(0), "pv": dv.sum(0)}
-        g["q"] = _by_row(late, dq.reshape(-1, WIDTH))
-        both = _by_row(r, np.concatenate([dk, dv], 2).reshape(-1, 2 * WIDTH))
+        dkv = np.empty((n, WINDOW, 2 * WIDTH), z.dtype)
+        dkv[:, :, :WIDTH] = da.transpose(0, 2, 1) @ f["q"]
+        dkv[:, :, WIDTH:] = (f["a"].transpose(0, 2, 1) @ dc)[:, :, :WIDTH]
+        dq = da @ f["k"]
+        dq *= z.dtype.type(WIDTH**-0.5)
+        both[:, PARTS:] = dq.reshape(-1, WIDTH)
+        one = np.ones(n, z.dtype)
+        g["pq"] = (one @ dq.reshape(n, -1)).reshape(STRIDE, WIDTH)
+        placed = (one @ dkv.reshape(n, -1)).reshape(WINDOW, 2 * WIDTH)
+        g["pk"], g["pv"] = placed[:, :WIDTH], placed[:, WIDTH:]
+        both = _by_row(f["late"].reshape(-1), both)
+        g["g"], g["q"] = both[:, :PARTS], both[:, PARTS:]
+        both = _by_row(f["r"].reshape(-1), dkv.reshape(-1, 2 * WIDTH))
         g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH:]
-        return g, float(-np.log(total[use]).mean()) if use.any() else 0.0
+        return g, float(-np.log(np.delete(total, blank)).mean()) if len(blank) < len(goal) else 0.0
 
-    def train(self, windows: np.ndarray, round_: int, found: np.ndarray, inner: tuple[np.ndarray, np.ndarray], rate: float = 0.03) -> float:
-        """Adam over the round's share of the windows, and on to further shares for STEPS steps at least.
+    def train(self, windows: np.ndarray, found: np.ndarray, inner: tuple[np.ndarray, np.ndarray] | None, rate: float = 0.03) -> float:
+        """Adam over the windows, again and again up to STEPS steps at least.
 
-        inner: ids inside of the targets' words, and cuts between the targets; they count in the last round.
+        inner: ids inside of the targets' words, and cuts between the targets; with them they count in what is found.
         """
-        mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        square = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        n = len(windows)
-        begin, stop = n * round_ // ROUNDS, n * (round_ + 1) // ROUNDS
-        steps = max(STEPS, -(-(stop - begin) // STEP))
+        flat = np.concatenate([v.reshape(-1) for v in self.weights.values()])
+        at = np.cumsum([v.size for v in self.weights.values()])
+        self.weights = {k: v.reshape(self.weights[k].shape) for k, v in zip(self.weights, np.split(flat, at[:-1]), strict=True)}
+        mean, square, n = np.zeros_like(flat), np.zeros_like(flat), len(windows)
+        steps = max(STEPS, -(-n // STEP))
         loss = 0.0
         for step in range(steps):
-            own = (begin + step * STEP + np.arange(min(STEP, n))) % n
+            own = (step * STEP + np.arange(min(STEP, n))) % n
             pace = rate * (1 - step / steps)
             within = None
-            if round_ == ROUNDS - 1:
+            if inner is not None:
                 low, high = (inner[1][(own * STRIDE)[:, None] + np.arange(STRIDE) + k].reshape(-1) for k in range(2))
                 size = high - low
                 within = inner[0][np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
             g, now = self.gradient(windows[own], found, within)
             loss += now / steps
-            for k, d in g.items():
-                mean[k] += np.float32(0.1) * (d - mean[k])
-                square[k] += np.float32(0.01) * (d * d - square[k])
-                self.weights[k] -= (np.float32(pace / (1 - 0.9 ** (step + 1))) * mean[k] / (np.sqrt(square[k] * np.float32(1 / (1 - 0.99 ** (step + 1)))) + np.float32(1e-8))).astype(self.weights[k].dtype)
+            _adam(flat, np.concatenate([g[k].reshape(-1) for k in self.weights]), mean, square, step, pace)
         return loss
 
 
+def _adam(flat: np.ndarray, slope: np.ndarray, mean: np.ndarray, square: np.ndarray, step: int, pace: float, block: int = 16_384) -> None:
+    """One step, in place and in blocks that the cache holds. mean and square are ten and a hundred times the running means."""
+    kind, root = flat.dtype.type, (0.01 / (1 - 0.99 ** (step + 1))) ** 0.5
+    pace, least = kind(pace * 0.1 / (1 - 0.9 ** (step + 1)) / root), kind(1e-8 / root)
+    for k in range(0, len(flat), block):
+        d, m, v = slope[k : k + block], mean[k : k + block], square[k : k + block]
+        m *= kind(0.9)
+        m += d
+        v *= kind(0.99)
+        d *= d
+        v += d
+        np.sqrt(v, out=d)
+        d += least
+        np.divide(m, d, out=d)
+        d *= pace
+        flat[k : k + block] -= d
+
+
+def _add(to: np.ndarray, key: np.ndarray, values: np.ndarray, which: np.ndarray | None = None) -> None:
+    """Add each of the values, or of those that which names, to the row of its key."""
+    if len(to) <= 65_536:
+        key = key.astype(np.uint16)  # sorted by counting
+    order, first = X.by_key(key)
+    to[key[order[first]]] += _runs(np.take(values, order if which is None else which[order], 0), first)
+
+
+def _runs(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each first one up to the next. Complex numbers take two columns at a time."""
+    return np.add.reduceat(values.view(f"c{2 * values.itemsize}"), first).view(values.dtype)
+
+
 def _by_row(row: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of the values of each table row."""
     out = np.zeros((ROWS, values.shape[1]), values.dtype)
     order, first = X.by_key(row.astype(np.int16))
-    out[row[order][first]] = np.add.reduceat(values[order], first)
+    out[row[order[first]]] = _runs(np.take(values, order, 0), first)
     return out
 
 
@@ -355,21 +393,24 @@ def log10(s: Subwords, count: np.ndarray, model: Model, spelled: Spelling, lengt
     paired = (1 - SPELLED) * spelled.pairs[row[inner - 1], row[inner]] * spelled.share[ids]
     rest = ((1 - SPELLED) * spelled.pairs_left[row[inner - 1]] + SPELLED).astype(np.float32)
     fixed = np.log(close[last]) + np.bincount(word[inner], np.log(1 - close[inner - 1]), len(sizes))
-    first = np.cumsum(sizes - 1) - (sizes - 1)  # inner subwords of each distinct word
+    more = sizes - 1  # inner subwords of each distinct word
+    first = np.cumsum(more) - more
     stop = spelled.stop[row[last]] if len(sizes) else np.zeros(0)
     base = np.maximum(count - DISCOUNT, 0) / spelled.opening[s.opening], spelled.left[s.opening], np.log(1 - stop)
     logs = np.zeros(n)
     for k, value, owed in model.score(s.opening[s.inverse], at):
         own = s.inverse[k : k + len(value)]
-        m = (sizes - 1)[own]
+        m = more[own]
         token = np.repeat(np.arange(len(m)), m)
         spot = np.repeat(first[own] - (np.cumsum(m) - m), m) + np.arange(len(token))
         attended = np.einsum("ij,ij->i", np.take(owed, token, 0), np.take(model.parts, ids[spot], 0))
         spelt = fixed[own] + np.bincount(token, np.log(np.maximum(paired[spot] + rest[spot] * attended, 1e-35)), len(m))
         known, left, goes_on = (x[own] for x in base)
-        # Where the spelling is too small a number, its logarithm stands alone.
         chance = np.log(known + left * np.exp(spelt) + 1e-300)
-        logs[k : k + len(value)] = np.where(known > 0, chance, np.log(left + 1e-300) + spelt) + np.log(np.maximum(value, 1e-30)) + goes_on
+        # Where the spelling is too small a number, its logarithm stands alone.
+        alone = np.flatnonzero(known <= 0)
+        chance[alone] = np.log(left[alone] + 1e-300) + spelt[alone]
+        logs[k : k + len(value)] = chance + np.log(np.maximum(value, 1e-30)) + goes_on
     # A text goes on after its opening and after each word but the last.
     full = np.flatnonzero(np.diff(at) > 0)
     out = T.sums(logs, at) + np.log(np.where(np.diff(at) > 0, 1 - spelled.stop[ROWS], spelled.stop[ROWS]))
@@ -398,11 +439,30 @@ def _slots(slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "n": pa.array(n, pa.int64())})
 
 
-def tiles(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Training windows, as of Model.windows(), of texts of so many words each: -1 for none, -2 for the mark before a text; every word is a target once, in order."""
+def _first(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place of the first target in it) of each training window."""
     n = -(-sizes // GAP)
     text = np.repeat(np.arange(len(n)), n)
-    place = ((np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * GAP)[:, None] + np.arange(-CONTEXT - 1, STRIDE)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * GAP
+
+
+def window_keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each training window, from its words alone, without forming the windows."""
+    text, first = _first(sizes)
+    begin = (np.cumsum(sizes) - sizes)[text]
+    low, high = begin + np.maximum(first - CONTEXT - 1, 0), begin + np.minimum(first + STRIDE, sizes[text])
+    return T.mix(T.code_hashes(T.mix(words.astype(np.uint64) + np.uint64(1)), low, high) + (first == 0))
+
+
+def tiles(words: np.ndarray, sizes: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Training windows, as of Model.windows(), of texts of so many words each: -1 for none, -2 for the mark before a text; every word is a target once, in order.
+
+    own: numbers of the windows to form, all by default.
+    """
+    text, first = _first(sizes)
+    if own is not None:
+        text, first = text[own], first[own]
+    place = first[:, None] + np.arange(-CONTEXT - 1, STRIDE)
     inside = (place >= 0) & (place < sizes[text][:, None])
     found = words[np.where(inside, (np.cumsum(sizes) - sizes)[text][:, None] + place, 0)] if len(words) else place
     return np.where(inside, found, np.where(place == -1, -2, -1)).astype(np.int32)
@@ -502,7 +562,7 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
         """A shard's distinct words, by hash: times in training texts and at their ends, bytes; how many texts train, as origin -1, and the words of these in order, as -3 - shard."""
         w = T.Words(X.text_of(t), lower=True)
         trains = t.column("carry_0").to_numpy().astype(bool)
-        distinct, where, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        distinct, where, inverse = X.distinct(w.hashes())
         times = np.bincount(inverse[trains[w.doc]], minlength=len(distinct)).astype(np.uint32)
         closing = w.at[1:][trains & (w.counts > 0)] - 1
         finals = np.bincount(inverse[closing], minlength=len(distinct)).astype(np.uint32)
@@ -561,12 +621,12 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
                 words, counts = X.unpack(body)
                 n = sizes[words] - 1
                 spot = np.repeat(begin[words] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append(X.pack(ids[begin[words]].astype(short), counts, ids[spot].astype(short), n.astype(np.uint32)))
-        return pa.table({"body": pa.array(out, pa.binary())})
+                out.append((X.pack(ids[begin[words]].astype(short), counts), X.pack(ids[spot].astype(short), n.astype(np.uint32))))
+        return pa.table({name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("body", "inner"))})
 
     sampled = answers.where("origin <= -3").select((-3 - F.col("origin")).alias("origin"), "body")
-    lessons = cut_alone(sampled.groupBy("origin").cogroup(replied.groupBy("origin")).applyInArrow(learn, "body binary"))
-    lessons = lessons.coalesce(max(1, -(-(corpus.tokens // GAP + corpus.texts) // TASK_WINDOWS)))
+    lessons = cut_alone(sampled.groupBy("origin").cogroup(replied.groupBy("origin")).applyInArrow(learn, "body binary, inner binary"))
+    tasks = max(1, -(-(corpus.tokens // GAP + corpus.texts) // TASK_WINDOWS))
     opens = table.bytes[table.begin[:-1]] == 0x20
     model = Model(Corpus.rows(np.append(corpus.opening, corpus.texts)), distributions(opens, corpus.opening, corpus.inner, None))
     model.begin()
@@ -575,29 +635,40 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
 
     def local(k: int) -> DataFrame:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [X.unpack(body) for b in it for body in b.column("body").to_pylist()]
+            parts, insides, keys = [], [], []
+            for b in it:
+                for body in b.column("body").to_pylist():
+                    parts.append([x.astype(np.int64) for x in X.unpack(body)])
+                    keys.append(window_keys(*parts[-1]))
+                if last:
+                    insides += [X.unpack(body) for body in b.column("inner").to_pylist()]
             if not sum(len(x[0]) for x in parts):
                 return
-            opening, counts, inner, n = (np.concatenate([x[j] for x in parts]).astype(np.int64) for j in range(4))
-            index = tiles(np.arange(len(opening)), counts)
-            windows, goal = np.append(opening, [size, -1])[index], index[:, CONTEXT + 1 :].reshape(-1)
-            sizes = np.where(goal >= 0, n[goal], 0)
-            # An order that the windows alone give, whatever rows they came in.
-            order = np.argsort(T.mix((windows.astype(np.uint64) * T.byte_codes(1)[: WINDOW + 1]).sum(1)), kind="stable")
-            windows, begin, sizes = windows[order], (np.cumsum(sizes) - sizes).reshape(-1, STRIDE)[order].reshape(-1), sizes.reshape(-1, STRIDE)[order].reshape(-1)
-            cuts = np.append(0, np.cumsum(sizes))
-            inner = inner[np.repeat(begin - cuts[:-1], sizes) + np.arange(cuts[-1])]
+            opening, counts = (np.concatenate([x[j] for x in parts]) for j in range(2))
+            # An order that the windows alone give, whatever rows they came in; of it the round's share, and on to further ones for STEPS steps at least.
+            order = np.argsort(np.concatenate(keys), kind="stable")
+            total = len(order)
+            begin, stop = total * k // ROUNDS, total * (k + 1) // ROUNDS
+            order = order[(begin + np.arange(min(total, max(STEPS, -(-(stop - begin) // STEP)) * STEP))) % total]
+            index = tiles(np.arange(len(opening)), counts, order)
+            inner = None
+            if last:
+                ids, n = (np.concatenate([x[j] for x in insides]).astype(np.int64) for j in range(2))
+                goal = index[:, CONTEXT + 1 :].reshape(-1)
+                sizes, low = np.where(goal >= 0, n[goal], 0), (np.cumsum(n) - n)[goal]
+                cuts = np.append(0, np.cumsum(sizes))
+                inner = ids[np.repeat(low - cuts[:-1], sizes) + np.arange(cuts[-1])], cuts
             owed = np.zeros((size, PARTS), np.float32)
-            model.train(windows, k, owed, (inner, cuts))
+            model.train(np.append(opening, [size, -1])[index], owed, inner)
             vector = np.zeros(lines * PARTS)
-            vector[:length] = np.concatenate([model.weights[x].reshape(-1) for x in Model.shapes()]) * float(len(windows))
+            vector[:length] = np.concatenate([model.weights[x].reshape(-1) for x in Model.shapes()]) * float(total)
             used = np.flatnonzero(owed.any(1))
-            table_ = np.rint(np.concatenate([owed[used], vector.reshape(-1, PARTS), np.full((1, PARTS), len(windows))]).astype(np.float64) * FIXED).astype(np.int64)
+            table_ = np.rint(np.concatenate([owed[used], vector.reshape(-1, PARTS), np.full((1, PARTS), total)]).astype(np.float64) * FIXED).astype(np.int64)
             slot = np.concatenate([used, size + np.arange(lines + 1)])
             yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *(pa.array(np.ascontiguousarray(table_[:, j])) for j in range(PARTS))], names=["slot", *(f"c{j}" for j in range(PARTS))])
 
-        columns = [f"c{j}" for j in range(PARTS)]
-        return lessons.mapInArrow(run, "slot int, " + ", ".join(f"{c} long" for c in columns)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in columns))
+        columns, last = [f"c{j}" for j in range(PARTS)], k == ROUNDS - 1
+        return lessons.select("body", *["inner"] * last).coalesce(tasks).mapInArrow(run, "slot int, " + ", ".join(f"{c} long" for c in columns)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in columns))
 
     for k in range(ROUNDS):
         got = local(k).toArrow()

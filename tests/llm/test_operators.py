@@ -361,6 +361,49 @@ def test_every_word_trains():
             assert x < 0 or before == (-2 if x in first else x - 1)
 
 
+def test_round_forms_its_windows():
+    """Windows chosen by number are those of all; keys, without the windows, tell different ones apart and only these."""
+    rng = np.random.default_rng(7)
+    sizes = np.append(rng.integers(0, 150, 300), [40, 40, 17, 17, 40])
+    words = rng.integers(0, 3, sizes.sum())
+    words[-154:] = 1
+    every = lm.tiles(words, sizes)
+    own = rng.permutation(len(every))[:50]
+    assert (lm.tiles(words, sizes, own) == every[own]).all()
+    keys = lm.window_keys(words, sizes)
+    kinds = Counter(map(tuple, every.tolist()))
+    assert len(kinds) < len(every) == len(keys)
+    assert len(set(zip(map(tuple, every.tolist()), keys.tolist(), strict=True))) == len(set(keys.tolist())) == len(kinds)
+
+
+def test_training_steps():
+    """Sums by row and Adam in place against plain ones."""
+    rng = np.random.default_rng(8)
+    row, values, which = rng.integers(0, 90, 500), rng.standard_normal((500, 6)).astype(np.float32), rng.integers(0, 500, 800)
+    key, found, want = rng.integers(0, 90, 800), np.ones((90, 6), np.float32), np.ones((90, 6))
+    lm._add(found, key, values, which)
+    np.add.at(want, key, values[which])
+    assert found == pytest.approx(want, abs=1e-4)
+    want = np.zeros((lm.ROWS, 6))
+    np.add.at(want, row, values)
+    assert lm._by_row(row, values) == pytest.approx(want, abs=1e-4)
+    flat, mean, square = rng.standard_normal(1000), np.zeros(1000), np.zeros(1000)
+    plain, m, v = flat.copy(), 0.0, 0.0
+    for step in range(9):
+        slope = rng.standard_normal(1000) * 10.0 ** -rng.integers(0, 9, 1000)
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        plain -= 0.03 * m / (1 - 0.9 ** (step + 1)) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-8)
+        lm._adam(flat, slope, mean, square, step, 0.03, 300)
+    assert flat == pytest.approx(plain)
+
+
+def test_distinct_keys():
+    for keys in (np.zeros(0, np.uint64), np.random.default_rng(9).integers(0, 40, 200).astype(np.uint64)):
+        values, where, inverse = exchange.distinct(keys)
+        assert values.tolist() == sorted(set(keys.tolist()))
+        assert (keys[where] == values).all() and (values[inverse] == keys).all()
+
+
 def test_spelling():
     """Pairs and ends of distinct words against plain counts; what each table gives sums to one."""
     rng = np.random.default_rng(2)
