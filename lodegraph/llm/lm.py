@@ -36,6 +36,8 @@ WIDTH = 16
 WINDOW, CONTEXT = 48, 16
 STRIDE = WINDOW - CONTEXT
 BATCH_BYTES = 2 << 20
+#: Words that are cut into subwords at a time.
+BLOCK = 16_384
 #: Taken off each count, for words and pairs that the corpus lacks.
 DISCOUNT, PAIR_DISCOUNT = 0.75, 0.5
 #: Weight of attention beside the pairs in a word's spelling.
@@ -52,7 +54,10 @@ FIXED = 2.0**20
 
 
 def _pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: bpe.Ranks) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids of each) of the words, each with a space before it."""
+    """(ids, number of ids of each) of the words, each with a space before it; block by block, which the cache holds."""
+    if len(starts) > BLOCK:
+        ids, sizes = zip(*(_pieces(buf, starts[k : k + BLOCK], ends[k : k + BLOCK], table) for k in range(0, len(starts), BLOCK)), strict=True)
+        return np.concatenate(ids), np.concatenate(sizes)
     long = np.flatnonzero(ends - starts >= bpe.LONG_SLICE)
     sizes = ends - starts + 1
     sizes[long] = 0
@@ -169,6 +174,7 @@ class Spelling:
 # ---- the network --------------------------------------------------------------
 
 
+_PLACES = np.arange(-CONTEXT - 1, STRIDE, dtype=np.int32)
 _CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], 1, 0).astype(np.float32)
 
 
@@ -198,10 +204,10 @@ class Model:
         count = -(-sizes // STRIDE)
         text = np.repeat(np.arange(len(sizes)), count)
         first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-        place = first[:, None] + np.arange(-CONTEXT - 1, STRIDE)  # in the text; -1 is the mark
-        inside = (place >= 0) & (place < sizes[text][:, None])
-        place += at[:-1][text][:, None]
-        ids = np.where(inside, ids[np.where(inside, place, 0)], -1) if len(ids) else np.full(place.shape, -1)
+        place = first.astype(np.int32)[:, None] + _PLACES  # in the text; -1 is the mark
+        inside = (place >= 0) & (place < sizes.astype(np.int32)[text][:, None])
+        place += at.astype(np.int32)[text][:, None]
+        ids = np.where(inside, np.take(ids.astype(np.int32), place, mode="clip"), np.int32(-1)) if len(ids) else np.full(place.shape, -1)
         ids[np.flatnonzero(first == 0), CONTEXT] = len(self.row) - 1
         return ids, np.where(inside, place, -1)[:, CONTEXT + 1 :]
 
@@ -209,7 +215,7 @@ class Model:
         """Intermediate values; p: weights of the distributions at the last STRIDE inputs. Logits stay small, so they are not shifted."""
         w, n = self.weights, len(windows)
         source = windows[:, :-1]
-        r = self.row[np.maximum(source, 0)]
+        r = self.row[source]  # of blanks any
         late = np.ascontiguousarray(r[:, CONTEXT:])
         k, q = np.take(w["k"], r, 0, mode="clip"), np.take(w["q"], late, 0, mode="clip")
         v = np.take(np.append(w["v"], np.ones((ROWS, 1), np.float32), 1), r, 0, mode="clip")
@@ -239,19 +245,19 @@ class Model:
         for k in range(0, len(windows), batch):
             p = self.forward(windows[k : k + batch])["p"]
             goal, spot = windows[k : k + batch, CONTEXT + 1 :].reshape(-1), place[k : k + batch].reshape(-1)
-            use = goal >= 0
-            if not use.all():
-                p, goal, spot = p[use], goal[use], spot[use]
+            use = np.flatnonzero(goal >= 0)
+            if len(use) < len(goal):
+                p, goal, spot = np.take(p, use, 0), goal[use], spot[use]
             total = p @ ones
             p *= np.take(self.parts, goal, 0, mode="clip")
             own = p @ ones
             p /= own[:, None]
             yield int(spot[0]), own / total, p
 
-    def gradient(self, windows: np.ndarray, found: np.ndarray | None = None, inner: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], float]:
+    def gradient(self, windows: np.ndarray, found: np.ndarray | None = None, inner: tuple[np.ndarray, np.ndarray] | None = None, out: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], float]:
         """(gradient of the mean loss, loss); adds to found what each part is responsible for, by id.
 
-        inner: (ids inside of the targets' words, number of them of each target).
+        inner: (ids inside of the targets' words, number of them of each target). out: zeros of the shapes, for the gradient.
         """
         w, f, n = self.weights, self.forward(windows), len(windows)
         goal = windows[:, CONTEXT + 1 :].reshape(-1)
@@ -264,17 +270,18 @@ class Model:
         total = own @ ones
         own /= total[:, None]
         own[blank] = 0
+        z[blank] = 0
         if found is not None:
             _add(found, goal, own)
             if inner is not None and len(inner[0]):
                 _add(found, inner[0], own, np.repeat(np.arange(len(own)), inner[1]))
-        z[blank] = 0
-        z -= own
-        z *= z.dtype.type(1 / max(1, len(goal) - len(blank)))
         # Beside each other, so that the rows are put in order once: of the last inputs and of all.
         both = np.empty((len(z), PARTS + WIDTH), z.dtype)
-        both[:, :PARTS] = z
-        g = {"o": f["c"].T @ z, "b": np.ones(len(z), z.dtype) @ z}
+        z = np.subtract(z, own, out=both[:, :PARTS])
+        z *= z.dtype.type(1 / max(1, len(goal) - len(blank)))
+        g = {k: np.zeros_like(v) for k, v in w.items()} if out is None else out
+        np.matmul(f["c"].T, z, out=g["o"])
+        np.matmul(np.ones(len(z), z.dtype), z, out=g["b"])
         dc = np.empty((len(z), WIDTH + 1), z.dtype)
         np.matmul(z, w["o"].T, out=dc[:, :WIDTH])
         dc[:, :WIDTH] /= f["total"]
@@ -289,13 +296,13 @@ class Model:
         dq *= z.dtype.type(WIDTH**-0.5)
         both[:, PARTS:] = dq.reshape(-1, WIDTH)
         one = np.ones(n, z.dtype)
-        g["pq"] = (one @ dq.reshape(n, -1)).reshape(STRIDE, WIDTH)
+        g["pq"][:] = (one @ dq.reshape(n, -1)).reshape(STRIDE, WIDTH)
         placed = (one @ dkv.reshape(n, -1)).reshape(WINDOW, 2 * WIDTH)
-        g["pk"], g["pv"] = placed[:, :WIDTH], placed[:, WIDTH:]
-        both = _by_row(f["late"].reshape(-1), both)
-        g["g"], g["q"] = both[:, :PARTS], both[:, PARTS:]
-        both = _by_row(f["r"].reshape(-1), dkv.reshape(-1, 2 * WIDTH))
-        g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH:]
+        g["pk"][:], g["pv"][:] = placed[:, :WIDTH], placed[:, WIDTH:]
+        row, both = _by_row(f["late"].reshape(-1), both)
+        g["g"][row], g["q"][row] = both[:, :PARTS], both[:, PARTS:]
+        row, both = _by_row(f["r"].reshape(-1), dkv.reshape(-1, 2 * WIDTH))
+        g["k"][row], g["v"][row] = both[:, :WIDTH], both[:, WIDTH:]
         return g, float(-np.log(np.delete(total, blank)).mean()) if len(blank) < len(goal) else 0.0
 
     def train(self, windows: np.ndarray, found: np.ndarray, inner: tuple[np.ndarray, np.ndarray] | None, rate: float = 0.03) -> float:
@@ -304,9 +311,9 @@ class Model:
         inner: ids inside of the targets' words, and cuts between the targets; with them they count in what is found.
         """
         flat = np.concatenate([v.reshape(-1) for v in self.weights.values()])
-        at = np.cumsum([v.size for v in self.weights.values()])
-        self.weights = {k: v.reshape(self.weights[k].shape) for k, v in zip(self.weights, np.split(flat, at[:-1]), strict=True)}
-        mean, square, n = np.zeros_like(flat), np.zeros_like(flat), len(windows)
+        slope, mean, square, n = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), len(windows)
+        at = np.cumsum([v.size for v in self.weights.values()])[:-1]
+        self.weights, slopes = ({k: v.reshape(self.weights[k].shape) for k, v in zip(self.weights, np.split(x, at), strict=True)} for x in (flat, slope))
         steps = max(STEPS, -(-n // STEP))
         loss = 0.0
         for step in range(steps):
@@ -317,9 +324,9 @@ class Model:
                 low, high = (inner[1][(own * STRIDE)[:, None] + np.arange(STRIDE) + k].reshape(-1) for k in range(2))
                 size = high - low
                 within = inner[0][np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
-            g, now = self.gradient(windows[own], found, within)
-            loss += now / steps
-            _adam(flat, np.concatenate([g[k].reshape(-1) for k in self.weights]), mean, square, step, pace)
+            slope.fill(0)
+            loss += self.gradient(windows[own], found, within, slopes)[1] / steps
+            _adam(flat, slope, mean, square, step, pace)
         return loss
 
 
@@ -354,12 +361,10 @@ def _runs(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values.view(f"c{2 * values.itemsize}"), first).view(values.dtype)
 
 
-def _by_row(row: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the values of each table row."""
-    out = np.zeros((ROWS, values.shape[1]), values.dtype)
+def _by_row(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct table rows, sums of the values of each)."""
     order, first = X.by_key(row.astype(np.int16))
-    out[row[order[first]]] = _runs(np.take(values, order, 0), first)
-    return out
+    return row[order[first]], _runs(np.take(values, order, 0), first)
 
 
 def distributions(opens: np.ndarray, opening: np.ndarray, inner: np.ndarray, found: np.ndarray | None) -> np.ndarray:
@@ -396,7 +401,7 @@ def log10(s: Subwords, count: np.ndarray, model: Model, spelled: Spelling, lengt
     more = sizes - 1  # inner subwords of each distinct word
     first = np.cumsum(more) - more
     stop = spelled.stop[row[last]] if len(sizes) else np.zeros(0)
-    base = np.maximum(count - DISCOUNT, 0) / spelled.opening[s.opening], spelled.left[s.opening], np.log(1 - stop)
+    base = np.stack([np.maximum(count - DISCOUNT, 0) / spelled.opening[s.opening], spelled.left[s.opening], np.log(1 - stop), fixed], 1)
     logs = np.zeros(n)
     for k, value, owed in model.score(s.opening[s.inverse], at):
         own = s.inverse[k : k + len(value)]
@@ -404,8 +409,8 @@ def log10(s: Subwords, count: np.ndarray, model: Model, spelled: Spelling, lengt
         token = np.repeat(np.arange(len(m)), m)
         spot = np.repeat(first[own] - (np.cumsum(m) - m), m) + np.arange(len(token))
         attended = np.einsum("ij,ij->i", np.take(owed, token, 0), np.take(model.parts, ids[spot], 0))
-        spelt = fixed[own] + np.bincount(token, np.log(np.maximum(paired[spot] + rest[spot] * attended, 1e-35)), len(m))
-        known, left, goes_on = (x[own] for x in base)
+        known, left, goes_on, closed = np.take(base, own, 0).T
+        spelt = closed + np.bincount(token, np.log(np.maximum(paired[spot] + rest[spot] * attended, 1e-35)), len(m))
         chance = np.log(known + left * np.exp(spelt) + 1e-300)
         # Where the spelling is too small a number, its logarithm stands alone.
         alone = np.flatnonzero(known <= 0)
@@ -451,7 +456,7 @@ def window_keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     text, first = _first(sizes)
     begin = (np.cumsum(sizes) - sizes)[text]
     low, high = begin + np.maximum(first - CONTEXT - 1, 0), begin + np.minimum(first + STRIDE, sizes[text])
-    return T.mix(T.code_hashes(T.mix(words.astype(np.uint64) + np.uint64(1)), low, high) + (first == 0))
+    return T.mix(T.code_hashes(words.astype(np.uint64) + np.uint64(1), low, high) + (first == 0))
 
 
 def tiles(words: np.ndarray, sizes: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
@@ -462,10 +467,10 @@ def tiles(words: np.ndarray, sizes: np.ndarray, own: np.ndarray | None = None) -
     text, first = _first(sizes)
     if own is not None:
         text, first = text[own], first[own]
-    place = first[:, None] + np.arange(-CONTEXT - 1, STRIDE)
-    inside = (place >= 0) & (place < sizes[text][:, None])
-    found = words[np.where(inside, (np.cumsum(sizes) - sizes)[text][:, None] + place, 0)] if len(words) else place
-    return np.where(inside, found, np.where(place == -1, -2, -1)).astype(np.int32)
+    place = first.astype(np.int32)[:, None] + _PLACES
+    inside = (place >= 0) & (place < sizes.astype(np.int32)[text][:, None])
+    found = np.take(words.astype(np.int32), (np.cumsum(sizes) - sizes).astype(np.int32)[text][:, None] + place, mode="clip") if len(words) else place
+    return np.where(inside, found, np.where(place == -1, np.int32(-2), np.int32(-1)))
 
 
 def samples(w: T.Words, inverse: np.ndarray, trains: np.ndarray) -> np.ndarray:
