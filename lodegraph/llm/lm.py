@@ -76,16 +76,22 @@ def _pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: bpe.Ra
 
 
 class Subwords:
-    """Lower-cased words of a slice, and the subword ids of the distinct ones.
+    """Lower-cased words of a slice, and the subword ids of the distinct ones."""
 
-    pieces: gives (ids, number of ids of each) of the distinct words, in the
-    order of their hashes; without it they are cut here.
-    """
-
-    def __init__(self, column: pa.Array, table: bpe.Ranks, pieces: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, column: pa.Array, table: bpe.Ranks):
         self.words = w = T.Words(column, lower=True)
-        self.distinct, where, self.inverse = X.distinct(w.hashes())
-        self.ids, self.sizes = pieces or _pieces(w.buf, w.starts[where], w.ends[where], table)
+        self.distinct, where, inverse = X.distinct(w.hashes())
+        self._keep(inverse, w.at, *_pieces(w.buf, w.starts[where], w.ends[where], table))
+
+    @classmethod
+    def sent(cls, inverse: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Subwords:
+        """From the numbers of the distinct words, words of each text, and ids of the distinct words and number of each; words and distinct are missing."""
+        out = cls.__new__(cls)
+        out._keep(inverse, np.append(0, np.cumsum(counts)), ids, sizes)
+        return out
+
+    def _keep(self, inverse: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.inverse, self.at, self.ids, self.sizes = inverse, at, ids, sizes  # words of text i: at[i]..at[i+1]
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.opening = self.ids[self.begin].astype(np.int64) if len(self.begin) else np.zeros(0, np.int64)
 
@@ -330,7 +336,7 @@ class Model:
         return loss
 
 
-def _adam(flat: np.ndarray, slope: np.ndarray, mean: np.ndarray, square: np.ndarray, step: int, pace: float, block: int = 16_384) -> None:
+def _adam(flat: np.ndarray, slope: np.ndarray, mean: np.ndarray, square: np.ndarray, step: int, pace: float, block: int = 65_536) -> None:
     """One step, in place and in blocks that the cache holds. mean and square are ten and a hundred times the running means."""
     kind, root = flat.dtype.type, (0.01 / (1 - 0.99 ** (step + 1))) ** 0.5
     pace, least = kind(pace * 0.1 / (1 - 0.9 ** (step + 1)) / root), kind(1e-8 / root)
@@ -382,7 +388,7 @@ def distributions(opens: np.ndarray, opening: np.ndarray, inner: np.ndarray, fou
 
 def log10(s: Subwords, count: np.ndarray, model: Model, spelled: Spelling, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each text; count: of each distinct word's training tokens."""
-    at, n, sizes = s.words.at, len(s.inverse), s.sizes
+    at, n, sizes = s.at, len(s.inverse), s.sizes
     # What a distinct word's spelling is by the pairs alone, and which subwords attention has a say in.
     inside = np.ones(len(s.ids), bool)
     inside[s.begin] = False
@@ -395,22 +401,25 @@ def log10(s: Subwords, count: np.ndarray, model: Model, spelled: Spelling, lengt
     close = spelled.close[row, so_far]
     last = s.begin + sizes - 1 if len(sizes) else sizes
     ids = s.ids[inner].astype(np.int64)
-    paired = (1 - SPELLED) * spelled.pairs[row[inner - 1], row[inner]] * spelled.share[ids]
-    rest = ((1 - SPELLED) * spelled.pairs_left[row[inner - 1]] + SPELLED).astype(np.float32)
+    # What is looked up at one place lies side by side.
+    pairs = np.empty((len(inner), 2), np.float32)
+    pairs[:, 0] = (1 - SPELLED) * spelled.pairs[row[inner - 1], row[inner]] * spelled.share[ids]
+    pairs[:, 1] = (1 - SPELLED) * spelled.pairs_left[row[inner - 1]] + SPELLED
     fixed = np.log(close[last]) + np.bincount(word[inner], np.log(1 - close[inner - 1]), len(sizes))
-    more = sizes - 1  # inner subwords of each distinct word
-    first = np.cumsum(more) - more
+    more = sizes - 1  # inner subwords of each distinct word, and before it
+    more = np.stack([more, np.cumsum(more) - more], 1)
     stop = spelled.stop[row[last]] if len(sizes) else np.zeros(0)
     base = np.stack([np.maximum(count - DISCOUNT, 0) / spelled.opening[s.opening], spelled.left[s.opening], np.log(1 - stop), fixed], 1)
     logs = np.zeros(n)
     for k, value, owed in model.score(s.opening[s.inverse], at):
         own = s.inverse[k : k + len(value)]
-        m = more[own]
+        m, first = np.take(more, own, 0).T
         token = np.repeat(np.arange(len(m)), m)
-        spot = np.repeat(first[own] - (np.cumsum(m) - m), m) + np.arange(len(token))
+        spot = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(len(token))
         attended = np.einsum("ij,ij->i", np.take(owed, token, 0), np.take(model.parts, ids[spot], 0))
         known, left, goes_on, closed = np.take(base, own, 0).T
-        spelt = closed + np.bincount(token, np.log(np.maximum(paired[spot] + rest[spot] * attended, 1e-35)), len(m))
+        paired, rest = np.take(pairs, spot, 0).T
+        spelt = closed + np.bincount(token, np.log(np.maximum(paired + rest * attended, 1e-35)), len(m))
         chance = np.log(known + left * np.exp(spelt) + 1e-300)
         # Where the spelling is too small a number, its logarithm stands alone.
         alone = np.flatnonzero(known <= 0)
@@ -451,12 +460,11 @@ def _first(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * GAP
 
 
-def window_keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each training window, from its words alone, without forming the windows."""
-    text, first = _first(sizes)
-    begin = (np.cumsum(sizes) - sizes)[text]
-    low, high = begin + np.maximum(first - CONTEXT - 1, 0), begin + np.minimum(first + STRIDE, sizes[text])
-    return T.mix(T.code_hashes(words.astype(np.uint64) + np.uint64(1), low, high) + (first == 0))
+def window_keys(words: np.ndarray, sizes: np.ndarray, mark: int) -> np.ndarray:
+    """A hash of each training window: by its order the windows train."""
+    windows = tiles(words, sizes)
+    windows[windows == -2] = mark
+    return T.mix((windows.astype(np.uint64) * T.byte_codes(1)[: WINDOW + 1]).sum(1))
 
 
 def tiles(words: np.ndarray, sizes: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
@@ -502,11 +510,8 @@ def _counted(origins: list[int], bodies: list[bytes], bucket: int, table: bpe.Ra
     text = np.concatenate([s[3] for s in sent])
     ends = np.cumsum(sizes)
     word = T.span_hashes(text, ends - sizes, ends)
-    order, first = X.by_key(word)
-    which = np.empty(len(word), np.int64)
-    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-    sums, final = np.add.reduceat(times[order], first), np.add.reduceat(finals[order], first)
-    one = order[first]
+    _, one, which = X.distinct(word)
+    sums, final = (np.bincount(which, x, len(one)).astype(np.int64) for x in (times, finals))
     flat, counts = _pieces(text, ends[one] - sizes[one], ends[one], table)
     begin = np.cumsum(counts) - counts
     size, short = len(table.lengths), np.uint16 if len(table.lengths) < 65_536 else np.uint32
@@ -564,7 +569,7 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
     kinds = len(Corpus.KINDS) * size
 
     def gather(shard: int, t: pa.Table) -> pa.Table:
-        """A shard's distinct words, by hash: times in training texts and at their ends, bytes; how many texts train, as origin -1, and the words of these in order, as -3 - shard."""
+        """A shard's distinct words, by hash: times in training texts and at their ends, bytes; how many texts train, as origin -1, and the words of all in order, with what else scoring asks of the texts, as -3 - shard."""
         w = T.Words(X.text_of(t), lower=True)
         trains = t.column("carry_0").to_numpy().astype(bool)
         distinct, where, inverse = X.distinct(w.hashes())
@@ -582,7 +587,8 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
         ]
         texts = np.array([trains.sum(), (trains & (w.counts == 0)).sum()])
         rows.append((shard % buckets, -1, X.pack(np.array([kinds + 2, kinds + 3]), texts)))
-        rows.append((shard % buckets, -3 - shard, X.pack(inverse[trains[w.doc]].astype(np.uint32), w.counts[trains].astype(np.uint32))))
+        ids = t.column("id")
+        rows.append((shard % buckets, -3 - shard, X.pack(inverse.astype(np.uint32), w.counts.astype(np.uint32), trains, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy().astype(bool))))
         return X.messages(rows)
 
     def split(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -617,20 +623,23 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
     corpus.spelled = np.flatnonzero(have).astype(np.int32), have[have > 0]
 
     def learn(key: tuple[pa.Scalar, ...], t: pa.Table, r: pa.Table) -> pa.Table:
-        """Of a shard's training texts: opening id of each word, words of each text, ids inside of the words and number of them."""
+        """Of a shard's training texts: opening id of each word, words of each text, keys of the windows; ids inside of the words and number of them."""
         out = []
         if r.num_rows:
             _, sizes, ids = _replies(r.column("bucket"), r.column("body"))
             begin = np.cumsum(sizes) - sizes
-            for body in t.column("body").to_pylist():
-                words, counts = X.unpack(body)
+            for body in t.column("texts").to_pylist():
+                words, counts, trains, _, _ = X.unpack(body)
+                words, counts = words[np.repeat(trains, counts)], counts[trains]
                 n = sizes[words] - 1
                 spot = np.repeat(begin[words] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append((X.pack(ids[begin[words]].astype(short), counts), X.pack(ids[spot].astype(short), n.astype(np.uint32))))
+                opening = ids[begin[words]]
+                out.append((X.pack(opening.astype(short), counts, window_keys(opening, counts.astype(np.int64), size)), X.pack(ids[spot].astype(short), n.astype(np.uint32))))
         return pa.table({name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("body", "inner"))})
 
-    sampled = answers.where("origin <= -3").select((-3 - F.col("origin")).alias("origin"), "body")
-    lessons = cut_alone(sampled.groupBy("origin").cogroup(replied.groupBy("origin")).applyInArrow(learn, "body binary, inner binary"))
+    # By a name of its own: of two columns that are one below, a cogroup can lose one.
+    worded = answers.where("origin <= -3").select((-3 - F.col("origin")).alias("origin"), F.col("body").alias("texts"))
+    lessons = cut_alone(worded.groupBy("origin").cogroup(replied.groupBy("origin")).applyInArrow(learn, "body binary, inner binary"))
     tasks = max(1, -(-(corpus.tokens // GAP + corpus.texts) // TASK_WINDOWS))
     opens = table.bytes[table.begin[:-1]] == 0x20
     model = Model(Corpus.rows(np.append(corpus.opening, corpus.texts)), distributions(opens, corpus.opening, corpus.inner, None))
@@ -640,18 +649,16 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
 
     def local(k: int) -> DataFrame:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts, insides, keys = [], [], []
+            parts, insides = [], []
             for b in it:
-                for body in b.column("body").to_pylist():
-                    parts.append([x.astype(np.int64) for x in X.unpack(body)])
-                    keys.append(window_keys(*parts[-1]))
+                parts += [X.unpack(body) for body in b.column("body").to_pylist()]
                 if last:
                     insides += [X.unpack(body) for body in b.column("inner").to_pylist()]
             if not sum(len(x[0]) for x in parts):
                 return
-            opening, counts = (np.concatenate([x[j] for x in parts]) for j in range(2))
+            opening, counts, keys = (np.concatenate([x[j] for x in parts]).astype(kind) for j, kind in enumerate((np.int64, np.int64, np.uint64)))
             # An order that the windows alone give, whatever rows they came in; of it the round's share, and on to further ones for STEPS steps at least.
-            order = np.argsort(np.concatenate(keys), kind="stable")
+            order = np.argsort(keys, kind="stable")
             total = len(order)
             begin, stop = total * k // ROUNDS, total * (k + 1) // ROUNDS
             order = order[(begin + np.arange(min(total, max(STEPS, -(-(stop - begin) // STEP)) * STEP))) % total]
@@ -692,18 +699,19 @@ def score_texts(docs: DataFrame, trains: Column, ranks_path: str, id_col: str =
 
     def score(key: tuple[pa.Scalar, ...], t: pa.Table, r: pa.Table) -> pa.Table:
         times, sizes, ids = _replies(r.column("bucket"), r.column("body"))
-        s = Subwords(X.text_of(t), _table(path), (ids, sizes))
+        numbers, counts, trains, doc, valid = X.unpack(t.column("texts")[0].as_py())  # a shard has one
+        s = Subwords.sent(numbers.astype(np.int64), counts.astype(np.int64), ids, sizes)
         count = times[s.inverse]
-        n = s.words.counts + 1
+        n = np.diff(s.at) + 1
         tokens, words = known.corpus.tokens + known.corpus.texts, known.corpus.words + (known.corpus.texts > 0)
-        base = T.sums(np.log10(count + 1), s.words.at) + np.log10(known.corpus.texts + 1) - n * np.log10(tokens + words + 1)
+        base = T.sums(np.log10(count + 1), s.at) + np.log10(known.corpus.texts + 1) - n * np.log10(tokens + words + 1)
         return pa.table(
             {
-                "doc_id": t.column("id"), "held_out": pa.array(~t.column("carry_0").to_numpy().astype(bool)), "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(T.sums(count > 0, s.words.at) + int(known.corpus.texts > 0), pa.int64()), "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
+                "doc_id": pa.array(doc, pa.int64(), mask=~valid), "held_out": pa.array(~trains), "n_tokens": pa.array(n, pa.int64()),
+                "n_known": pa.array(T.sums(count > 0, s.at) + int(known.corpus.texts > 0), pa.int64()), "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
                 "base_score": pa.array(base), "score": pa.array(log10(s, times, known.model, known.spelled(), _table(path).lengths)),
             }
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return plan.dealt.groupBy("shard").cogroup(replied.groupBy("origin")).applyInArrow(score, schema)
+    return worded.groupBy("origin").cogroup(replied.groupBy("origin")).applyInArrow(score, schema)

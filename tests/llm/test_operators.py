@@ -307,6 +307,14 @@ def test_lm_leaves_no_large_shuffles(spark, rows, monkeypatch):
     assert scored.count() == len(rows)
 
 
+def test_lm_reads_texts_once(spark):
+    """Scoring goes by the words that counting found, and keeps ids, null ones too, with their texts."""
+    rows = [(1, "a b"), (None, "a a c"), (2, None), (2, "b"), (-7, "")]
+    scored = lm.score_texts(table(spark, rows), fold(7) != 2, ranks_path())
+    assert "text#" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in scored.collect()) == sorted([("1", 3), ("None", 4), ("2", 1), ("2", 2), ("-7", 1)])
+
+
 def test_lm_learns_nothing(spark):
     out = lm.score_texts(table(spark, [(1, "a b"), (2, None)]), F.lit(False), ranks_path()).collect()
     assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in out} == {1: (True, 3, 0, 0), 2: (True, 1, 0, 0)}
@@ -362,7 +370,7 @@ def test_every_word_trains():
 
 
 def test_round_forms_its_windows():
-    """Windows chosen by number are those of all; keys, without the windows, tell different ones apart and only these."""
+    """Windows chosen by number are those of all; keys tell different ones apart and only these."""
     rng = np.random.default_rng(7)
     sizes = np.append(rng.integers(0, 150, 300), [40, 40, 17, 17, 40])
     words = rng.integers(0, 3, sizes.sum())
@@ -370,7 +378,7 @@ def test_round_forms_its_windows():
     every = lm.tiles(words, sizes)
     own = rng.permutation(len(every))[:50]
     assert (lm.tiles(words, sizes, own) == every[own]).all()
-    keys = lm.window_keys(words, sizes)
+    keys = lm.window_keys(words, sizes, 3)
     kinds = Counter(map(tuple, every.tolist()))
     assert len(kinds) < len(every) == len(keys)
     assert len(set(zip(map(tuple, every.tolist()), keys.tolist(), strict=True))) == len(set(keys.tolist())) == len(kinds)
