@@ -8,11 +8,13 @@ one task, larger ones by joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodegraph.operators.checkpoints import cut
 from lodegraph.operators.ordering import competition_rank
@@ -20,21 +22,60 @@ from lodegraph.operators.ordering import competition_rank
 # Defaults of the ranking.
 DAMPING, EPSILON, MAX_ITER = 0.85, 1e-10, 1000
 KERNEL_NODES, KERNEL_EDGES, EIGEN_NODES = 1_000_000, 10_000_000, 3_000
+#: Of the matrix: nodes of a block, targets of a stretch of rows, cells of a task, and tasks at least if there are as many cells.
+BLOCK, STRETCH, CELLS, LEAST_TASKS = 1_024, 256, 16, 64
 
 
-def transition(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, limit: int | None = EIGEN_NODES) -> DataFrame:
-    """(src, dst, prob) of all pairs of nodes: the definition. nodes: (node); edges: (src, dst); limit: nodes at most, None for any number."""
+def transition(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, limit: int | None = EIGEN_NODES, digits: int | None = None) -> DataFrame:
+    """(src, dst, prob) of all pairs of nodes: the definition. nodes: distinct (node); edges: distinct (src, dst); limit: nodes at most, None for any number; digits: decimals of prob, None for all.
+
+    Pairs are formed where they are returned, in cells of two blocks of nodes. Only
+    edges are shuffled, to their cells; nodes, of which there are few next to their
+    pairs, are broadcast with the two values of their row.
+    """
     n = nodes.count()
     if limit is not None and n > limit:
         raise ValueError(f"the matrix is formed for up to {limit} nodes, not {n}")
-    if n == 1:
+    if n < 2:
         return nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("prob"))
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    pairs = nodes.select(F.col("node").alias("src")).crossJoin(nodes.select(F.col("node").alias("dst")))
-    marked = pairs.join(degree, "src", "left").join(edges.withColumn("linked", F.lit(1)), ["src", "dst"], "left")
-    rest = F.lit((1 - damping) / n)
-    prob = F.when(F.col("degree").isNull(), F.lit(1.0 / n)).when(F.col("linked") == 1, F.lit(damping) / F.col("degree") + rest).otherwise(rest)
-    return marked.select("src", "dst", prob.alias("prob"))
+    kind, blocks = dict(nodes.dtypes)["node"], -(-n // BLOCK)
+
+    def block(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast(kind)), F.lit(blocks))
+
+    def rounded(value: Column) -> Column:
+        return value if digits is None else F.round(value, digits)
+
+    degree, rest = edges.groupBy("src").agg(F.count("*").alias("degree")), F.lit((1 - damping) / n)
+    other = rounded(F.when(F.col("degree").isNull(), F.lit(1.0 / n)).otherwise(rest))
+    own = nodes.select(F.col("node").alias("src")).join(degree, "src", "left").select("src", other.alias("other"), rounded(F.lit(damping) / F.col("degree") + rest).alias("linked"))
+    rows = own.groupBy(block("src").alias("src_block")).agg(F.collect_list(F.struct("src", "other", "linked")).alias("rows"))
+    columns = nodes.groupBy(block("node").alias("dst_block")).agg(F.collect_list(F.struct(F.col("node").alias("dst"))).alias("columns"))
+    link = F.struct(*(F.col(c).cast(kind).alias(c) for c in ("src", "dst")))
+    cells = nodes.sparkSession.range(blocks * blocks).select(F.col("id").alias("cell"), F.lit(None).cast(f"struct<src:{kind},dst:{kind}>").alias("link"))
+    dealt = edges.select((block("src") * blocks + block("dst")).alias("cell"), link.alias("link")).union(cells)
+    tasks = min(blocks * blocks, max(LEAST_TASKS, -(-blocks * blocks // CELLS)))
+    links = dealt.repartition(tasks, "cell").groupBy("cell").agg(F.collect_list("link").alias("links"))
+    placed = links.select("links", F.expr(f"cell div {blocks}").alias("src_block"), (F.col("cell") % blocks).alias("dst_block"))
+    whole = placed.join(F.broadcast(rows), "src_block").join(F.broadcast(columns), "dst_block").select("rows", "columns", "links")
+    return whole.mapInArrow(_cells, f"src {kind}, dst {kind}, prob double")
+
+
+def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of each cell, in stretches of STRETCH targets, which repeat and so pack well where they are written."""
+    for batch in it:
+        for k in range(batch.num_rows):
+            rows, columns, links = (batch.column(c)[k].values for c in ("rows", "columns", "links"))
+            src, dst = rows.field("src"), columns.field("dst")
+            other, linked = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("other", "linked"))
+            prob = np.repeat(other[:, None], len(dst), axis=1)
+            i, j = (pc.fill_null(pc.index_in(links.field(c), value_set=x, skip_nulls=True), -1).to_numpy() for c, x in (("src", src), ("dst", dst)))
+            use = (i >= 0) & (j >= 0)
+            prob[i[use], j[use]] = linked[i[use]]
+            for begin in range(0, len(dst), STRETCH):
+                part = prob[:, begin : begin + STRETCH]
+                at = np.indices(part.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([src.take(pa.array(at[0])), dst.take(pa.array(at[1] + begin)), pa.array(part.ravel())], names=["src", "dst", "prob"])
 
 
 def row_sums(matrix: DataFrame) -> DataFrame:

@@ -278,6 +278,41 @@ def test_matrix_of_a_large_graph(large):
     assert own[0] == 2 * n and own[1] == pytest.approx(2, abs=1e-9)
 
 
+def _shuffled(spark, rows) -> int:
+    """Records that working out rows writes to shuffles."""
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    before = {x.stageId() for x in _stages(store, sc)}
+    rows.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(x.shuffleWriteRecords() for x in _stages(store, sc) if x.stageId() not in before)
+
+
+def _stages(store, sc) -> list:
+    found = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_pairs_of_a_matrix_are_not_shuffled(spark, large):
+    n, nodes, edges = large
+    matrix = ranking.transition(nodes, edges, limit=None)
+    assert _shuffled(spark, matrix) < n * n / 100
+    assert matrix.count() == n * n
+
+
+def test_matrix_in_blocks(spark, monkeypatch):
+    """Cells of few nodes give the definition, also for a node without a name, links to what is no node, and no nodes at all."""
+    monkeypatch.setattr(ranking, "BLOCK", 5)
+    monkeypatch.setattr(ranking, "STRETCH", 3)
+    rng = random.Random(5)
+    n, edges = 41, sorted({(a, b) for a in range(40) if a % 6 for b in rng.choices(range(45), k=6) if a != b})
+    nodes = spark.createDataFrame([(k,) for k in [None, *range(n - 1)]], "node int")
+    to = {a: {b for x, b in edges if x == a} for a, _ in edges}
+    want = {(a, b): 1 / n if a not in to else (P / len(to[a]) if b in to[a] else 0) + (1 - P) / n for a in [None, *range(n - 1)] for b in [None, *range(n - 1)]}
+    rows = ranking.transition(nodes, spark.createDataFrame(edges, "src long, dst long"), P, digits=6).collect()
+    assert len(rows) == n * n and {(r.src, r.dst): r.prob for r in rows} == {k: pytest.approx(round(v, 6), abs=1e-12) for k, v in want.items()}
+    assert ranking.transition(nodes.limit(0), spark.createDataFrame([], "src int, dst int"), P).count() == 0
+
+
 def test_bad_rows(spark):
     with pytest.raises(ValueError, match="sum to 1"):
         ranking.check_rows(spark.createDataFrame([(0, 0, 0.5)], "src int, dst int, prob double"))
